@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .common import table
+from .language_id import identify_languages
+from .packing import pack_documents
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, secret_digest
 from .sharding import shard_by_splitters
+from .topk import exact_top_k
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +31,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(table(spark, sf_dir, "documents"))
 
@@ -26,11 +47,20 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_exact_top_k": op2_exact_top_k,
         "op4_quality_rules": op4_quality_rules,
+        "op5_bpe": op5_bpe,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_sharding": op7_sharding,
         "op8_secret_scans": op8_secret_scans,
+        "op10_language_id": op10_language_id,
     }
 
 
