@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import table
 from .language_id import identify_languages
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -47,6 +48,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_sharding": op7_sharding,
         "op8_secret_scans": op8_secret_scans,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_language_id": op10_language_id,
     }
 
