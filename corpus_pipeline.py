@@ -3,32 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rollspark.llm.common import table, written
+from rollspark.llm.jaccard_join import jaccard_groups
+from rollspark.llm.packing import pack_documents
+from rollspark.llm.quality_classifier import classify_quality
 from rollspark.llm.quality_rules import quality_rules as judge
 from rollspark.llm.secrets import redact, scan_secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify_quality(docs, table(spark, sf_dir, "labels"), columns=list(COLUMNS)).where("kept").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return judge(docs, columns=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays, in one row; rows without doc_id stay."""
+    stay = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked; ``n_chars`` follows the new text."""
-    masked = redact(scan_secrets(docs.select(*COLUMNS)))
-    return masked.selectExpr("doc_id", "text", "lang", "source", "if(size(secrets) = 0, n_chars, length(text)) as n_chars").select(*COLUMNS)
+    found = scan_secrets(docs.select(*COLUMNS))
+    return redact(found).selectExpr("doc_id", "text", "lang", "source", "if(size(secrets) = 0, n_chars, cast(length(text) as bigint)) as n_chars")
 
 
-STAGES = [("quality_rules", quality_rules), ("secret_scans", secret_scans)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Classifier, shingle groups and tokenizer are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as a table and read again."""
-    from rollspark.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
