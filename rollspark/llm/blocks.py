@@ -37,7 +37,7 @@ def blocks_of(batches, size: int):
 
 def packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -68,24 +68,21 @@ def check_of(words: list[str]) -> int:
     return zlib.crc32("\0".join(words).encode())
 
 
-def send_words(docs: DataFrame, size: int, parts: int, distinct: Callable[[pa.Table], tuple[list[str], list[int]]]) -> DataFrame:
-    """block, part, words, counts: the distinct words of each block and a count for each."""
+def packed_words(words: list[str], counts: list[int] | None = None) -> bytes:
+    """Words, and a count for each if given, in few bytes."""
+    columns = {"w": pa.array(words, pa.string())} | ({} if counts is None else {"c": pa.array(counts, pa.int64())})
+    return packed(pa.table(columns))
+
+
+def send_words(docs: DataFrame, size: int, parts: int, distinct: Callable[[pa.Table], tuple[list[str], list[int] | None]]) -> DataFrame:
+    """block, part, payload: the distinct words of each block, and perhaps a count for each, by part."""
 
     def send(batches):
         for name, table in blocks_of(batches, size):
             words, counts = distinct(table)
-            count = dict(zip(words, counts, strict=True))
+            count = None if counts is None else dict(zip(words, counts, strict=True))
             dealt = by_part(words, parts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(dealt), pa.string()),
-                    pa.array(list(dealt), pa.int32()),
-                    pa.array(list(dealt.values()), pa.list_(pa.string())),
-                    pa.array([[count[w] for w in ws] for ws in dealt.values()], pa.list_(pa.int64())),
-                ],
-                ["block", "part", "words", "counts"],
-            )
-
-    return docs.mapInArrow(send, "block string, part int, words array<string>, counts array<bigint>")
-
+            payload = [packed_words(ws, count and [count[w] for w in ws]) for ws in dealt.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(dealt), pa.string()), pa.array(list(dealt), pa.int32()), pa.array(payload, pa.binary())], ["block", "part", "payload"])
 
+    return docs.mapInArrow(send, "block string, part int, payload binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,18 +13,56 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_part, check_of, pack_blocks, send_words, unpacked
-from .chunks import Chunks, encoding_of, ranks_of
+from .blocks import by_part, check_of, pack_blocks, packed, send_words, unpacked
+from .chunks import encoding_of, merged, ranks_of
 
+#: A space that does not begin a match of its own: white space or the end comes next.
+_UNEVEN = re.compile(r" (?:\s|\Z)")
 
-def distinct_words(texts: list[str | None], pattern: str) -> list[str]:
-    """The distinct matches of the pattern over whole texts, sorted."""
+
+def matcher(pattern: str):
+    """A function from a chunk (see ``Chunks``) to the pattern's matches in it."""
     find = regex.compile(pattern).findall
-    found: set[str] = set()
-    chunks = Chunks(lambda c: found.update(find(c)), 1 << 62)
+    if pattern != public_tokenizers.PATTERN:
+        return find
+
+    def matches(chunk: str) -> list[str]:
+        # A space and letters are one match, and so is a mark after them; most chunks are such.
+        if chunk[0] == " ":
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return find(chunk)
+
+    return matches
+
+
+def distinct_pieces(texts: list[str | None]) -> tuple[set[str], set[str]]:
+    """What follows the spaces of texts that may be cut at each of them, and all other chunks (see ``Chunks``)."""
+    after: set[str] = set()
+    whole: set[str] = set()
     for t in texts:
-        chunks(t or "")
-    return sorted(found)
+        if t and not _UNEVEN.search(t):
+            head, *rest = t.split(" ")
+            after.update(rest)
+            if head:
+                whole.add(head)
+        elif t:
+            head, *rest = t.split(" ")
+            whole.update(merged(head, rest))
+    return after, whole
+
+
+def matches_of(texts: list[str | None], pattern: str) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The pattern's matches in each distinct piece after a space, and in each other chunk."""
+    matches = matcher(pattern)
+    after, whole = distinct_pieces(texts)
+    return {p: matches(" " + p) for p in after}, {c: matches(c) for c in whole}
+
+
+def distinct_words(*of: dict[str, list[str]]) -> list[str]:
+    return sorted({w for d in of for ws in d.values() for w in ws})
 
 
 def encode_words(path: str, words: list[str]) -> list[list[int]]:
@@ -37,7 +76,7 @@ def encode_documents(
     pattern: str = public_tokenizers.PATTERN,
     key: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 8 << 20,
     rows_per_part: int = 8000,
     digest: bool = False,
 ) -> DataFrame:
@@ -53,53 +92,65 @@ def encode_documents(
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(key).alias("doc_id"), text)
     parts = max(64, rows.count() // rows_per_part)
-    sent = send_words(rows, block_bytes, parts, lambda table: (w := distinct_words(table.column(1).to_pylist(), pattern), [0] * len(w)))
+    sent = send_words(rows, block_bytes, parts, lambda table: (distinct_words(*matches_of(table.column(1).to_pylist(), pattern)), None))
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         """All blocks' words of a part: each distinct word is encoded once."""
         known: dict[str, list[int]] = {}
+        narrow = max(ranks_of(ranks).values()) < 1 << 16
         out = []
-        for block, part, words in zip(frame["block"], frame["part"], frame["words"], strict=True):
+        for block, part, data in zip(frame["block"], frame["part"], frame["payload"], strict=True):
+            words = unpacked(data)["w"].to_pylist()
             fresh = [w for w in words if w not in known]
             known.update(zip(fresh, encode_words(ranks, fresh), strict=True))
             ids = [known[w] for w in words]
-            lengths = np.array([len(x) for x in ids], "<u4")
-            flat = np.array([i for x in ids for i in x], "<u4")
-            payload = len(lengths).to_bytes(4, "little") + (lengths.astype("<u2").tobytes() + b"\0" if lengths.max(initial=0) < 1 << 16 else lengths.tobytes() + b"\1") + flat.tobytes()
-            out.append((block, part, pa.compress(payload, "zstd", asbytes=True), len(payload), check_of(list(words))))
-        return pd.DataFrame(out, columns=["block", "part", "payload", "size", "check"])
+            lengths = np.array([len(x) for x in ids], np.uint32)
+            flat = np.array([i for x in ids for i in x], np.uint16 if narrow else np.uint32)
+            out.append((block, part, packed(pa.table({"n": [lengths], "ids": [flat]})), check_of(words)))
+        return pd.DataFrame(out, columns=["block", "part", "payload", "check"])
 
-    replies = sent.select("block", "part", "words").groupBy("part").applyInPandas(encode, "block string, part int, payload binary, size long, check long")
+    replies = sent.groupBy("part").applyInPandas(encode, "block string, part int, payload binary, check long")
 
     def assemble(key_, left: pa.Table, right: pa.Table) -> pa.Table:
         bytes_of = {i: b for b, i in ranks_of(ranks).items()}
-        answers = {p: (c, pa.decompress(d, n, "zstd", asbytes=True)) for p, d, n, c in zip(*(right.column(c).to_pylist() for c in ("part", "payload", "size", "check")), strict=True)}
-        find = regex.compile(pattern).findall
+        answers = {p: (c, d) for p, d, c in zip(*(right.column(c).to_pylist() for c in ("part", "payload", "check")), strict=True)}
         columns: list[list] = [[], [], [], []]
         for data in left.column("payload").to_pylist():
             table = unpacked(data)
             texts = table.column(1).to_pylist()
-            ids_of: dict[str, list[int]] = {}
-            for part, words in by_part(distinct_words(texts, pattern), parts).items():
+            after, whole = matches_of(texts, pattern)
+            value_of: dict[str, tuple[str, bytes, int]] = {}
+            for part, words in by_part(distinct_words(after, whole), parts).items():
                 check, answer = answers.get(part, (None, b""))
                 if check == check_of(words):
-                    n = int.from_bytes(answer[:4], "little")
-                    wide = 4 if answer[4 + 2 * n : 4 + 2 * n + 1] != b"\0" else 2
-                    lengths = np.frombuffer(answer, f"<u{wide}", n, 4)
-                    flat = np.frombuffer(answer, "<u4", -1, 4 + wide * n + 1).tolist()
-                    ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                    ids_of.update((w, flat[e - k : e]) for w, e, k in zip(words, ends, lengths.tolist(), strict=True))
+                    got = unpacked(answer)
+                    lengths, flat = got["n"][0].as_py(), got["ids"][0].as_py()
                 else:
-                    ids_of.update(zip(words, encode_words(ranks, words), strict=True))
-
-            def value(chunk: str):
-                ids = [i for w in find(chunk) for i in ids_of[w]]
-                return ",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]), len(ids)
-
-            chunks = Chunks(value, 1 << 62)
+                    ids = encode_words(ranks, words)
+                    lengths, flat = [len(x) for x in ids], [i for x in ids for i in x]
+                names_of, decoded_of = [*map(str, flat)], [*map(bytes_of.__getitem__, flat)]
+                at = 0
+                for w, n in zip(words, lengths, strict=True):
+                    value_of[w] = (names_of[at], decoded_of[at], 1) if n == 1 else (",".join(names_of[at : at + n]), b"".join(decoded_of[at : at + n]), n)
+                    at += n
+
+            def value(ws: list[str]):
+                if len(ws) == 1:
+                    return value_of[ws[0]]
+                found = [value_of[w] for w in ws]
+                return ",".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found])
+
+            after_of = {p: value(ws) for p, ws in after.items()}
+            whole_of = {c: value(ws) for c, ws in whole.items()}
             columns[0].append(table.column(0))
             for t in texts:
-                found = chunks(t or "")
+                head, *rest = (t or "").split(" ")
+                if t and _UNEVEN.search(t):
+                    found = [whole_of[c] for c in merged(head, rest)]
+                else:
+                    found = [after_of[p] for p in rest]
+                    if head:
+                        found.insert(0, whole_of[head])
                 joined, decoded = ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
                 columns[1].append(sum([f[2] for f in found]))
                 columns[2].append(hashlib.sha256(joined.encode()).hexdigest() if digest else [int(i) for i in joined.split(",") if i])
