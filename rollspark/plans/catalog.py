@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import manifests, metrics, structure  # noqa: F401
+from . import extraction, manifests, metrics, structure  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
