@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusterings, extraction, manifests, metrics, structure  # noqa: F401
+from . import clusterings, extraction, files, manifests, metrics, structure, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
