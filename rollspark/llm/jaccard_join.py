@@ -223,6 +223,7 @@ def jaccard_groups(
     frequent_most: int = 1 << 18,
     rows_per_slot: int = 4000,
     flush: int = 2_000_000,
+    block: int = 128,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document.
 
@@ -231,9 +232,9 @@ def jaccard_groups(
 
     Round one: in each posting every class is paired with the posting's most connected class, a number of pairs that grows
     with the postings; linked ones join groups. Round two: pairs across groups, and only between classes that share enough
-    prefix tokens for their sizes, counted first per class and band of sizes, then per pair. Candidates must share prefix
-    tokens under all further orders before they are verified on the whole sets. Nothing is capped: links within a group that
-    is connected already are the only ones left out.
+    prefix tokens for their sizes, counted first per class and band of sizes, then per pair, in blocks of about ``block``
+    classes around the same hub. Candidates must share prefix tokens under all further orders before they are verified on
+    the whole sets. Nothing is capped: links within a group that is connected already are the only ones left out.
 
     Null, empty or blank text: 0 shingles, linked with nothing, a component of its own. Repeated rows and equal texts share
     a component. Null keys stay null and name no component. An empty table gives an empty result. Sets are compared by
@@ -259,9 +260,10 @@ def jaccard_groups(
     ranked = written(postings.join(degree, "cls").select("token", "cls", "n", "degree"), "ranked")
     hubs = written(ranked.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hn")), "posting-hubs")
     fits = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
-    first = ranked.join(hubs, "token").where(F.col("cls") != F.col("hub")).where(fits).groupBy("hub", "cls", "n", "hn").agg(F.count("*").alias("c"))
+    near = ranked.join(hubs, "token").where(F.col("cls") != F.col("hub")).where(fits).groupBy("hub", "cls", "n", "hn").agg(F.count("*").alias("c"))
+    near = written(near, "near-hubs")
     # The count is of postings with this hub alone: too low at times, so half of what is needed will do; round two is exact.
-    first = first.where(f"2 * c >= {_least_shared('n', 'hn', percent)}").select("hub", F.col("cls").alias("spoke"))
+    first = near.where(f"2 * c >= {_least_shared('n', 'hn', percent)}").select("hub", F.col("cls").alias("spoke"))
     links = written(verified(first, texts, k, percent), "round-one")
     groups = connected_components(links)
 
@@ -277,13 +279,26 @@ def jaccard_groups(
     counted = met.groupBy("cls", "n", "other").agg(F.count("*").alias("c"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
     # The need rises as sizes come near to each other: it is least at an end of the band, or where the sizes are equal.
     needs = [_least_shared("n", x, percent) for x in ("n_lo", "n_hi")]
-    alive = counted.where(f"c >= least({needs[0]}, {needs[1]}) - 1").groupBy("cls").agg(F.collect_set("other").alias("others"))
+    alive = counted.where(f"c >= least({needs[0]}, {needs[1]})").groupBy("cls").agg(F.collect_set("other").alias("others"))
     live = written(open_.join(written(alive, "alive"), "cls"), "live")
-    left = live.select("token", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "g", "band", "others")])
-    right = live.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "g", "band", "others")])
-    met = left.join(right, "token").where("cls1 < cls2 and g1 <> g2 and array_contains(others1, band2) and array_contains(others2, band1)")
-    met = met.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)").groupBy("cls1", "cls2", "n1", "n2").agg(F.count("*").alias("c"))
-    second = met.where(f"c >= {_least_shared('n1', 'n2', percent)}").select(F.col("cls1").alias("hub"), F.col("cls2").alias("spoke"))
+    # Classes around the same hub stand in blocks; blocks that share a token meet, and pairs are counted inside them.
+    hub_of = near.groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("h")).select("cls", F.col("h.hub").alias("hub"))
+    row = live.groupBy("cls").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("band").alias("band"), F.first("others").alias("others"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    row = written(row.join(written(hub_of, "hub-of"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls")), "live-classes")
+    size = written(row.groupBy("hub").agg(F.count("*").alias("m")), "hub-sizes")
+    placed = written(row.join(size, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))).drop("hub", "m"), "placed")
+    blocks = written(placed.groupBy("block").agg(F.collect_list(F.struct("cls", "n", "g", "band", "others", "tokens")).alias("members")), "blocks")
+    spots = written(placed.select("block", F.explode("tokens").alias("token")).distinct(), "spots")
+    meets = spots.withColumnRenamed("block", "block1").join(spots.withColumnRenamed("block", "block2"), "token").where("block1 <= block2").select("block1", "block2").distinct()
+    meets = written(meets, "meets")
+    sides = meets.join(blocks.select(F.col("block").alias("block1"), F.col("members").alias("m1")), "block1")
+    sides = written(sides, "sides").join(blocks.select(F.col("block").alias("block2"), F.col("members").alias("m2")), "block2")
+    linked = (
+        f"x.g <> y.g and (block1 <> block2 or x.cls < y.cls) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and array_contains(x.others, y.band) and array_contains(y.others, x.band) "
+        f"and size(array_intersect(x.tokens, y.tokens)) >= {_least_shared('x.n', 'y.n', percent)}"
+    )
+    found = F.expr(f"flatten(transform(m1, x -> transform(filter(m2, y -> {linked}), y -> named_struct('hub', x.cls, 'spoke', y.cls))))")
+    second = sides.select(F.explode(found).alias("p")).select("p.*")
     more = verified(second, texts, k, percent)
     groups = connected_components(links.unionByName(more))
 
