@@ -15,8 +15,9 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "los", "se", "del", "las", "por"),
 }
 LIST = tuple(dict.fromkeys(w for ws in COMMON.values() for w in ws))
-#: Character classes in the order in which they are taken out of a text; what is left is "other".
-CLASSES = (r"[\\p{Ll}\\p{Lo}\\p{M}]+", r"\\s+", r"\\p{Lu}+", r"\\p{N}+", r"[.,;:''\"?()\\-]+", r"[#*$%&|<>!]+")
+#: Character classes in the order in which they are taken out of a text; what is left is "other". Digits stand with the
+#: letters without case, since a key or a number in a short clean text is no sign of junk.
+CLASSES = (r"[\\p{Ll}\\p{Lo}\\p{M}\\p{N}]+", r"\\s+", r"\\p{Lu}+", r"[.,;:''\"?()\\-]+", r"[#*$%&|<>!]+")
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -37,7 +38,8 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     repeated = let(grams, "g", f"if(size(array_distinct(g)) = size(g), 0, {covered})")
     lines = let(r"filter(split(_text, '\n'), l -> l rlike '\\S')", "l", "size(l) - size(array_distinct(l))")
-    body = "array(length(t0) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6))"
+    n = len(CLASSES)
+    body = "array(" + ", ".join([f"length(t{i}) - length(t{i + 1})" for i in range(n)] + [f"length(t{n})"]) + ")"
     for i in range(len(CLASSES), 0, -1):
         body = let(f"regexp_replace(t{i - 1}, '{CLASSES[i - 1]}', '')", f"t{i}", body)
     listed = ", ".join(f"'{w}'" for w in LIST)
@@ -67,20 +69,46 @@ def divergence(ours: str, theirs: str) -> str:
     return let(ours, "c", let(theirs, "q", let("cast(aggregate(c, 0, (a, x) -> a + x) as double)", "tot", f"if(tot > 0, {body}, 1D)")))
 
 
+WIDTH = {"chars": len(CLASSES) + 1, "hits": len(LIST) + 1}
+
+
+def _references(clean: DataFrame) -> dict[str, dict[str, list[int]]]:
+    """Summed histograms by kind and language (``_known``; ``*``: all)."""
+    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in WIDTH for i in range(WIDTH[c])]
+    pools = {r["_known"]: r for r in clean.groupBy("_known").agg(*sums).collect()}
+    found = {c: {k: [r[f"{c}{i}"] or 0 for i in range(n)] for k, r in pools.items()} for c, n in WIDTH.items()}
+    for c, per in found.items():
+        per["*"] = [sum(v[i] for v in per.values()) for i in range(WIDTH[c])]
+    return found
+
+
+def _with_distances(rows: DataFrame, reference: dict[str, dict[str, list[int]]], lang: str) -> DataFrame:
+    def against(c: str):
+        shares = {k: [x / (sum(v) or 1) for x in v] for k, v in reference[c].items()}
+        choice = F.lit(shares["*"])
+        for k, v in shares.items():
+            if k in COMMON and sum(reference[c][k]):
+                choice = F.when(F.col(lang) == k, F.lit(v)).otherwise(choice)
+        return choice
+
+    held = rows.withColumns({"_qc": against("chars"), "_qw": against("hits")})
+    return held.withColumns({"char_distance": F.expr(divergence("chars", "_qc")), "word_distance": F.expr(divergence("hits", "_qw"))}).drop("_qc", "_qw")
+
+
 def quality_rules(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    max_char_distance: float = 0.17,
+    max_char_distance: float = 0.13,
     max_word_distance: float = 0.50,
-    min_chars: int = 300,
+    min_chars: int = 200,
     min_words: int = 100,
     columns: list[str] | None = None,
 ) -> DataFrame:
     """Judge documents by base rules and by Jensen-Shannon distance to the references of their language.
 
-    References are the pooled histograms of all documents of each language in ``COMMON`` that pass the base rules; a
-    document of another or no language is held against the pool of all. ``kept`` is false if a base rule fails, if the
+    References are pooled histograms of each language in ``COMMON``, over all its documents that pass the base rules and then
+    over the half of them that is nearest to that pool; a document of another or no language is held against the pool of all. ``kept`` is false if a base rule fails, if the
     character classes are further than ``max_char_distance`` away (texts of ``min_chars`` and more) or the common words
     further than ``max_word_distance`` (texts of ``min_words`` and more). Null, empty or blank text: no words, so
     ``base_failed``. Repeated rows are judged alike; an empty table gives an empty result; all input columns (or the ``columns`` named) stay, and
@@ -92,27 +120,16 @@ def quality_rules(
     counted = rule_counts(docs.select(*dict.fromkeys([*columns, text, lang])), text).withColumn("base_failed", failed)
     counted = written(counted.select(*dict.fromkeys([*columns, lang]), *made[:8]), "rule-counts")
 
-    # The references are six rows of sums at most, whatever the input.
+    # References are a few rows of sums, whatever the input. Those of all clean rows come first; the final ones pool the half
+    # of each language's rows that lies nearest to them, so that oddities among the clean rows do not shape what they are held to.
     known = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise("")
-    width = {"chars": len(CLASSES) + 1, "hits": len(LIST) + 1}
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in width for i in range(width[c])]
-    clean = counted.where(~F.col("base_failed") & (F.col("n_symbols") * 50 < F.col("word_chars")))
-    pools = {r["k"]: r for r in clean.groupBy(known.alias("k")).agg(*sums).collect()}
-    reference = {c: {k: [r[f"{c}{i}"] or 0 for i in range(n)] for k, r in pools.items()} for c, n in width.items()}
-    for c, per in reference.items():
-        per["*"] = [sum(v[i] for v in per.values()) for i in range(width[c])]
-
-    def against(c: str):
-        shares = {k: [x / (sum(v) or 1) for x in v] for k, v in reference[c].items()}
-        choice = F.lit(shares["*"])
-        for k, v in shares.items():
-            if k in COMMON and sum(reference[c][k]):
-                choice = F.when(F.col(lang) == k, F.lit(v)).otherwise(choice)
-        return choice
-
-    judged = counted.withColumns({"_qc": against("chars"), "_qw": against("hits")}).withColumns(
-        {"char_distance": F.expr(divergence("chars", "_qc")), "word_distance": F.expr(divergence("hits", "_qw"))}
-    )
+    clean = counted.where(~F.col("base_failed") & (F.col("n_symbols") * 50 < F.col("word_chars"))).withColumn("_known", known)
+    first = _with_distances(clean, _references(clean), lang)
+    half = {r["_known"]: r["m"] for r in first.groupBy("_known").agg(F.percentile_approx("char_distance", 0.5, 1000).alias("m")).collect()}
+    near = F.lit(None).cast("double")
+    for k, m in half.items():
+        near = F.when(F.col("_known") == k, F.lit(m)).otherwise(near)
+    judged = _with_distances(counted, _references(first.where(F.col("char_distance") <= near)), lang)
     odd = ((F.col("char_distance") > max_char_distance) & (F.aggregate("chars", F.lit(0), lambda a, x: a + x) >= min_chars)) | (
         (F.col("word_distance") > max_word_distance) & (F.col("n_words") >= min_words)
     )
