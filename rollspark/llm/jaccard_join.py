@@ -256,7 +256,8 @@ def jaccard_groups(
 
     # Round one: the most connected class of each posting is its hub.
     sizes = written(postings.groupBy("token").agg(F.count("*").alias("m")), "posting-sizes")
-    degree = written(postings.join(sizes, "token").groupBy("cls").agg(F.sum("m").alias("degree")), "degrees")
+    postings = written(postings.join(sizes, "token"), "sized-postings")
+    degree = written(postings.groupBy("cls").agg(F.sum("m").alias("degree")), "degrees")
     ranked = written(postings.join(degree, "cls").select("token", "cls", "n", "degree"), "ranked")
     hubs = written(ranked.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hn")), "posting-hubs")
     fits = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
@@ -269,7 +270,7 @@ def jaccard_groups(
 
     # Round two: bands of sizes are steps of 4 %; what a class can still link to is told from counts per band.
     grouped = postings.join(written(groups, "groups").withColumnRenamed("node", "cls"), "cls", "left")
-    grouped = grouped.select("token", "cls", "n", F.coalesce("component", "cls").alias("g"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.04)).cast("int").alias("band"))
+    grouped = grouped.select("token", "m", "cls", "n", F.coalesce("component", "cls").alias("g"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.04)).cast("int").alias("band"))
     grouped = written(grouped, "grouped")
     spread = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
     open_ = written(grouped.join(written(spread, "open-tokens"), "token"), "open")
@@ -279,16 +280,21 @@ def jaccard_groups(
     counted = met.groupBy("cls", "n", "other").agg(F.count("*").alias("c"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
     # The need rises as sizes come near to each other: it is least at an end of the band, or where the sizes are equal.
     needs = [_least_shared("n", x, percent) for x in ("n_lo", "n_hi")]
-    alive = counted.where(f"c >= least({needs[0]}, {needs[1]})").groupBy("cls").agg(F.collect_set("other").alias("others"))
+    counted = counted.withColumn("need", F.expr(f"cast(least({needs[0]}, {needs[1]}) as int)")).where("c >= need")
+    alive = counted.groupBy("cls").agg(F.collect_set("other").alias("others"), F.min("need").alias("need"))
     live = written(open_.join(written(alive, "alive"), "cls"), "live")
-    # Classes around the same hub stand in blocks; blocks that share a token meet, and pairs are counted inside them.
+    # Classes around the same hub stand in blocks; blocks that share one of their classes' rarest tokens meet,
+    # and pairs are counted inside them.
     hub_of = near.groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("h")).select("cls", F.col("h.hub").alias("hub"))
-    row = live.groupBy("cls").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("band").alias("band"), F.first("others").alias("others"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    row = live.groupBy("cls").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("band").alias("band"), F.first("others").alias("others"), F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("m", "token"))).alias("t"))
+    row = row.withColumn("tokens", F.col("t.token")).drop("t")
     row = written(row.join(written(hub_of, "hub-of"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls")), "live-classes")
     size = written(row.groupBy("hub").agg(F.count("*").alias("m")), "hub-sizes")
     placed = written(row.join(size, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))).drop("hub", "m"), "placed")
     blocks = written(placed.groupBy("block").agg(F.collect_list(F.struct("cls", "n", "g", "band", "others", "tokens")).alias("members")), "blocks")
-    spots = written(placed.select("block", F.explode("tokens").alias("token")).distinct(), "spots")
+    # Of the tokens that a linked pair shares, the rarest is among each side's first: all but as many as it needs, less one.
+    rarest = F.expr("slice(tokens, 1, size(tokens) - need + 1)")
+    spots = written(placed.where("size(tokens) >= need").select("block", F.explode(rarest).alias("token")).distinct(), "spots")
     meets = spots.withColumnRenamed("block", "block1").join(spots.withColumnRenamed("block", "block2"), "token").where("block1 <= block2").select("block1", "block2").distinct()
     meets = written(meets, "meets")
     sides = meets.join(blocks.select(F.col("block").alias("block1"), F.col("members").alias("m1")), "block1")
