@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import parts, written
 
 
+#: The id of a place that no vector has taken; it sorts behind all others.
+FREE = np.iinfo(np.int64).max
+
+
 class BallTree:
     """A ball tree over a shard's vectors; leaves hold ``leaf`` vectors at most."""
 
@@ -38,7 +42,7 @@ class BallTree:
         """The k best (scores, ids) of each query among vectors with a score of at least ``floor``, ties to smaller ids.
 
         Nodes are bounded by q.c + |q| r and by their parents' bounds; each query visits leaves from the highest bound on and
-        stops when the next bound is under its kth score or its floor. Places that stay free have the id -1.
+        stops when the next bound is under its kth score or its floor. Places that stay free have the id ``FREE``.
         """
         bound = queries @ self.centers.T + np.sqrt((queries.astype(np.float64) ** 2).sum(1))[:, None] * self.radii
         bound = bound + 1e-6 + 1e-9 * np.abs(bound)
@@ -49,7 +53,7 @@ class BallTree:
         order = np.argsort(-bound, axis=1, kind="stable")
         low = np.iinfo(np.int64).min
         scores = np.full((len(queries), k), low, np.int64)
-        ids = np.full((len(queries), k), -1, np.int64)
+        ids = np.full((len(queries), k), FREE, np.int64)
         active = np.arange(len(queries))
         for turn in range(len(self.leaves)):
             at = order[active, turn]
@@ -63,9 +67,8 @@ class BallTree:
                 names = np.broadcast_to(self.ids[rows], got.shape)
                 out = (names == own[q][:, None]) | (got < floor[q][:, None])
                 got = np.concatenate([scores[q], np.where(out, low, got)], 1)
-                names = np.concatenate([ids[q], np.where(out, -1, names)], 1)
-                # Free places sort behind the found ones of the same score.
-                best = np.lexsort((np.where(names < 0, np.iinfo(np.int64).max, names), -np.maximum(got, low + 1)), axis=1)[:, :k]
+                names = np.concatenate([ids[q], np.where(out, FREE, names)], 1)
+                best = np.lexsort((names, -np.maximum(got, low + 1)), axis=1)[:, :k]
                 scores[q], ids[q] = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
         return scores, ids
 
@@ -123,7 +126,7 @@ def exact_top_k(
             own = right["id"].to_numpy(np.int64)[i : i + block_rows]
             scores, ids = tree.search(q[i : i + block_rows], own, k, floor[i : i + block_rows])
             name = right["query"].to_numpy(np.int64)[i : i + block_rows]
-            good = ids >= 0 if left["id"].min() >= 0 else scores > np.iinfo(np.int64).min
+            good = ids != FREE
             found.append(pd.DataFrame({"query_id": np.repeat(own, k)[good.ravel()], "query": np.repeat(name, k)[good.ravel()], "vec_id": ids[good], "score": scores[good]}))
         return pd.concat(found)
 

@@ -127,7 +127,7 @@ def brute_top(rows, k, every):
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 1, 8).round(1).tolist()) for i in range(400)]
-    rows += [(400 + i, [0.5] * 8) for i in range(60)]  # ties
+    rows += [(400 + i, [0.5] * 8) for i in range(60)] + [(-i, [0.5] * 8) for i in range(1, 5)]  # ties
     rows += [(1000, None), (1010, [1.0, None] * 4), (1020, [float("nan")] * 8), (1030, [float("inf")] * 8), (None, [1.0] * 8), (1040, [1.0, 2.0]), (1041, [2.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, query string")
     got = exact_top_k(df, every=10, shard_rows=64, block_rows=7)
