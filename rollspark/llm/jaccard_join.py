@@ -40,7 +40,7 @@ def _dealt(tokens: np.ndarray, slots: int):
 
 def describe(docs: DataFrame, text: str, k: int, slots: int, flush: int) -> DataFrame:
     """A row per document (doc_id, rid, n, cls: the name of its set), and rows (slot, blob) of tokens that a task has met in
-    three sets or more, with their counts. Docs: doc_id, rid, text."""
+    two sets or more, with their counts. Docs: doc_id, rid, text."""
 
     def run(batches):
         seen: set[int] = set()
@@ -49,7 +49,7 @@ def describe(docs: DataFrame, text: str, k: int, slots: int, flush: int) -> Data
 
         def flushed():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 3
+            often = counts >= 2
             tokens, counts = tokens[often], counts[often].astype(np.uint64)
             dealt = _dealt(tokens, slots)
             n = len(dealt)
@@ -219,7 +219,7 @@ def jaccard_groups(
     text: str = "text",
     k: int = 5,
     percent: int = 75,
-    frequent_least: int = 24,
+    frequent_least: int = 8,
     frequent_most: int = 1 << 18,
     rows_per_slot: int = 4000,
     flush: int = 2_000_000,
