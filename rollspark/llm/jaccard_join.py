@@ -182,6 +182,14 @@ def _least_shared(na: str, nb: str, percent: int) -> str:
     return f"greatest(1, {need} - {beyond})"
 
 
+def _least_in_band(n: str, lo: str, hi: str, percent: int) -> str:
+    """SQL: the least of ``_least_shared`` of size ``n`` over every size from ``lo`` to ``hi``.
+
+    The ends of a band are not enough: the ceils step at different sizes, so a size between them can need less.
+    """
+    return f"array_min(transform(sequence({lo}, {hi}), x -> {_least_shared(n, 'x', percent)}))"
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: int = 256) -> DataFrame:
     """The pairs (hub, spoke) of sets that are linked. Texts: cls, text.
 
@@ -278,9 +286,7 @@ def jaccard_groups(
     bands = written(bands.withColumnRenamed("band", "other"), "bands")
     met = open_.join(bands, "token").where("lo <> hi or lo <> g").where(f"100 * n_hi >= {percent} * n and {percent} * n_lo <= 100 * n")
     counted = met.groupBy("cls", "n", "other").agg(F.count("*").alias("c"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
-    # The need rises as sizes come near to each other: it is least at an end of the band, or where the sizes are equal.
-    needs = [_least_shared("n", x, percent) for x in ("n_lo", "n_hi")]
-    counted = counted.withColumn("need", F.expr(f"cast(least({needs[0]}, {needs[1]}) as int)")).where("c >= need")
+    counted = counted.withColumn("need", F.expr(f"cast({_least_in_band('n', 'n_lo', 'n_hi', percent)} as int)")).where("c >= need")
     alive = counted.groupBy("cls").agg(F.collect_set("other").alias("others"), F.min("need").alias("need"))
     live = written(open_.join(written(alive, "alive"), "cls"), "live")
     # Classes around the same hub stand in blocks; blocks that share one of their classes' rarest tokens meet,

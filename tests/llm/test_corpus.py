@@ -17,7 +17,7 @@ from rollspark.llm import gru
 from rollspark.llm.bpe import encode_documents
 from rollspark.llm.chunks import encoding_of, id_bytes
 from rollspark.llm.components import connected_components
-from rollspark.llm.jaccard_join import jaccard_groups
+from rollspark.llm.jaccard_join import _least_in_band, _least_shared, jaccard_groups
 from rollspark.llm.language_id import identify_languages
 from rollspark.llm.lm_scoring import score_documents
 from rollspark.llm.packing import best_two_fit, pack_documents
@@ -25,6 +25,7 @@ from rollspark.llm.quality_classifier import classify_quality
 from rollspark.llm.quality_rules import quality_rules
 from rollspark.llm.secrets import BASE, MORE, redact, scan_secrets, secret_digest, trigram_query
 from rollspark.llm.sharding import shard_by_splitters
+from rollspark.llm.shingles import shingle_set
 from rollspark.llm.topk import exact_top_k
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hub string, rank int, block string"
@@ -192,6 +193,31 @@ def test_jaccard_groups(spark):
     assert jaccard_groups(empty(spark)).count() == 0
 
 
+def test_jaccard_band_with_a_dip(spark):
+    """61 and 79 shingles at exactly 75 %: one shared prefix token is enough, while 78 and 80, in 79's band, need two."""
+    passage, own = [f"p{i}" for i in range(64)], iter(range(10**6))
+    fresh = lambda n: [f"o{next(own)}" for _ in range(n)]
+    low = lambda words: min(int(t) >> 1 for t in shingle_set(" ".join(words)))
+    at = min(range(60), key=lambda i: low(passage[i : i + 5]))
+    first = passage[at : at + 5]  # of the frequent shingles, the one that stands first in prefixes
+    other = next(w for s in range(100) if low(w := [f"q{s}_{i}" for i in range(63)]) > low(first))
+    tail = fresh(16)
+    rows = [" ".join(w) for w in (passage + fresh(1), passage + fresh(19), other[:62] + first + fresh(15), other + first + tail, tail)]
+    assert [len(shingle_set(t)) for t in rows] == [61, 79, 78, 80, 12]
+    rows += [" ".join(passage + other + fresh(200)) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    got = jaccard_groups(df).collect()
+    assert counted([tuple(r) for r in got]) == brute_groups(list(enumerate(rows)))
+    assert {r.doc_id: r.component_id for r in got}[1] == 0
+
+
+def test_jaccard_needs_of_bands_are_bounds(spark):
+    sizes = spark.range(1, 260).selectExpr("id as n").crossJoin(spark.range(1, 350).selectExpr("id as x")).where("3 * n <= 4 * x and 3 * x <= 4 * n")
+    sizes = sizes.selectExpr("n", "x", "floor(ln(x) / ln(1.04)) as band", f"{_least_shared('n', 'x', 75)} as need")
+    bands = sizes.groupBy("n", "band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("need").alias("need"))
+    assert bands.where(f"{_least_in_band('n', 'lo', 'hi', 75)} > need").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(2000, 2040)] + [(None, 1), (5, 5)]
