@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollspark.llm.common import table, written
-from rollspark.llm.jaccard_join import jaccard_groups
+from rollspark.llm.jaccard_join import first_rows
 from rollspark.llm.packing import pack_documents
 from rollspark.llm.quality_classifier import classify_quality
 from rollspark.llm.quality_rules import quality_rules as judge
@@ -26,10 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, in one row; rows without doc_id stay."""
-    stay = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    """Of each group of linked texts one row stays: the one with the smallest doc_id, null only where there is no other, then
+    with the smallest hash of key and text. Texts without shingles link with nothing; each (doc_id, text) of them stays once."""
+    rows = docs.select(*COLUMNS).withColumn("rid", F.xxhash64("doc_id", "text")).dropDuplicates(["rid"])
+    return rows.join(first_rows(docs), "rid", "left_semi").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,33 +221,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: in
     return spokes.unionByName(hubs).groupBy("hub", "salt").applyInPandas(verify, "a long, b long")
 
 
-def jaccard_groups(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    k: int = 5,
-    percent: int = 75,
-    frequent_least: int = 8,
-    frequent_most: int = 1 << 18,
-    rows_per_slot: int = 4000,
-    flush: int = 2_000_000,
-    block: int = 128,
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document.
-
-    Two documents link when their sets of k-word shingles have a Jaccard similarity of ``percent`` / 100 or more. Texts
-    with equal sets are one class throughout. Prefixes under the first order, frequent tokens last, give postings of classes.
-
-    Round one: in each posting every class is paired with the posting's most connected class, a number of pairs that grows
-    with the postings; linked ones join groups. Round two: pairs across groups, and only between classes that share enough
-    prefix tokens for their sizes, counted first per class and band of sizes, then per pair, in blocks of about ``block``
-    classes around the same hub. Candidates must share prefix tokens under all further orders before they are verified on
-    the whole sets. Nothing is capped: links within a group that is connected already are the only ones left out.
-
-    Null, empty or blank text: 0 shingles, linked with nothing, a component of its own. Repeated rows and equal texts share
-    a component. Null keys stay null and name no component. An empty table gives an empty result. Sets are compared by
-    64-bit hashes of shingles; slots and partitions grow with the rows.
-    """
+def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequent_least: int = 8, frequent_most: int = 1 << 18, rows_per_slot: int = 4000, flush: int = 2_000_000, block: int = 128) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, rid: hash of key and text, n, cls), and the groups (node: a class, component) of linked classes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     slots = parts(spark, rows.count(), rows_per_slot, 64)
@@ -312,7 +287,37 @@ def jaccard_groups(
     found = F.expr(f"flatten(transform(m1, x -> transform(filter(m2, y -> {linked}), y -> named_struct('hub', x.cls, 'spoke', y.cls))))")
     second = sides.select(F.explode(found).alias("p")).select("p.*")
     more = verified(second, texts, k, percent)
-    groups = connected_components(links.unionByName(more))
+    return members, connected_components(links.unionByName(more))
+
+
+def jaccard_groups(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    percent: int = 75,
+    frequent_least: int = 8,
+    frequent_most: int = 1 << 18,
+    rows_per_slot: int = 4000,
+    flush: int = 2_000_000,
+    block: int = 128,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document.
+
+    Two documents link when their sets of k-word shingles have a Jaccard similarity of ``percent`` / 100 or more. Texts
+    with equal sets are one class throughout. Prefixes under the first order, frequent tokens last, give postings of classes.
+
+    Round one: in each posting every class is paired with the posting's most connected class, a number of pairs that grows
+    with the postings; linked ones join groups. Round two: pairs across groups, and only between classes that share enough
+    prefix tokens for their sizes, counted first per class and band of sizes, then per pair, in blocks of about ``block``
+    classes around the same hub. Candidates must share prefix tokens under all further orders before they are verified on
+    the whole sets. Nothing is capped: links within a group that is connected already are the only ones left out.
+
+    Null, empty or blank text: 0 shingles, linked with nothing, a component of its own. Repeated rows and equal texts share
+    a component. Null keys stay null and name no component. An empty table gives an empty result. Sets are compared by
+    64-bit hashes of shingles; slots and partitions grow with the rows.
+    """
+    members, groups = _classes(docs, key, text, k, percent, frequent_least, frequent_most, rows_per_slot, flush, block)
 
     # Every document's class, the class's group, and the group's smallest document.
     classes = written(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
@@ -322,3 +327,14 @@ def jaccard_groups(
     named = written(classes.join(lowest, "g").select("cls", "component_id"), "named")
     full = members.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """rid (xxhash64 of key and text): one row of each group of ``jaccard_groups``, told by texts alone, so equal and null keys
+    are no groups. It has the least key, null keys last, then the least rid. Of texts without shingles every rid is there."""
+    members, groups = _classes(docs, key, text, k, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
+    classes = written(members.where("n > 0").groupBy("cls").agg(least), "first-of-classes")
+    classes = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("least", F.coalesce("component", "cls").alias("g"))
+    firsts = classes.groupBy("g").agg(F.min("least").alias("least")).select("least.rid")
+    return firsts.unionByName(members.where("n = 0").select("rid").distinct())

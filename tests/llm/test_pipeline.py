@@ -30,6 +30,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(out, key=str) == [1, 2, 4, None]
 
 
+def test_repeated_and_null_keys_are_decided_by_text(spark):
+    a, b, c = ("one two three four five six", "six seven eight nine ten", "red green blue white black")
+    rows = [(1, a), (1, b), (1, b), (None, a), (None, c), (None, c), (None, None), (None, None), (2, b), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, DIR).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (1, b), (None, c), (None, None), (3, ""), (3, None)], key=str)
+
+
 def test_entry_has_the_corpus_queries():
     import __spark_entry__ as e
 
