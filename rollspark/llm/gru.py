@@ -54,24 +54,27 @@ def step(weights: list[np.ndarray], x: np.ndarray, h: np.ndarray, several: bool
     return (1 - z) * c + z * h, (x, h, z, r, hv, c)
 
 
-def train(flat: np.ndarray, classes: int, hidden: int, tokens: np.ndarray, streams: int = 64, window: int = 25, rate: float = 0.01) -> np.ndarray:
+def train(flat: np.ndarray, classes: int, hidden: int, tokens: np.ndarray, streams: int = 64, window: int = 25, rate: float = 0.01, state: dict | None = None) -> np.ndarray:
     """One pass of Adam over a run of class tokens (texts ended by END), cut into parallel streams.
 
-    Gradients go back through one window at most; states are carried from window to window.
+    Gradients go back through one window at most; states are carried from window to window. Adam's moments and turns are
+    carried in ``state`` from one run to the next.
     """
     streams = max(1, min(streams, len(tokens) // (2 * window)))
-    length = (len(tokens) - 1) // streams
+    length = -(-(len(tokens) - 1) // streams)
     if length < 1:
         return flat
-    xs = np.stack([tokens[i * length : (i + 1) * length] for i in range(streams)], 1)
-    ys = np.stack([tokens[i * length + 1 : (i + 1) * length + 1] for i in range(streams)], 1)
+    spare = np.full(streams * length - len(tokens) + 1, -1)  # fills up the streams, and is not learned from
+    xs = np.maximum(np.concatenate([tokens[:-1], spare]), END).reshape(streams, length).T
+    ys = np.concatenate([tokens[1:], spare]).reshape(streams, length).T
     flat = flat.copy()
     weights = unflatten(flat, classes, hidden)
     grad = np.zeros_like(flat)
     ge, gu, gv, go, gb = unflatten(grad, classes, hidden)
-    m, s = np.zeros_like(flat), np.zeros_like(flat)
+    state = {} if state is None else state
+    m, s = state.setdefault("m", np.zeros_like(flat)), state.setdefault("s", np.zeros_like(flat))
     h = np.zeros((streams, hidden), np.float32)
-    for turn, begin in enumerate(range(0, length, window), 1):
+    for turn, begin in enumerate(range(0, length, window), state.get("turn", 0) + 1):
         grad[:] = 0
         kept, states = [], []
         for x in xs[begin : begin + window]:
@@ -85,26 +88,34 @@ def train(flat: np.ndarray, classes: int, hidden: int, tokens: np.ndarray, strea
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        p /= len(y)
+        p[y < 0] = 0
+        p /= (y >= 0).sum()
         go += hs.T @ p
         gb += p.sum(0)
         dhs = (p @ o.T).reshape(len(states), streams, hidden)
         dh = np.zeros_like(h)
+        rows = np.empty((len(kept), streams, 3 * hidden), np.float32)  # gradients of each step's row of e
         for t in range(len(kept) - 1, -1, -1):
             x, h0, z, r, hv, c = kept[t]
             dh = dh + dhs[t]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (h0 - c) * z * (1 - z)
             dr = dc * hv * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            np.add.at(ge, x, np.concatenate([dzr, dc], 1))
-            gu += h0.T @ dzr
-            gv += h0.T @ (dc * r)
-            dh = np.where((x == END)[:, None], np.float32(0), dh * z + dzr @ u.T + (dc * r) @ v.T)
+            dzr, dcr = rows[t, :, : 2 * hidden], dc * r
+            dzr[:, :hidden], dzr[:, hidden:], rows[t, :, 2 * hidden :] = dz, dr, dc
+            dh = np.where((x == END)[:, None], np.float32(0), dh * z + dzr @ u.T + dcr @ v.T)
+        x, before, r = (np.concatenate([k[i] for k in kept]) for i in (0, 1, 3))
+        rows = rows.reshape(-1, 3 * hidden)
+        own = np.zeros((len(x), classes), np.float32)
+        own[np.arange(len(x)), x] = 1
+        ge += own.T @ rows
+        gu += before.T @ rows[:, : 2 * hidden]
+        gv += before.T @ (rows[:, 2 * hidden :] * r)
         grad *= min(1.0, 1.0 / (np.sqrt((grad * grad).sum()) + 1e-9))
         m += 0.1 * (grad - m)
         s += 0.001 * (grad * grad - s)
         flat -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-8)
+        state["turn"] = turn
     return flat
 
 

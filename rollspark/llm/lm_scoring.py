@@ -52,7 +52,8 @@ def score_documents(
     top_words: int = 95,
     shapes: int = 32,
     hidden: int = 24,
-    train_one_in: tuple[int, ...] = (64, 12),
+    train_one_in: tuple[int, ...] = (64, 1),
+    run_tokens: int = 1 << 20,
     block_bytes: int = 4 << 20,
     rows_per_part: int = 8000,
 ) -> DataFrame:
@@ -63,12 +64,15 @@ def score_documents(
     recurrent network times P(word in class). The ``top_words`` commonest words and the end are classes of their own; other
     words share ``shapes`` classes by their ends, each of which holds its own words by count and, by the Good-Turing
     estimate, one unknown word. The network learns in rounds; in each, every partition runs over one in ``train_one_in[round]``
-    of its learning documents from the same start, and weights are averaged by tokens, so what is learned from grows with
-    the input. States are carried over whole texts in learning and in scoring.
+    of its learning documents from the same start, and weights are averaged by tokens. The last round is over all of them (1);
+    rounds before it only give it a start. A partition is learned from in runs of about ``run_tokens``, which bound memory.
+    States are carried over whole texts in scoring, and in learning but where streams are cut.
 
     Null or empty text: the end alone. Without documents to learn from, counts are 0, base_score is that of unseen tokens
     and the score that of the unlearned network. Repeated rows are scored alike; an empty table gives an empty result.
     """
+    if train_one_in[-1] != 1:
+        raise ValueError("the last round must be over all learning documents")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), (crc_mod(key, of) == held).alias("held"))
     size = rows.agg(F.count("*").alias("n"), F.sum((~F.col("held")).cast("long")).alias("train")).first()
@@ -127,16 +131,26 @@ def score_documents(
 
         def learn(batches):
             memo: dict[bytes, int] = {}
-            texts = []
+            texts: list[np.ndarray] = []
+            got, state, size, total = shared.value, {}, 0, 0
+
+            def learned():
+                return gru.train(got, classes, hidden, np.concatenate([*texts, [gru.END]]), state=state)
+
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     words = words_of(t)
                     memo.update((w, class_of(w)) for w in set(words).difference(memo))
                     texts.append(np.array([gru.END, *map(memo.__getitem__, words)], np.int64))
+                    size += len(texts[-1])
+                    if size >= run_tokens:
+                        got = learned()
+                        texts, size, total = [], 0, total + size
             if texts:
-                run = np.concatenate([*texts, [gru.END]])
-                got = gru.train(shared.value, classes, hidden, run).astype(np.float64) * len(run)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(got)), pa.int32()), pa.array(np.concatenate([[len(run)], got]))], ["i", "v"])
+                got = learned()
+            total += size
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(got)), pa.int32()), pa.array(np.concatenate([[total], got.astype(np.float64) * total]))], ["i", "v"])
 
         drawn = rows.where(~F.col("held") & (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(turn)), F.lit(one_in)) == 0))
         found = {r["i"]: r["v"] for r in drawn.select("text").mapInArrow(learn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}

@@ -397,6 +397,30 @@ def test_lm_scores(spark):
     assert score_documents(df.limit(0)).count() == 0
 
 
+def test_every_learning_document_reaches_the_network(spark):
+    rng = np.random.default_rng(4)
+    words = PROSE.split()
+    rows = [(i, " ".join(rng.permutation(words)[:20])) for i in range(60)]
+    learns = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    drawn = "pmod(xxhash64(cast(id as string), 0), 64) = 0 or pmod(xxhash64(cast(id as string), 1), 12) = 0"
+    one = next(i for i in learns if i not in {r.id for r in spark.range(60).where(drawn).collect()})
+    turned = [(i, " ".join(t.split()[::-1]) if i == one else t) for i, t in rows]  # the same counts in another order
+    a, b = ({r.doc_id: r for r in score_documents(spark.createDataFrame(x, "doc_id long, text string").coalesce(1)).collect()} for x in (rows, turned))
+    assert all(a[i].base_score == pytest.approx(b[i].base_score) for i, _ in rows)
+    assert sum(abs(a[i].score - b[i].score) > 1e-4 for i, _ in rows if i != one) > 30
+    with pytest.raises(ValueError):
+        score_documents(spark.createDataFrame(rows, "doc_id long, text string"), train_one_in=(4, 2))
+
+
+def test_gru_learns_from_every_token_in_runs():
+    start, run = gru.initial(np.ones(4), 4), np.array([0, 1, 2, 3] * 100)
+    other = np.append(run[:-1], 2)
+    assert np.abs(gru.train(start, 4, 4, run, streams=7) - gru.train(start, 4, 4, other, streams=7)).max() > 1e-6
+    state = {}
+    once = gru.train(start, 4, 4, run, streams=1, state=state)
+    assert state["turn"] == 16 and np.abs(gru.train(once, 4, 4, run, streams=1, state=state) - once).max() > 0 and state["turn"] == 32
+
+
 def test_gru_is_a_distribution_and_windows_do_not_matter():
     rng = np.random.default_rng(0)
     w = gru.initial(np.ones(5), 4) + rng.normal(0, 0.3, len(gru.initial(np.ones(5), 4))).astype(np.float32)
