@@ -39,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Delete what ``written`` has written for ``df``, once all that was made of it is written itself."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``."""
     return f"transform(array({value}), {name} -> {body})[0]"

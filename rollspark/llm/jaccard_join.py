@@ -2,292 +2,350 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import parts, released, written
 from .components import connected_components
 from .shingles import set_key, shingle_set
 
-#: Further orders of tokens besides the first (frequent tokens last, then by hash).
-ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Hash factors of the global token orders. The first order is by exact counts, the others by rough counts (powers of two);
+#: ties are broken by the hashes, so the orders differ from each other.
+ORDERS = (np.uint64(1), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Bytes of a token that travel to its slot; the slot itself tells tokens apart by further bits.
+TOKEN_BYTES = 6
+#: Set in an owner's number: not an owner but the count of the block's sets that hold the token.
+MANY = np.uint32(1 << 31)
+
+DOCUMENT, LOCAL, MESSAGE, REPLY = range(4)
 
 
 def _ceil(a: int, b: int) -> int:
     return -(-a // b)
 
 
-def _slots(tokens: np.ndarray, slots: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
-
-
-def _prefix(tokens: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens under an order, of which linked sets share one at least."""
-    n = len(tokens)
-    return tokens[np.argsort(order, kind="stable")[: n - _ceil(percent * n, 100) + 1]]
-
-
-def _dealt(tokens: np.ndarray, slots: int):
-    """Indices of tokens by slot."""
-    slot = _slots(tokens, slots)
-    by = np.argsort(slot, kind="stable")
-    cuts = np.flatnonzero(np.diff(slot[by])) + 1
-    return [(int(slot[i[0]]), i) for i in np.split(by, cuts)] if len(by) else []
-
+def _short(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
 
-def describe(docs: DataFrame, text: str, k: int, slots: int, flush: int) -> DataFrame:
-    """A row per document (doc_id, rid, n, cls: the name of its set), and rows (slot, blob) of tokens that a task has met in
-    two sets or more, with their counts. Docs: doc_id, rid, text."""
 
-    def run(batches):
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        size = 0
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(np.uint64).ravel()
 
-        def flushed():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 2
-            tokens, counts = tokens[often], counts[often].astype(np.uint64)
-            dealt = _dealt(tokens, slots)
-            n = len(dealt)
-            none = pa.nulls(n, key_type)
-            return pa.RecordBatch.from_arrays(
-                [none, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([s for s, _ in dealt], pa.int32()), pa.array([tokens[i].tobytes() + counts[i].tobytes() for _, i in dealt], pa.binary())],
-                names,
-            )
-
-        for batch in batches:
-            key_type = batch.column(0).type
-            ns, keys = [], []
-            for t in batch.column(2).to_pylist():
-                tokens = shingle_set(t, k)
-                name = set_key(tokens)
-                ns.append(len(tokens)), keys.append(name)
-                if len(tokens) and name not in seen:
-                    seen.add(name)
-                    held.append(tokens)
-                    size += len(tokens)
-                if size >= flush:
-                    yield flushed()
-                    seen, held, size = set(), [], 0
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        if held:
-            yield flushed()
 
-    names = ["doc_id", "rid", "n", "cls", "slot", "blob"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, rid long, n long, cls long, slot int, blob binary")
+def _numbers(values: np.ndarray) -> bytes:
+    """Small numbers in few bytes: the plain size, then zstd."""
+    data = np.ascontiguousarray(values, np.uint32).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def frequent_tokens(described: DataFrame, least: int, most: int) -> np.ndarray:
-    """The up to ``most`` tokens counted most often, ``least`` times or more, sorted. Every order of tokens gives right
-    results; this one keeps what many texts share out of the prefixes."""
+def _from_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint32)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        halves = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in frame["blob"]]
-        tokens, at = np.unique(np.concatenate([h[0] for h in halves]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([h[1] for h in halves]).astype(np.float64)).astype(np.int64)
-        often = counts >= least
-        return pd.DataFrame({"token": tokens[often].view(np.int64), "n": counts[often]})
 
-    counted = described.where("blob is not null").select("slot", "blob").groupBy("slot").applyInPandas(add, "token long, n long")
-    top = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+def _groups(by: np.ndarray):
+    """(value, indices) of each distinct value."""
+    order = np.argsort(by, kind="stable")
+    cuts = np.flatnonzero(np.diff(by[order])) + 1
+    return [(by[i[0]], i) for i in np.split(order, cuts)] if len(by) else []
 
 
-def shared_postings(docs: DataFrame, text: str, k: int, percent: int, frequent: np.ndarray, slots: int, flush: int) -> DataFrame:
-    """token, cls, n: the prefix tokens that two different sets or more have in their prefixes.
+def _block_rows(sets: list[np.ndarray], slots: int) -> list[tuple]:
+    """(kind, slot, tokens, owners) of a block of different sets.
 
-    Tokens travel as binary blocks, a slot's part of a task in each; in a slot, tokens are told apart by 32 further bits, so
-    a few tokens may pass for shared; such pairs fall at verification.
+    A token of one set goes to its slot with its owner. A token of several sets goes once, with their count, however many
+    they are; who holds it stays in the block's local list.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches):
-        often = shared.value
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        size = 0
+    tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
+    owners = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    sorted_ = tokens[order]
+    begins = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(sorted_)])
+    counts = np.diff(np.append(begins, len(sorted_)))
+    once, many = order[begins[counts == 1]], begins[counts > 1]
+    once.sort()  # by owner, so that owners' numbers are small steps
+    sent = np.concatenate([tokens[once], sorted_[many]])
+    marks = np.concatenate([owners[once], counts[counts > 1].astype(np.uint32) | MANY])
+    slot = ((sent >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+    rows = [(MESSAGE, int(s), _short(sent[i]), _numbers(marks[i])) for s, i in _groups(slot)]
+    held = np.repeat(counts > 1, counts)
+    if held.any():
+        # Local tokens are named as the slots name them.
+        local, own = sorted_[held], owners[order][held]
+        rows.append((LOCAL, None, _named(local, ((local >> np.uint64(32)) % np.uint64(slots))).tobytes(), _numbers(own)))
+    return rows
+
+
+def _named(tokens: np.ndarray, slot) -> np.ndarray:
+    """What a token is called after its exchange: the bytes that travelled and its slot."""
+    low = tokens & np.uint64((1 << 8 * TOKEN_BYTES) - 1)
+    return low ^ (np.asarray(slot, np.uint64) << np.uint64(8 * TOKEN_BYTES))
+
+
+def _exchange(rows: DataFrame, slots: int, flush: int, k: int) -> DataFrame:
+    """Give each block of sets the global counts of its tokens that two sets or more hold.
+
+    Rows: doc_id, rid and either text, or n, cls and tokens (a set made before). The result has a row of kind DOCUMENT for
+    every row (at: its number in its block if it is the first of its set there), one of kind LOCAL at most for a block, and
+    REPLY rows (tokens, owners, counts).
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = "text" in rows.columns
+    schema = f"kind int, slot int, block long, at int, doc_id {kind}, rid long, n long, cls long, tokens binary, owners binary, counts binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def send(batches):
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
+        sets: list[np.ndarray] = []
+        seen: dict[int, int] = {}
+        held: list[pa.RecordBatch] = []
+        size = turn = 0
 
         def flushed():
-            tokens = np.concatenate([t for t, _, _ in held])
-            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t, _, _ in held])
-            names, sizes = np.array([c for _, c, _ in held], np.int64), np.array([n for _, _, n in held], np.uint32)
-            out = []
-            for slot, i in _dealt(tokens, slots):
-                own, at = np.unique(who[i], return_inverse=True)
-                head = np.array([len(i), len(own)], np.uint32).tobytes()
-                low = (tokens[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                out.append((slot, head + low.tobytes() + at.astype(np.uint32).tobytes() + sizes[own].tobytes() + names[own].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["slot", "blob"])
+            name = xxhash.xxh3_64_intdigest(b"%d:%d" % (part, turn)) - (1 << 63)
+            for b in held:
+                m = b.num_rows
+                home = pa.array(np.full(m, abs(name) % slots), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, DOCUMENT), pa.int32()), home, pa.array(np.full(m, name), pa.int64()), *b.columns, *(pa.nulls(m, pa.binary()) for _ in range(3))], names)
+            found = _block_rows(sets, slots)
+            m = len(found)
+            slot = [abs(name) % slots if s is None else s for _, s, _, _ in found]
+            nulls = [pa.nulls(m, t) for t in (pa.int32(), key_type, pa.int64(), pa.int64(), pa.int64())]
+            blobs = [pa.array([f[i] for f in found], pa.binary()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array(slot, pa.int32()), pa.array(np.full(m, name), pa.int64()), *nulls, *blobs, pa.nulls(m, pa.binary())], names)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                tokens = shingle_set(t, k)
-                name = set_key(tokens)
-                if not len(tokens) or name in seen:
-                    continue
-                seen.add(name)
-                at = np.searchsorted(often, tokens)
-                hot = often[np.minimum(at, len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
-                prefix = _prefix(tokens, (tokens >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63)), percent)
-                held.append((prefix, name, len(tokens)))
-                size += len(prefix)
+            key_type = batch.column(0).type
+            begin, at, ns, classes = 0, [], [], []
+
+            def hold(end):
+                held.append(pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(ns, pa.int64()), pa.array(classes, pa.int64())], ["at", "doc_id", "rid", "n", "cls"]))
+
+            columns = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+            for i in range(batch.num_rows):
+                if texts:
+                    tokens = shingle_set(columns[0][i], k)
+                    n, cls = len(tokens), set_key(tokens)
+                else:
+                    n, cls, tokens = columns[0][i], columns[1][i], np.frombuffer(columns[2][i], np.uint64)
+                new = len(tokens) > 0 and cls not in seen
+                at.append(len(sets) if new else None), ns.append(n), classes.append(cls)
+                if new:
+                    seen[cls] = len(sets)
+                    sets.append(tokens)
+                    size += len(tokens)
                 if size >= flush:
-                    yield flushed()
-                    seen, held, size = set(), [], 0
+                    hold(i + 1)
+                    yield from flushed()
+                    sets, seen, held, size, turn = [], {}, [], 0, turn + 1
+                    begin, at, ns, classes = i + 1, [], [], []
+            hold(batch.num_rows)
         if held:
-            yield flushed()
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, names, sizes = [], [], []
-        for b in frame["blob"]:
-            n, c = np.frombuffer(b, np.uint32, 2)
-            n, c = int(n), int(c)
-            at = np.frombuffer(b, np.uint32, n, 8 + 4 * n)
-            tokens.append(np.frombuffer(b, np.uint32, n, 8))
-            sizes.append(np.frombuffer(b, np.uint32, c, 8 + 8 * n)[at])
-            names.append(np.frombuffer(b, np.int64, c, 8 + 8 * n + 4 * c)[at])
-        tokens, names, sizes = np.concatenate(tokens), np.concatenate(names), np.concatenate(sizes)
-        # Only tokens met twice go on; then repeats of a set (its copies in other tasks) are dropped.
+            yield from flushed()
+
+    def count(group: pa.Table) -> pa.Table:
+        """A slot: the counts of its tokens over all blocks; what else came here goes on as it is."""
+        is_message = pa.compute.equal(group["kind"], MESSAGE)
+        rest, sent = group.filter(pa.compute.invert(is_message)), group.filter(is_message)
+        if not sent.num_rows:
+            return rest
+        slot = sent["slot"][0].as_py()
+        tokens = [_long(b) for b in sent["tokens"].to_pylist()]
+        owners = [_from_numbers(b) for b in sent["owners"].to_pylist()]
+        lengths = [len(t) for t in tokens]
+        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+        weight = np.where(owners & MANY, owners & ~MANY, 1)
         order = np.argsort(tokens, kind="stable")
-        tokens, names, sizes = tokens[order], names[order], sizes[order]
-        same = tokens[1:] == tokens[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        tokens, names, sizes = tokens[keep], names[keep], sizes[keep]
-        order = np.lexsort((names, tokens))
-        tokens, names, sizes = tokens[order], names[order], sizes[order]
-        keep = np.r_[True, (tokens[1:] != tokens[:-1]) | (names[1:] != names[:-1])][: len(tokens)]
-        tokens, names, sizes = tokens[keep], names[keep], sizes[keep]
-        same = tokens[1:] == tokens[:-1]
-        keep = (np.r_[False, same] | np.r_[same, False])[: len(tokens)]
-        slot = np.int64(frame["slot"].iloc[0]) << 32
-        return pd.DataFrame({"token": tokens[keep].astype(np.int64) | slot, "cls": names[keep], "n": sizes[keep].astype(np.int64)})
-
-    return docs.select(text).mapInArrow(run, "slot int, blob binary").groupBy("slot").applyInPandas(match, "token long, cls long, n long")
-
-
-def _least_shared(na: str, nb: str, percent: int) -> str:
-    """SQL: how many prefix tokens two sets of these sizes share at least if they are linked.
-
-    The overlap is at least percent / (100 + percent) of both sizes; under one order, all of it but what lies beyond one of
-    the prefixes is in both.
+        begins = np.flatnonzero(np.r_[True, tokens[order][1:] != tokens[order][:-1]])
+        sums = np.add.reduceat(weight[order].astype(np.int64), begins)
+        counts = np.empty(len(tokens), np.int64)
+        counts[order] = np.repeat(sums, np.diff(np.append(begins, len(tokens))))
+        keep = np.flatnonzero(counts >= 2)
+        message = np.repeat(np.arange(len(lengths)), lengths)[keep]
+        names_ = _named(tokens, slot)
+        found = [(int(b), keep[i]) for b, i in _groups(message)]
+        blocks = sent["block"].to_numpy()
+        m = len(found)
+        reply = [
+            pa.array(np.full(m, REPLY), pa.int32()),
+            pa.array(np.full(m, slot), pa.int32()),
+            pa.array([int(blocks[b]) for b, _ in found], pa.int64()),
+            *(pa.nulls(m, group.schema.field(c).type) for c in ("at", "doc_id", "rid", "n", "cls")),
+            pa.array([names_[i].tobytes() for _, i in found], pa.binary()),
+            pa.array([_numbers(owners[i]) for _, i in found], pa.binary()),
+            pa.array([_numbers(counts[i]) for _, i in found], pa.binary()),
+        ]
+        return pa.concat_tables([rest, pa.table(reply, schema=group.schema)])
+
+    return rows.mapInArrow(send, schema).groupBy("slot").applyInArrow(count, schema)
+
+
+def _block_sets(group: pa.Table):
+    """(cls, n, tokens, counts) of a block's sets: their tokens that two sets or more hold."""
+    kinds = group["kind"].to_numpy()
+    docs = group.filter(pa.array(kinds == DOCUMENT))
+    docs = docs.take(pa.compute.sort_indices(docs["at"]))
+    tokens, owners, counts = [], [], []
+    for t, o, c in zip(*(group.filter(pa.array(kinds == REPLY))[x].to_pylist() for x in ("tokens", "owners", "counts")), strict=True):
+        tokens.append(np.frombuffer(t, np.uint64)), owners.append(_from_numbers(o)), counts.append(_from_numbers(c))
+    if not tokens:
+        return
+    tokens, owners, counts = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts)
+    many = (owners & MANY) > 0
+    local = group.filter(pa.array(kinds == LOCAL))
+    if local.num_rows:
+        own_tokens, own = np.frombuffer(local["tokens"][0].as_py(), np.uint64), _from_numbers(local["owners"][0].as_py())
+        order = np.argsort(tokens[many])
+        counts_ = counts[many][order][np.searchsorted(tokens[many][order], own_tokens)]
+        tokens, owners, counts = np.concatenate([tokens[~many], own_tokens]), np.concatenate([owners[~many], own]), np.concatenate([counts[~many], counts_])
+    ns, classes = docs["n"].to_pylist(), docs["cls"].to_pylist()
+    for at, i in _groups(owners):
+        yield classes[at], ns[at], tokens[i], counts[i]
+
+
+def _shared_sets(exchanged: DataFrame, percent: int) -> DataFrame:
+    """cls, n, tokens of the sets of which enough tokens occur in other sets for any link at all."""
+
+    def assemble(group: pa.Table) -> pa.Table:
+        found = [(c, n, t.tobytes()) for c, n, t, _ in _block_sets(group) if len(t) >= _ceil(percent * n, 100)]
+        return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["cls", "n", "tokens"])
+
+    return exchanged.where(f"kind <> {DOCUMENT} or at is not null").groupBy("block").applyInArrow(assemble, "cls long, n long, tokens binary")
+
+
+def _filters(exchanged: DataFrame, percent: int) -> DataFrame:
+    """cls, n, sh (how many tokens other sets hold), degree, tokens, and prefix: those of ``sh`` in the prefix by order.
+
+    A set's prefix under an order, rare tokens first, is all but the last ``ceil(percent * n / 100) - 1`` of its tokens.
+    Tokens that no other set holds come first in every order; they only make the rest of the prefix shorter.
     """
-    need = f"ceil({percent}D * ({na} + {nb}) / {100 + percent} - 1e-9)"
-    beyond = f"(greatest(ceil({percent}D * {na} / 100 - 1e-9), ceil({percent}D * {nb} / 100 - 1e-9)) - 1)"
-    return f"greatest(1, {need} - {beyond})"
+
+    def assemble(group: pa.Table) -> pa.Table:
+        found = []
+        for cls, n, tokens, counts in _block_sets(group):
+            length = len(tokens) - _ceil(percent * n, 100) + 1
+            if length > 0:
+                rough = np.floor(np.log2(counts))
+                orders = [np.lexsort((tokens * m, rough if i else counts))[:length] for i, m in enumerate(ORDERS)]
+                found.append((cls, n, len(tokens), int(counts[orders[0]].sum()), np.sort(tokens).tobytes(), [tokens[o].view(np.int64).tolist() for o in orders]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
+        return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["cls", "n", "sh", "degree", "tokens", "prefix"])
+
+    return exchanged.where(f"kind <> {DOCUMENT} or at is not null").groupBy("block").applyInArrow(assemble, "cls long, n long, sh long, degree long, tokens binary, prefix array<array<bigint>>")
 
 
-def _least_in_band(n: str, lo: str, hi: str, percent: int) -> str:
-    """SQL: the least of ``_least_shared`` of size ``n`` over every size from ``lo`` to ``hi``.
+def least_shared(na: str, nb: str, percent: int) -> str:
+    """SQL: how many prefix tokens two sets of these sizes share under any order if they are linked.
 
-    The ends of a band are not enough: the ceils step at different sizes, so a size between them can need less.
+    The overlap is at least percent / (100 + percent) of both sizes; all of it but what lies beyond one of the prefixes is
+    in both. In whole numbers, so nothing is rounded.
     """
-    return f"array_min(transform(sequence({lo}, {hi}), x -> {_least_shared(n, 'x', percent)}))"
+    need = f"(({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent})"
+    beyond = f"((greatest({na}, {nb}) * {percent} + 99) div 100 - 1)"
+    return f"greatest(1, {need} - {beyond})"
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    """SQL: two sets may be linked as far as their sizes and their tokens shared with any other set tell."""
+    return (
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {percent} * ({a}.n + {b}.n) <= {100 + percent} * least({a}.sh, {b}.sh)"
+    )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: int = 256) -> DataFrame:
-    """The pairs (hub, spoke) of sets that are linked. Texts: cls, text.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, tokens_per_task: int = 2_000_000) -> DataFrame:
+    """The pairs (hub, spoke) of sets that are linked, as (a, b). Sets: cls, n, sh, tokens.
 
-    Each hub meets its spokes in groups of about ``group``, so a hub of a third of all sets is dealt over many tasks. A pair
-    must share a prefix token under each further order before its overlap is counted.
+    A hub meets its spokes in groups of about ``tokens_per_task`` tokens, so a hub of a third of all sets is dealt over many.
     """
-    pairs = written(pairs, "pairs")
-    counts = written(pairs.groupBy("hub").agg(F.count("*").alias("m")), "hubs")
-    dealt = pairs.join(counts, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("m") / group)).cast("int").alias("salt"))
-    dealt = written(dealt, "dealt")
-    spokes = dealt.join(texts, F.col("spoke") == F.col("cls")).select("hub", "salt", "cls", "text")
-    hubs = dealt.select("hub", "salt").distinct().join(texts, F.col("hub") == F.col("cls")).select("hub", "salt", "cls", "text")
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        hub = int(frame["hub"].iloc[0])
-        own = frame["cls"] == hub
-        found: list[int] = []
-        if own.any():
-            center = shingle_set(frame["text"][own].iloc[0], k)
-            firsts = [np.sort(_prefix(center, center * m, percent)) for m in ORDERS]
-            for cls, text in zip(frame["cls"][~own], frame["text"][~own], strict=True):
-                other = shingle_set(text, k)
-                if all(np.isin(_prefix(other, other * m, percent), f, assume_unique=True).any() for m, f in zip(ORDERS, firsts, strict=True)):
-                    common = len(np.intersect1d(center, other, assume_unique=True))
-                    if 100 * common >= percent * (len(center) + len(other) - common):
-                        found.append(cls)
-        return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
-
-    return spokes.unionByName(hubs).groupBy("hub", "salt").applyInPandas(verify, "a long, b long")
-
-
-def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequent_least: int = 8, frequent_most: int = 1 << 18, rows_per_slot: int = 4000, flush: int = 2_000_000, block: int = 128) -> tuple[DataFrame, DataFrame]:
+    pairs = written(pairs.join(sets.selectExpr("cls as spoke", "sh as m"), "spoke"), "pairs")
+    salts = pairs.groupBy("hub").agg(F.ceil(F.sum("m") / tokens_per_task).alias("salts"))
+    dealt = written(pairs.join(salts, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), "salts").cast("int").alias("salt")), "dealt")
+    own = sets.select("cls", "n", "tokens")
+    spokes = dealt.join(own, F.col("spoke") == F.col("cls")).select("hub", "salt", "cls", "n", "tokens")
+    hubs = dealt.select("hub", "salt").distinct().join(own, F.col("hub") == F.col("cls")).select("hub", "salt", "cls", "n", "tokens")
+
+    def verify(group: pa.Table) -> pa.Table:
+        hub = group["hub"][0].as_py()
+        classes, ns = group["cls"].to_pylist(), group["n"].to_pylist()
+        sets_ = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+        at = classes.index(hub)
+        found = []
+        for cls, n, own_ in zip(classes, ns, sets_, strict=True):
+            if cls != hub:
+                common = len(np.intersect1d(sets_[at], own_, assume_unique=True))
+                if 100 * common >= percent * (n + ns[at] - common):
+                    found.append(cls)
+        return pa.table([pa.array([hub] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+
+    return spokes.unionByName(hubs).groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
+
+
+def _postings(filters: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """ord, token, cls, n, sh, degree, g: a row for each prefix token of each set under each order."""
+    rows = filters.select("cls", "n", "sh", "degree", "prefix")
+    if groups is None:
+        rows = rows.withColumn("g", F.col("cls"))
+    else:
+        rows = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
+    rows = rows.select("cls", "n", "sh", "degree", "g", F.posexplode("prefix").alias("ord", "prefix"))
+    return rows.select("ord", F.explode("prefix").alias("token"), "cls", "n", "sh", "degree", "g")
+
+
+def _hub_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """hub, spoke: each set with the first of its postings, if it is that under every order. Pairs grow with the postings."""
+    first = F.struct(F.col("degree") if turn == 0 else F.xxhash64("cls", F.lit(turn)), F.col("cls"), F.col("n"), F.col("sh"), F.col("g"))
+    hubs = postings.groupBy("ord", "token").agg(F.max(first).alias("h"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    met = postings.alias("x").join(hubs, ["ord", "token"]).where(f"x.g <> h.g and {_fits('x', 'h', percent)}")
+    pairs = met.groupBy(F.col("h.cls").alias("hub"), F.col("x.cls").alias("spoke")).agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("orders"))
+    return pairs.where(F.col("orders") == (1 << len(ORDERS)) - 1).select("hub", "spoke")
+
+
+def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """hub, spoke: all pairs of sets of different groups that share enough prefix tokens under every order."""
+    spread = postings.groupBy("ord", "token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("ord", "token")
+    open_ = written(postings.drop("degree").join(spread, ["ord", "token"], "left_semi"), "open")
+    met = open_.alias("x").join(open_.alias("y"), ["ord", "token"]).where(f"x.cls < y.cls and x.g <> y.g and {_fits('x', 'y', percent)}")
+    counted = met.groupBy("ord", F.col("x.cls").alias("hub"), F.col("y.cls").alias("spoke"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
+    enough = counted.where(f"c >= {least_shared('na', 'nb', percent)}").groupBy("hub", "spoke").agg(F.count("*").alias("orders"))
+    return enough.where(F.col("orders") == len(ORDERS)).select("hub", "spoke")
+
+
+def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, rows_per_slot: int, flush: int, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, rid: hash of key and text, n, cls), and the groups (node: a class, component) of linked classes."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    slots = parts(spark, rows.count(), rows_per_slot, 64)
-    described = written(describe(rows.select("doc_id", "rid", "text"), "text", k, slots, flush), "described")
-    frequent = frequent_tokens(described, frequent_least, frequent_most)
-    members = described.where("cls is not null").select("doc_id", "rid", "n", "cls")
-    postings = written(shared_postings(rows, "text", k, percent, frequent, slots, flush), "postings")
-
-    # Texts of the classes that share a prefix token with another.
-    wanted = postings.select("cls").distinct()
-    one = members.where("n > 0").groupBy("cls").agg(F.min("rid").alias("rid")).join(wanted, "cls", "left_semi")
-    one = written(one, "representatives")
-    texts = written(rows.select("rid", "text").join(one, "rid").select("cls", "text").dropDuplicates(["cls"]), "texts")
-
-    # Round one: the most connected class of each posting is its hub.
-    sizes = written(postings.groupBy("token").agg(F.count("*").alias("m")), "posting-sizes")
-    postings = written(postings.join(sizes, "token"), "sized-postings")
-    degree = written(postings.groupBy("cls").agg(F.sum("m").alias("degree")), "degrees")
-    ranked = written(postings.join(degree, "cls").select("token", "cls", "n", "degree"), "ranked")
-    hubs = written(ranked.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hn")), "posting-hubs")
-    fits = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
-    near = ranked.join(hubs, "token").where(F.col("cls") != F.col("hub")).where(fits).groupBy("hub", "cls", "n", "hn").agg(F.count("*").alias("c"))
-    near = written(near, "near-hubs")
-    # The count is of postings with this hub alone: too low at times, so half of what is needed will do; round two is exact.
-    first = near.where(f"2 * c >= {_least_shared('n', 'hn', percent)}").select("hub", F.col("cls").alias("spoke"))
-    links = written(verified(first, texts, k, percent), "round-one")
-    groups = connected_components(links)
-
-    # Round two: bands of sizes are steps of 4 %; what a class can still link to is told from counts per band.
-    grouped = postings.join(written(groups, "groups").withColumnRenamed("node", "cls"), "cls", "left")
-    grouped = grouped.select("token", "m", "cls", "n", F.coalesce("component", "cls").alias("g"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.04)).cast("int").alias("band"))
-    grouped = written(grouped, "grouped")
-    spread = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    open_ = written(grouped.join(written(spread, "open-tokens"), "token"), "open")
-    bands = open_.groupBy("token", "band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    bands = written(bands.withColumnRenamed("band", "other"), "bands")
-    met = open_.join(bands, "token").where("lo <> hi or lo <> g").where(f"100 * n_hi >= {percent} * n and {percent} * n_lo <= 100 * n")
-    counted = met.groupBy("cls", "n", "other").agg(F.count("*").alias("c"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
-    counted = counted.withColumn("need", F.expr(f"cast({_least_in_band('n', 'n_lo', 'n_hi', percent)} as int)")).where("c >= need")
-    alive = counted.groupBy("cls").agg(F.collect_set("other").alias("others"), F.min("need").alias("need"))
-    live = written(open_.join(written(alive, "alive"), "cls"), "live")
-    # Classes around the same hub stand in blocks; blocks that share one of their classes' rarest tokens meet,
-    # and pairs are counted inside them.
-    hub_of = near.groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("h")).select("cls", F.col("h.hub").alias("hub"))
-    row = live.groupBy("cls").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("band").alias("band"), F.first("others").alias("others"), F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("m", "token"))).alias("t"))
-    row = row.withColumn("tokens", F.col("t.token")).drop("t")
-    row = written(row.join(written(hub_of, "hub-of"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls")), "live-classes")
-    size = written(row.groupBy("hub").agg(F.count("*").alias("m")), "hub-sizes")
-    placed = written(row.join(size, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))).drop("hub", "m"), "placed")
-    blocks = written(placed.groupBy("block").agg(F.collect_list(F.struct("cls", "n", "g", "band", "others", "tokens")).alias("members")), "blocks")
-    # Of the tokens that a linked pair shares, the rarest is among each side's first: all but as many as it needs, less one.
-    rarest = F.expr("slice(tokens, 1, size(tokens) - need + 1)")
-    spots = written(placed.where("size(tokens) >= need").select("block", F.explode(rarest).alias("token")).distinct(), "spots")
-    meets = spots.withColumnRenamed("block", "block1").join(spots.withColumnRenamed("block", "block2"), "token").where("block1 <= block2").select("block1", "block2").distinct()
-    meets = written(meets, "meets")
-    sides = meets.join(blocks.select(F.col("block").alias("block1"), F.col("members").alias("m1")), "block1")
-    sides = written(sides, "sides").join(blocks.select(F.col("block").alias("block2"), F.col("members").alias("m2")), "block2")
-    linked = (
-        f"x.g <> y.g and (block1 <> block2 or x.cls < y.cls) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and array_contains(x.others, y.band) and array_contains(y.others, x.band) "
-        f"and size(array_intersect(x.tokens, y.tokens)) >= {_least_shared('x.n', 'y.n', percent)}"
-    )
-    found = F.expr(f"flatten(transform(m1, x -> transform(filter(m2, y -> {linked}), y -> named_struct('hub', x.cls, 'spoke', y.cls))))")
-    second = sides.select(F.explode(found).alias("p")).select("p.*")
-    more = verified(second, texts, k, percent)
-    return members, connected_components(links.unionByName(more))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    shared = written(_exchange(rows, parts(spark, rows.count(), rows_per_slot, 64), flush, k), "shared-tokens")
+    members = shared.where(f"kind = {DOCUMENT}").select("doc_id", "rid", "n", "cls")
+
+    # Sets whose tokens mostly occur nowhere else go; those left are counted anew among themselves.
+    sets = written(_shared_sets(shared, percent).dropDuplicates(["cls"]), "shared-sets")
+    members = written(members, "members")
+    released(shared)
+    left = sets.select(F.lit(None).cast("string").alias("doc_id"), F.col("cls").alias("rid"), "n", "cls", "tokens")
+    again = written(_exchange(left, parts(spark, left.count(), rows_per_slot, 64), flush, k), "shared-again")
+    filters = written(_filters(again, percent), "filters")
+    released(sets), released(again)
+
+    links, groups = [], None
+    for turn in range(hub_rounds):
+        found = written(verified(_hub_pairs(_postings(filters, groups), percent, turn), filters, percent), "hub-links")
+        if not found.take(1):
+            break
+        links.append(found)
+        groups = written(connected_components(reduce(DataFrame.unionByName, links)), "groups")
+    found = written(verified(_open_pairs(_postings(filters, groups), percent), filters, percent), "open-links")
+    if groups is None or found.take(1):
+        groups = written(connected_components(reduce(DataFrame.unionByName, [*links, found])), "groups")
+    return members, groups
 
 
 def jaccard_groups(
@@ -296,45 +354,49 @@ def jaccard_groups(
     text: str = "text",
     k: int = 5,
     percent: int = 75,
-    frequent_least: int = 8,
-    frequent_most: int = 1 << 18,
-    rows_per_slot: int = 4000,
+    rows_per_slot: int = 8000,
     flush: int = 2_000_000,
-    block: int = 128,
+    hub_rounds: int = 2,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document.
 
     Two documents link when their sets of k-word shingles have a Jaccard similarity of ``percent`` / 100 or more. Texts
-    with equal sets are one class throughout. Prefixes under the first order, frequent tokens last, give postings of classes.
+    with equal sets are one class throughout.
+
+    Tokens (shingles) are counted once over all documents: blocks of about ``flush`` tokens send each token to its slot, and
+    get back those that other sets hold. A set can be linked only if ``percent`` of its tokens are such; the others go, and
+    the rest is counted again by class. Three global orders of tokens, rarest first, give each class three prefixes and
+    postings. A candidate pair must share prefix tokens under every order; the orders' pairs are intersected before any set
+    moves, and only then are pairs verified on the whole sets.
 
-    Round one: in each posting every class is paired with the posting's most connected class, a number of pairs that grows
-    with the postings; linked ones join groups. Round two: pairs across groups, and only between classes that share enough
-    prefix tokens for their sizes, counted first per class and band of sizes, then per pair, in blocks of about ``block``
-    classes around the same hub. Candidates must share prefix tokens under all further orders before they are verified on
-    the whole sets. Nothing is capped: links within a group that is connected already are the only ones left out.
+    ``hub_rounds``: every class is first paired with the leading class of its postings only, a number of pairs that grows
+    with the postings, and linked ones join groups. Last, all pairs across groups that share as many prefix tokens under each
+    order as their sizes ask for are verified. Nothing is capped: links within a group that is connected already are the only
+    ones left out, and the numbers of rounds, slots and blocks change no result.
 
     Null, empty or blank text: 0 shingles, linked with nothing, a component of its own. Repeated rows and equal texts share
-    a component. Null keys stay null and name no component. An empty table gives an empty result. Sets are compared by
-    64-bit hashes of shingles; slots and partitions grow with the rows.
+    a component. Null keys stay null and name no component. Other columns take no part. An empty table gives an empty
+    result. Sets are compared by hashes of shingles of 48 bits and the slot's number. Documents must come from a source that
+    gives a partition's rows again in the same order, as a table does. For far larger inputs raise ``flush`` with
+    ``rows_per_slot``: a message holds about flush / slots tokens.
     """
-    members, groups = _classes(docs, key, text, k, percent, frequent_least, frequent_most, rows_per_slot, flush, block)
+    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds)
 
     # Every document's class, the class's group, and the group's smallest document.
-    classes = written(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
-    classes = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("g"))
-    classes = written(classes, "class-groups")
-    lowest = written(classes.groupBy("g").agg(F.min("least").alias("component_id")), "lowest")
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    classes = written(classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("g")), "class-groups")
+    lowest = classes.groupBy("g").agg(F.min("least").alias("component_id"))
     named = written(classes.join(lowest, "g").select("cls", "component_id"), "named")
     full = members.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, rows_per_slot: int = 8000, flush: int = 2_000_000, hub_rounds: int = 2) -> DataFrame:
     """rid (xxhash64 of key and text): one row of each group of ``jaccard_groups``, told by texts alone, so equal and null keys
     are no groups. It has the least key, null keys last, then the least rid. Of texts without shingles every rid is there."""
-    members, groups = _classes(docs, key, text, k, percent)
+    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-    classes = written(members.where("n > 0").groupBy("cls").agg(least), "first-of-classes")
+    classes = members.where("n > 0").groupBy("cls").agg(least)
     classes = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("least", F.coalesce("component", "cls").alias("g"))
     firsts = classes.groupBy("g").agg(F.min("least").alias("least")).select("least.rid")
     return firsts.unionByName(members.where("n = 0").select("rid").distinct())

@@ -17,7 +17,7 @@ from rollspark.llm import gru
 from rollspark.llm.bpe import encode_documents
 from rollspark.llm.chunks import encoding_of, id_bytes
 from rollspark.llm.components import connected_components
-from rollspark.llm.jaccard_join import _least_in_band, _least_shared, jaccard_groups
+from rollspark.llm.jaccard_join import jaccard_groups, least_shared
 from rollspark.llm.language_id import identify_languages
 from rollspark.llm.lm_scoring import score_documents
 from rollspark.llm.packing import best_two_fit, pack_documents
@@ -187,8 +187,8 @@ def test_jaccard_groups(spark):
             n += 1
     rows += [(n + i, " ".join([*rng.choice(vocabulary, 10), *passage])) for i in range(40)] + [(None, "no id at all here now"), (3, "One two")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, hub string, n long")
-    for least in (24, 3):  # whatever counts as frequent, the result is the same
-        got = jaccard_groups(df, frequent_least=least, block=8, flush=3000)
+    for flush, rounds in ((3000, 2), (40, 1), (10**6, 0)):  # blocks and rounds change no result
+        got = jaccard_groups(df, flush=flush, hub_rounds=rounds)
         assert counted(got.select("doc_id", "n_shingles", "component_id").collect()) == brute_groups(rows)
     assert jaccard_groups(empty(spark)).count() == 0
 
@@ -211,11 +211,47 @@ def test_jaccard_band_with_a_dip(spark):
     assert {r.doc_id: r.component_id for r in got}[1] == 0
 
 
-def test_jaccard_needs_of_bands_are_bounds(spark):
-    sizes = spark.range(1, 260).selectExpr("id as n").crossJoin(spark.range(1, 350).selectExpr("id as x")).where("3 * n <= 4 * x and 3 * x <= 4 * n")
-    sizes = sizes.selectExpr("n", "x", "floor(ln(x) / ln(1.04)) as band", f"{_least_shared('n', 'x', 75)} as need")
-    bands = sizes.groupBy("n", "band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("need").alias("need"))
-    assert bands.where(f"{_least_in_band('n', 'lo', 'hi', 75)} > need").count() == 0
+def test_jaccard_prefix_needs_are_bounds(spark):
+    """No pair of sets of these sizes that is linked can share fewer prefix tokens, wherever its common tokens stand."""
+    sizes = spark.range(1, 90).selectExpr("id as na").crossJoin(spark.range(1, 90).selectExpr("id as nb")).where("3 * na <= 4 * nb and 3 * nb <= 4 * na")
+    for r in sizes.selectExpr("na", "nb", f"{least_shared('na', 'nb', 75)} as least").collect():
+        overlap = next(c for c in range(1000) if 100 * c >= 75 * (r.na + r.nb - c))
+        if overlap <= min(r.na, r.nb):
+            # At worst all own tokens come first in the order, and the common ones last.
+            prefixes = [n - -(-75 * n // 100) + 1 for n in (r.na, r.nb)]
+            fewest = min(overlap, *(max(0, p - (n - overlap)) for p, n in zip(prefixes, (r.na, r.nb), strict=True)))
+            assert 1 <= r.least <= max(1, fewest), r
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_at_the_threshold(spark, seed):
+    """Pairs at, just over and just under 75 %, among many that share a passage."""
+    rng = np.random.default_rng(seed)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"o{next(own)}" for _ in range(n)]
+    rows = []
+    for family in range(4):
+        core = fresh(int(rng.integers(20, 70)) + 4)
+        n = len(core) - 4
+        for _ in range(12):
+            # Both have the core's n shingles and own ones behind: n / (n + a + b) is near 3 / 4.
+            a = int(rng.integers(0, n // 3 + 2))
+            b = max(0, n // 3 - a + int(rng.integers(-1, 2)))
+            rows += [core + fresh(a), core + fresh(b)]
+        rows += [core[: len(core) // 2] + fresh(n), fresh(n) + core[len(core) // 3 :]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        assert counted(jaccard_groups(df, flush=500, hub_rounds=rounds).collect()) == brute_groups(rows)
+
+
+def test_jaccard_of_copies_in_all_partitions(spark):
+    """A third of all rows are one text, a third near copies of one; they come from many partitions."""
+    base = [f"b{i}" for i in range(60)]
+    near = [" ".join(base[:i] + [f"n{i}"] + base[i + 1 :]) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(near + ["all the same text that is here again and again"] * 60 + [f"{i} of its own " + " ".join(f"x{i}_{j}" for j in range(20)) for i in range(60)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    assert counted(jaccard_groups(df, flush=400).collect()) == brute_groups(rows)
 
 
 def test_components(spark):
