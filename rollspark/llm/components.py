@@ -20,10 +20,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "k")
-        large = both.where("v > u").join(written(low, "minima"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = written(large.distinct(), "large-star")
         low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        joined = edges.join(written(low, "minima"), F.col("u") == F.col("k"))
+        joined = written(edges.join(low, F.col("u") == F.col("k")).select("u", "v", "m"), "joined")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "small-star")
         now = _state(edges)

@@ -114,7 +114,7 @@ def _exchange(rows: DataFrame, slots: int, flush: int, k: int) -> DataFrame:
             name = xxhash.xxh3_64_intdigest(b"%d:%d" % (part, turn)) - (1 << 63)
             for b in held:
                 m = b.num_rows
-                home = pa.array(np.full(m, abs(name) % slots), pa.int32())
+                home = pa.array((abs(name) + np.arange(m)) % slots, pa.int32())  # they only pass through
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, DOCUMENT), pa.int32()), home, pa.array(np.full(m, name), pa.int64()), *b.columns, *(pa.nulls(m, pa.binary()) for _ in range(3))], names)
             found = _block_rows(sets, slots)
             m = len(found)
@@ -243,15 +243,15 @@ def _filters(exchanged: DataFrame, percent: int) -> DataFrame:
     return exchanged.where(f"kind <> {DOCUMENT} or at is not null").groupBy("block").applyInArrow(assemble, "cls long, n long, sh long, degree long, tokens binary, prefix array<array<bigint>>")
 
 
-def least_shared(na: str, nb: str, percent: int) -> str:
-    """SQL: how many prefix tokens two sets of these sizes share under any order if they are linked.
+def least_shared(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix tokens two sets of these sizes share under any order if they are linked.
 
     The overlap is at least percent / (100 + percent) of both sizes; all of it but what lies beyond one of the prefixes is
     in both. In whole numbers, so nothing is rounded.
     """
-    need = f"(({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent})"
-    beyond = f"((greatest({na}, {nb}) * {percent} + 99) div 100 - 1)"
-    return f"greatest(1, {need} - {beyond})"
+    need = -(-percent * (na + nb) // (100 + percent))
+    beyond = -(-percent * np.maximum(na, nb) // 100) - 1
+    return np.maximum(1, need - beyond)
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -289,13 +289,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, tokens_per_task: i
     return spokes.unionByName(hubs).groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
 
 
-def _postings(filters: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """ord, token, cls, n, sh, degree, g: a row for each prefix token of each set under each order."""
-    rows = filters.select("cls", "n", "sh", "degree", "prefix")
+def _grouped(filters: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The filters with g: the group of each set, itself where it has none."""
     if groups is None:
-        rows = rows.withColumn("g", F.col("cls"))
-    else:
-        rows = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
+        return filters.withColumn("g", F.col("cls"))
+    return filters.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls")).drop("component")
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """ord, token, cls, n, sh, degree, g: a row for each prefix token of each set under each order."""
     rows = rows.select("cls", "n", "sh", "degree", "g", F.posexplode("prefix").alias("ord", "prefix"))
     return rows.select("ord", F.explode("prefix").alias("token"), "cls", "n", "sh", "degree", "g")
 
@@ -309,17 +311,66 @@ def _hub_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
     return pairs.where(F.col("orders") == (1 << len(ORDERS)) - 1).select("hub", "spoke")
 
 
-def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """hub, spoke: all pairs of sets of different groups that share enough prefix tokens under every order."""
-    spread = postings.groupBy("ord", "token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("ord", "token")
-    open_ = written(postings.drop("degree").join(spread, ["ord", "token"], "left_semi"), "open")
-    met = open_.alias("x").join(open_.alias("y"), ["ord", "token"]).where(f"x.cls < y.cls and x.g <> y.g and {_fits('x', 'y', percent)}")
-    counted = met.groupBy("ord", F.col("x.cls").alias("hub"), F.col("y.cls").alias("spoke"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
-    enough = counted.where(f"c >= {least_shared('na', 'nb', percent)}").groupBy("hub", "spoke").agg(F.count("*").alias("orders"))
-    return enough.where(F.col("orders") == len(ORDERS)).select("hub", "spoke")
-
-
-def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, rows_per_slot: int, flush: int, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
+def _common(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many tokens each set of one side shares with each of the other."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(t) for t in x])) for x in (one, two)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(two)), np.float32)
+    for i in range(0, len(both), columns):
+        part = both[i : i + columns]
+        held = []
+        for (tokens, who), n in zip(sides, out.shape, strict=True):
+            at = np.searchsorted(part, tokens)
+            hit = part[np.minimum(at, len(part) - 1)] == tokens
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[who[hit], at[hit]] = 1
+            held.append(matrix)
+        out += held[0] @ held[1].T
+    return out
+
+
+def _open_pairs(rows: DataFrame, percent: int, block: int, block_tokens: int = 2_000_000) -> DataFrame:
+    """hub, spoke: all pairs of sets of different groups that share enough prefix tokens under every order.
+
+    Sets with the same leading neighbour stand in blocks of about ``block`` sets and ``block_tokens`` tokens; blocks that share
+    a prefix token of the first order meet, and pairs are counted inside a meeting, so no rows of pairs are made by tokens.
+    """
+    first = rows.select("cls", "degree", "g", F.explode(F.col("prefix")[0]).alias("token"))
+    leads = first.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.struct("degree", "cls")).alias("h")).where("lo <> hi")
+    spots = written(first.join(leads, "token").select("cls", "token", "h"), "spots")
+    hub_of = spots.groupBy("cls").agg(F.max("h.cls").alias("hub"))
+    hub_of = written(rows.select("cls", "n", "sh", "g", "prefix").join(hub_of, "cls"), "open-sets")
+    room = hub_of.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("sh") / block_tokens)).alias("salts"))
+    placed = hub_of.join(room, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("salts"))))
+    placed = written(placed.drop("hub", "salts"), "placed")
+    at = written(spots.join(placed.select("cls", "block"), "cls").select("token", "block").distinct(), "block-tokens")
+    meets = at.withColumnRenamed("block", "one").join(at.withColumnRenamed("block", "two"), "token").where("one <= two").select("one", "two").distinct()
+    meets = written(meets, "meets")
+    sides = meets.join(placed, F.col("one") == F.col("block")).unionByName(meets.where("one <> two").join(placed, F.col("two") == F.col("block")))
+
+    def meet(group: pa.Table) -> pa.Table:
+        blocks, (cls, n, sh, g) = group["block"].to_numpy(), (group[c].to_numpy() for c in ("cls", "n", "sh", "g"))
+        same = group["one"][0].as_py() == group["two"][0].as_py()
+        a = np.flatnonzero(blocks == group["one"][0].as_py())
+        b = np.flatnonzero(blocks == group["two"][0].as_py())
+        na, nb = n[a][:, None], n[b][None, :]
+        ok = (g[a][:, None] != g[b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        ok &= percent * (na + nb) <= (100 + percent) * np.minimum(sh[a][:, None], sh[b])
+        if same:
+            ok &= cls[a][:, None] < cls[b]
+        least = least_shared(na, nb, percent)
+        prefixes = [p.values for p in group["prefix"].combine_chunks()]
+        for i in range(len(ORDERS)):
+            if ok.any():
+                own = [np.asarray(p[i].values) for p in prefixes]
+                ok &= _common([own[j] for j in a], [own[j] for j in b]) >= least
+        x, y = np.nonzero(ok)
+        return pa.table([pa.array(cls[a[x]], pa.int64()), pa.array(cls[b[y]], pa.int64())], ["hub", "spoke"])
+
+    return sides.select("one", "two", "block", "cls", "n", "sh", "g", "prefix").groupBy("one", "two").applyInArrow(meet, "hub long, spoke long")
+
+
+def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, rows_per_slot: int, flush: int, hub_rounds: int, block: int) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, rid: hash of key and text, n, cls), and the groups (node: a class, component) of linked classes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
@@ -337,12 +388,12 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, rows_pe
 
     links, groups = [], None
     for turn in range(hub_rounds):
-        found = written(verified(_hub_pairs(_postings(filters, groups), percent, turn), filters, percent), "hub-links")
+        found = written(verified(_hub_pairs(_postings(_grouped(filters, groups)), percent, turn), filters, percent), "hub-links")
         if not found.take(1):
             break
         links.append(found)
         groups = written(connected_components(reduce(DataFrame.unionByName, links)), "groups")
-    found = written(verified(_open_pairs(_postings(filters, groups), percent), filters, percent), "open-links")
+    found = written(verified(_open_pairs(_grouped(filters, groups), percent, block), filters, percent), "open-links")
     if groups is None or found.take(1):
         groups = written(connected_components(reduce(DataFrame.unionByName, [*links, found])), "groups")
     return members, groups
@@ -356,7 +407,8 @@ def jaccard_groups(
     percent: int = 75,
     rows_per_slot: int = 8000,
     flush: int = 2_000_000,
-    hub_rounds: int = 2,
+    hub_rounds: int = 1,
+    block: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document.
 
@@ -372,7 +424,8 @@ def jaccard_groups(
     ``hub_rounds``: every class is first paired with the leading class of its postings only, a number of pairs that grows
     with the postings, and linked ones join groups. Last, all pairs across groups that share as many prefix tokens under each
     order as their sizes ask for are verified. Nothing is capped: links within a group that is connected already are the only
-    ones left out, and the numbers of rounds, slots and blocks change no result.
+    ones left out, and rounds, slots and blocks change no result. The last pairs are counted inside meetings of blocks of
+    ``block`` sets, never as rows.
 
     Null, empty or blank text: 0 shingles, linked with nothing, a component of its own. Repeated rows and equal texts share
     a component. Null keys stay null and name no component. Other columns take no part. An empty table gives an empty
@@ -380,7 +433,7 @@ def jaccard_groups(
     gives a partition's rows again in the same order, as a table does. For far larger inputs raise ``flush`` with
     ``rows_per_slot``: a message holds about flush / slots tokens.
     """
-    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds)
+    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds, block)
 
     # Every document's class, the class's group, and the group's smallest document.
     classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -391,10 +444,10 @@ def jaccard_groups(
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, rows_per_slot: int = 8000, flush: int = 2_000_000, hub_rounds: int = 2) -> DataFrame:
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, rows_per_slot: int = 8000, flush: int = 2_000_000, hub_rounds: int = 1, block: int = 256) -> DataFrame:
     """rid (xxhash64 of key and text): one row of each group of ``jaccard_groups``, told by texts alone, so equal and null keys
     are no groups. It has the least key, null keys last, then the least rid. Of texts without shingles every rid is there."""
-    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds)
+    members, groups = _classes(docs, key, text, k, percent, rows_per_slot, flush, hub_rounds, block)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
     classes = members.where("n > 0").groupBy("cls").agg(least)
     classes = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("least", F.coalesce("component", "cls").alias("g"))

@@ -187,8 +187,8 @@ def test_jaccard_groups(spark):
             n += 1
     rows += [(n + i, " ".join([*rng.choice(vocabulary, 10), *passage])) for i in range(40)] + [(None, "no id at all here now"), (3, "One two")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, hub string, n long")
-    for flush, rounds in ((3000, 2), (40, 1), (10**6, 0)):  # blocks and rounds change no result
-        got = jaccard_groups(df, flush=flush, hub_rounds=rounds)
+    for flush, rounds in ((3000, 2), (300, 1), (10**6, 0)):  # blocks and rounds change no result
+        got = jaccard_groups(df, flush=flush, hub_rounds=rounds, block=8)
         assert counted(got.select("doc_id", "n_shingles", "component_id").collect()) == brute_groups(rows)
     assert jaccard_groups(empty(spark)).count() == 0
 
@@ -211,16 +211,15 @@ def test_jaccard_band_with_a_dip(spark):
     assert {r.doc_id: r.component_id for r in got}[1] == 0
 
 
-def test_jaccard_prefix_needs_are_bounds(spark):
+def test_jaccard_prefix_needs_are_bounds():
     """No pair of sets of these sizes that is linked can share fewer prefix tokens, wherever its common tokens stand."""
-    sizes = spark.range(1, 90).selectExpr("id as na").crossJoin(spark.range(1, 90).selectExpr("id as nb")).where("3 * na <= 4 * nb and 3 * nb <= 4 * na")
-    for r in sizes.selectExpr("na", "nb", f"{least_shared('na', 'nb', 75)} as least").collect():
-        overlap = next(c for c in range(1000) if 100 * c >= 75 * (r.na + r.nb - c))
-        if overlap <= min(r.na, r.nb):
+    for na, nb in ((a, b) for a in range(1, 120) for b in range(1, 120) if 3 * a <= 4 * b and 3 * b <= 4 * a):
+        overlap = next(c for c in range(1000) if 100 * c >= 75 * (na + nb - c))
+        if overlap <= min(na, nb):
             # At worst all own tokens come first in the order, and the common ones last.
-            prefixes = [n - -(-75 * n // 100) + 1 for n in (r.na, r.nb)]
-            fewest = min(overlap, *(max(0, p - (n - overlap)) for p, n in zip(prefixes, (r.na, r.nb), strict=True)))
-            assert 1 <= r.least <= max(1, fewest), r
+            prefixes = [n - -(-75 * n // 100) + 1 for n in (na, nb)]
+            fewest = min(overlap, *(max(0, p - (n - overlap)) for p, n in zip(prefixes, (na, nb), strict=True)))
+            assert 1 <= least_shared(np.int64(na), np.int64(nb), 75) <= max(1, fewest)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -242,7 +241,7 @@ def test_jaccard_at_the_threshold(spark, seed):
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for rounds in (0, 2):
-        assert counted(jaccard_groups(df, flush=500, hub_rounds=rounds).collect()) == brute_groups(rows)
+        assert counted(jaccard_groups(df, flush=500, hub_rounds=rounds, block=16).collect()) == brute_groups(rows)
 
 
 def test_jaccard_of_copies_in_all_partitions(spark):
