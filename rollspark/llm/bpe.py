@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import string
+import zlib
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import by_part, check_of, pack_blocks, packed, send_words, unpacked
+from .blocks import pack_blocks, packed, unpacked
 from .chunks import encoding_of, merged, ranks_of
+from .common import bucketed
 
 #: A space that does not begin a match of its own: white space or the end comes next.
-_UNEVEN = re.compile(r" (?:\s|\Z)")
+UNEVEN = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|\z)"
 
 
 def matcher(pattern: str):
@@ -38,36 +41,41 @@ def matcher(pattern: str):
     return matches
 
 
-def distinct_pieces(texts: list[str | None]) -> tuple[set[str], set[str]]:
-    """What follows the spaces of texts that may be cut at each of them, and all other chunks (see ``Chunks``)."""
-    after: set[str] = set()
-    whole: set[str] = set()
-    for t in texts:
-        if t and not _UNEVEN.search(t):
-            head, *rest = t.split(" ")
-            after.update(rest)
-            if head:
-                whole.add(head)
-        elif t:
-            head, *rest = t.split(" ")
-            whole.update(merged(head, rest))
-    return after, whole
-
-
-def matches_of(texts: list[str | None], pattern: str) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    """The pattern's matches in each distinct piece after a space, and in each other chunk."""
-    matches = matcher(pattern)
-    after, whole = distinct_pieces(texts)
-    return {p: matches(" " + p) for p in after}, {c: matches(c) for c in whole}
-
-
-def distinct_words(*of: dict[str, list[str]]) -> list[str]:
-    return sorted({w for d in of for ws in d.values() for w in ws})
-
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(order, chunks, bounds): the chunks of the texts, text ``order[i]``'s from ``bounds[i]`` to ``bounds[i + 1]``.
 
-def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    encoding = encoding_of(path)
-    return [encoding.encode_ordinary(w) for w in words]
+    Texts may be cut at each space before a character that is no white space; where white space runs, what belongs together
+    is merged. A text without characters has no chunks.
+    """
+    texts = pc.fill_null(texts, "")
+    uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+    even = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+    starts = np.asarray(even.offsets)
+    flat = even.values
+    head = np.zeros(len(flat), bool)
+    head[starts[:-1]] = True
+    chunks = pc.binary_join_element_wise(pc.if_else(pa.array(head), "", " "), flat, "")
+    full = np.asarray(pc.binary_length(chunks)) > 0  # a text that begins with a space has an empty head
+    lengths = np.diff(np.r_[0, np.cumsum(full)][starts])
+    others = []
+    for t in texts.filter(pa.array(uneven)).to_pylist():
+        first, *rest = t.split(" ")
+        others.append(merged(first, rest))
+    chunks = pa.concat_arrays([chunks.filter(pa.array(full)), pa.array([c for o in others for c in o], pa.string())])
+    bounds = np.r_[0, np.cumsum(np.r_[lengths, [len(o) for o in others]])].astype(np.int64)
+    return np.r_[np.flatnonzero(~uneven), np.flatnonzero(uneven)], chunks, bounds
+
+
+def dealt(distinct: pa.Array, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, indices) of distinct chunks: a word's part, whatever marks follow it."""
+    words = pc.utf8_rtrim(distinct, characters=string.punctuation)
+    part = np.fromiter((zlib.crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+    order = np.argsort(part, kind="stable")
+    return [(int(part[i[0]]), i) for i in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)] if len(order) else []
+
+
+def _texts(payload: bytes) -> pa.Array:
+    return unpacked(payload).column(1).combine_chunks().cast(pa.string())
 
 
 def encode_documents(
@@ -84,87 +92,93 @@ def encode_documents(
 
     With ``digest``: doc_id, n_tokens, ids_sha256 (hex of the decimal ids joined by commas), decoded_sha256 instead.
 
-    Each block sends its distinct matches of the pattern to their parts; a part encodes each of its words once and sends the
-    ids back; the block joins them to its matches by position and decodes the ids by the table of token bytes, whose size is
-    the vocabulary's. Null text counts as empty. Repeated rows are encoded each; an empty table gives an empty result.
-    Should a block come out otherwise when it is computed again, its words are encoded where they are.
+    Documents are written once in compressed blocks, in a table bucketed by block. Each block sends its distinct chunks (a
+    space, a word and the marks after it) to the word's part. A part cuts its chunks into the pattern's matches, encodes each
+    distinct match once, and sends the ids back; the block joins them to its chunks by position and decodes the ids by the
+    table of token bytes, whose size is the vocabulary's. Blocks stay where they are: only words and ids are shuffled.
+
+    Null text counts as empty, with no ids. Repeated rows are encoded each; null keys stay null; other columns take no part;
+    an empty table gives an empty result. A text longer than ``block_bytes`` is a block of its own.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = docs.select(F.col(key).alias("doc_id"), text)
-    parts = max(64, rows.count() // rows_per_part)
-    sent = send_words(rows, block_bytes, parts, lambda table: (distinct_words(*matches_of(table.column(1).to_pylist(), pattern)), None))
-
-    def encode(frame: pd.DataFrame) -> pd.DataFrame:
-        """All blocks' words of a part: each distinct word is encoded once."""
-        known: dict[str, list[int]] = {}
-        narrow = max(ranks_of(ranks).values()) < 1 << 16
-        out = []
-        for block, part, data in zip(frame["block"], frame["part"], frame["payload"], strict=True):
-            words = unpacked(data)["w"].to_pylist()
-            fresh = [w for w in words if w not in known]
-            known.update(zip(fresh, encode_words(ranks, fresh), strict=True))
-            ids = [known[w] for w in words]
-            lengths = np.array([len(x) for x in ids], np.uint32)
-            flat = np.array([i for x in ids for i in x], np.uint16 if narrow else np.uint32)
-            out.append((block, part, packed(pa.table({"n": [lengths], "ids": [flat]})), check_of(words)))
-        return pd.DataFrame(out, columns=["block", "part", "payload", "check"])
-
-    replies = sent.groupBy("part").applyInPandas(encode, "block string, part int, payload binary, check long")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    n = rows.count()
+    parts = max(64, n // rows_per_part)
+    blocks = bucketed(pack_blocks(rows, block_bytes).select("block", "payload"), "blocks", "block", max(64, 2 * n // rows_per_part))
+
+    def send(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                distinct = chunks_of(_texts(payload))[1].dictionary_encode().dictionary
+                found = [(part, packed(pa.table({"w": distinct.take(pa.array(i))}))) for part, i in dealt(distinct, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.string()), pa.array([p for p, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["block", "part", "payload"])
+
+    def encode(group: pa.Table) -> pa.Table:
+        """All blocks' chunks of a part: each distinct match is encoded once."""
+        matches, encoding, known = matcher(pattern), encoding_of(ranks), ranks_of(ranks)
+        sent = [unpacked(p)["w"].combine_chunks() for p in group["payload"].to_pylist()]
+        coded = pa.concat_arrays(sent).dictionary_encode()
+        chunks = [matches(c) for c in coded.dictionary.to_pylist()]
+        ids = {}
+        for w in {w for ws in chunks for w in ws}:
+            whole = known.get(w.encode())
+            ids[w] = encoding.encode_ordinary(w) if whole is None else [whole]
+        each = [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in chunks]
+        kind = pa.list_(pa.uint16() if max(known.values()) < 1 << 16 else pa.uint32())
+        all_, at, out = pa.array(each, kind), coded.indices, []
+        begin = 0
+        for s in sent:
+            out.append(packed(pa.table({"ids": all_.take(at.slice(begin, len(s)))})))
+            begin += len(s)
+        return group.set_column(2, "payload", pa.array(out, pa.binary()))
+
+    sent = blocks.mapInArrow(send, "block string, part int, payload binary")
+    replies = sent.groupBy("part").applyInArrow(encode, "block string, part int, payload binary")
 
     def assemble(key_, left: pa.Table, right: pa.Table) -> pa.Table:
-        bytes_of = {i: b for b, i in ranks_of(ranks).items()}
-        answers = {p: (c, d) for p, d, c in zip(*(right.column(c).to_pylist() for c in ("part", "payload", "check")), strict=True)}
-        columns: list[list] = [[], [], [], []]
-        for data in left.column("payload").to_pylist():
-            table = unpacked(data)
-            texts = table.column(1).to_pylist()
-            after, whole = matches_of(texts, pattern)
-            value_of: dict[str, tuple[str, bytes, int]] = {}
-            for part, words in by_part(distinct_words(after, whole), parts).items():
-                check, answer = answers.get(part, (None, b""))
-                if check == check_of(words):
-                    got = unpacked(answer)
-                    lengths, flat = got["n"][0].as_py(), got["ids"][0].as_py()
-                else:
-                    ids = encode_words(ranks, words)
-                    lengths, flat = [len(x) for x in ids], [i for x in ids for i in x]
-                names_of, decoded_of = [*map(str, flat)], [*map(bytes_of.__getitem__, flat)]
-                at = 0
-                for w, n in zip(words, lengths, strict=True):
-                    value_of[w] = (names_of[at], decoded_of[at], 1) if n == 1 else (",".join(names_of[at : at + n]), b"".join(decoded_of[at : at + n]), n)
-                    at += n
-
-            def value(ws: list[str]):
-                if len(ws) == 1:
-                    return value_of[ws[0]]
-                found = [value_of[w] for w in ws]
-                return ",".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found])
-
-            after_of = {p: value(ws) for p, ws in after.items()}
-            whole_of = {c: value(ws) for c, ws in whole.items()}
-            columns[0].append(table.column(0))
-            for t in texts:
-                head, *rest = (t or "").split(" ")
-                if t and _UNEVEN.search(t):
-                    found = [whole_of[c] for c in merged(head, rest)]
-                else:
-                    found = [after_of[p] for p in rest]
-                    if head:
-                        found.insert(0, whole_of[head])
-                joined, decoded = ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
-                columns[1].append(sum([f[2] for f in found]))
-                columns[2].append(hashlib.sha256(joined.encode()).hexdigest() if digest else [int(i) for i in joined.split(",") if i])
-                columns[3].append(hashlib.sha256(decoded).hexdigest() if digest else decoded)
-        keys = pa.chunked_array([c for x in columns[0] for c in x.chunks], kind_arrow) if columns[0] else pa.array([], kind_arrow)
-        types = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-        return pa.table([keys, pa.array(columns[1], pa.int64()), pa.array(columns[2], types[0]), pa.array(columns[3], types[1])], [*names])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        known = ranks_of(ranks)
+        token_bytes = np.full(max(known.values()) + 1, b"", object)
+        for b, i in known.items():
+            token_bytes[i] = b
+        token_bytes = pa.array(token_bytes, pa.binary())
+        token_names = pc.cast(pa.array(np.arange(len(token_bytes))), pa.string())
+        answers = dict(zip(right["part"].to_pylist(), right["payload"].to_pylist(), strict=True))
+        out = []
+        for payload in left["payload"].to_pylist():
+            table = unpacked(payload)
+            order, chunks, bounds = chunks_of(_texts(payload))
+            coded = chunks.dictionary_encode()
+            places, got = [np.empty(0, np.int64)], []
+            for part, i in dealt(coded.dictionary, parts):
+                places.append(i), got.extend(unpacked(answers[part])["ids"].chunks)
+            back = np.argsort(np.concatenate(places), kind="stable")
+            ids = pa.concat_arrays(got).take(pa.array(back)) if got else pa.array([], pa.list_(pa.uint16()))
+            counts = np.asarray(pc.list_value_length(ids)).astype(np.int64)[np.asarray(coded.indices)]
+            n_tokens = np.diff(np.r_[0, np.cumsum(counts)][bounds])
+            flat = ids.flatten()
+            offsets = pa.array(np.r_[0, np.cumsum(np.asarray(pc.list_value_length(ids)))].astype(np.int32), pa.int32())
+            decoded = _per_text(pc.binary_join(pa.ListArray.from_arrays(offsets, token_bytes.take(flat)), b""), coded.indices, bounds, b"")
+            if digest:
+                names = _per_text(pc.binary_join(pa.ListArray.from_arrays(offsets, token_names.take(flat)), ","), coded.indices, bounds, ",")
+                sha = lambda a: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in a], pa.string())
+                columns = [sha(names), sha(decoded)]
+            else:
+                every = ids.take(coded.indices).flatten().cast(pa.int32())
+                columns = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tokens)].astype(np.int32), pa.int32()), every), decoded]
+            keys = table.column(0).take(pa.array(order)).combine_chunks()
+            out.append(pa.table([keys.cast(kind_arrow), pa.array(n_tokens, pa.int64()), *columns], names_))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (kind_arrow, pa.int64(), *types)], names_)
 
     kind_arrow = to_arrow_type(docs.schema[key].dataType)
     kind = docs.schema[key].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
+    names_ = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = ("string", "string") if digest else ("array<int>", "binary")
-    schema = f"doc_id {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}"
-    blocks = pack_blocks(rows, block_bytes)
+    types = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
+    schema = f"doc_id {kind}, n_tokens long, {names_[2]} {kinds[0]}, {names_[3]} {kinds[1]}"
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(assemble, schema)
+
+
+def _per_text(values: pa.Array, codes: pa.Array, bounds: np.ndarray, between: bytes | str) -> pa.Array:
+    """Each text's values, in order, joined."""
+    large = pa.large_binary() if pa.types.is_binary(values.type) else pa.large_string()
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), values.cast(large).take(codes)), pa.scalar(between, large)).cast(values.type)

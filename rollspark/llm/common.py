@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a folder of our own in local
+    mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like ``written``, in buckets of a column: what groups by the column afterwards reads the table without a shuffle."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+    return spark.table(name)
+
+
 def released(df: DataFrame) -> None:
     """Delete what ``written`` has written for ``df``, once all that was made of it is written itself."""
     spark = df.sparkSession
