@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a folder of our own where that is unset; gone when the JVM ends."""
+    """A new path under ``spark.checkpoint.dir``, gone when the JVM ends. Where that is
+    unset: a folder of our own in local mode, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
