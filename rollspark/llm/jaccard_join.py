@@ -261,16 +261,17 @@ def _fits(a: str, b: str, percent: int) -> str:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, tokens_per_task: int = 2_000_000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, spokes: int = 64, tokens: int = 100_000) -> DataFrame:
     """The pairs (hub, spoke) of sets that are linked, as (a, b). Sets: cls, n, sh, tokens.
 
-    A hub meets its spokes in groups of about ``tokens_per_task`` tokens, so a hub of a third of all sets is dealt over many.
+    A hub meets its spokes in groups of about ``spokes`` sets and ``tokens`` tokens, so a hub of a third of all sets is dealt
+    over many.
     """
     pairs = written(pairs.join(sets.selectExpr("cls as spoke", "sh as m"), "spoke"), "pairs")
-    salts = pairs.groupBy("hub").agg(F.ceil(F.sum("m") / tokens_per_task).alias("salts"))
+    salts = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / spokes, F.sum("m") / tokens)).alias("salts"))
     dealt = written(pairs.join(salts, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), "salts").cast("int").alias("salt")), "dealt")
     own = sets.select("cls", "n", "tokens")
-    spokes = dealt.join(own, F.col("spoke") == F.col("cls")).select("hub", "salt", "cls", "n", "tokens")
+    others = dealt.join(own, F.col("spoke") == F.col("cls")).select("hub", "salt", "cls", "n", "tokens")
     hubs = dealt.select("hub", "salt").distinct().join(own, F.col("hub") == F.col("cls")).select("hub", "salt", "cls", "n", "tokens")
 
     def verify(group: pa.Table) -> pa.Table:
@@ -286,7 +287,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, tokens_per_task: i
                     found.append(cls)
         return pa.table([pa.array([hub] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
 
-    return spokes.unionByName(hubs).groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
+    return others.unionByName(hubs).groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
 
 
 def _grouped(filters: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -332,20 +333,23 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -
 def _open_pairs(rows: DataFrame, percent: int, block: int, block_tokens: int = 2_000_000) -> DataFrame:
     """hub, spoke: all pairs of sets of different groups that share enough prefix tokens under every order.
 
-    Sets with the same leading neighbour stand in blocks of about ``block`` sets and ``block_tokens`` tokens; blocks that share
-    a prefix token of the first order meet, and pairs are counted inside a meeting, so no rows of pairs are made by tokens.
+    Sets with the same leading neighbour stand in blocks of about ``block`` sets and ``block_tokens`` tokens. Where two
+    neighbours' sets share a prefix token of the first order, their blocks meet, and pairs are counted inside a meeting, so
+    no rows of pairs are made by tokens.
     """
     first = rows.select("cls", "degree", "g", F.explode(F.col("prefix")[0]).alias("token"))
     leads = first.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.struct("degree", "cls")).alias("h")).where("lo <> hi")
     spots = written(first.join(leads, "token").select("cls", "token", "h"), "spots")
-    hub_of = spots.groupBy("cls").agg(F.max("h.cls").alias("hub"))
+    hub_of = spots.groupBy("cls").agg(F.max("h").alias("h")).select("cls", F.col("h.cls").alias("hub"))
     hub_of = written(rows.select("cls", "n", "sh", "g", "prefix").join(hub_of, "cls"), "open-sets")
-    room = hub_of.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("sh") / block_tokens)).alias("salts"))
+    room = written(hub_of.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("sh") / block_tokens)).alias("salts")), "rooms")
     placed = hub_of.join(room, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("salts"))))
-    placed = written(placed.drop("hub", "salts"), "placed")
-    at = written(spots.join(placed.select("cls", "block"), "cls").select("token", "block").distinct(), "block-tokens")
-    meets = at.withColumnRenamed("block", "one").join(at.withColumnRenamed("block", "two"), "token").where("one <= two").select("one", "two").distinct()
-    meets = written(meets, "meets")
+    placed = written(placed.drop("salts"), "placed")
+    at = written(spots.join(placed.select("cls", "hub"), "cls").select("token", "hub").distinct(), "hub-tokens")
+    near = at.withColumnRenamed("hub", "x").join(at.withColumnRenamed("hub", "y"), "token").where("x <= y").select("x", "y").distinct()
+    blocks = room.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("hub", F.xxhash64("hub", "salt").alias("block"))
+    near = near.join(blocks.select(F.col("hub").alias("x"), F.col("block").alias("one")), "x").join(blocks.select(F.col("hub").alias("y"), F.col("block").alias("two")), "y")
+    meets = written(near.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct(), "meets")
     sides = meets.join(placed, F.col("one") == F.col("block")).unionByName(meets.where("one <> two").join(placed, F.col("two") == F.col("block")))
 
     def meet(group: pa.Table) -> pa.Table:
