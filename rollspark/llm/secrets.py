@@ -113,16 +113,31 @@ def _condition(clauses: list[list[list[str]]], present: str) -> str:
     return " and ".join("(" + " or ".join("(" + " and ".join(f"array_contains({present}, {_quoted(t)})" for t in alt) + ")" for alt in clause) + ")" for clause in clauses)
 
 
+#: SQL for no spans.
+NONE = "cast(array() as array<struct<s: int, k: int, e: int>>)"
+
+
+def _running(values: str, zero: str, combine: str) -> str:
+    """SQL for what ``combine`` makes of all values before each one, in steps of the square root of their number."""
+    folded = lambda part, start: f"aggregate({part}, {start}, (a, x) -> {combine})"
+    sums = f"transform(sequence(0, (size(v) - 1) div w), b -> {folded('slice(v, b * w + 1, w)', zero)})"
+    before = f"transform(sequence(0, size(sums) - 1), b -> {folded('slice(sums, 1, b)', zero)})"
+    each = f"transform(sequence(0, size(v) - 1), i -> {folded('slice(v, (i div w) * w + 1, i % w)', 'before[i div w]')})"
+    made = let("cast(ceil(sqrt(size(v))) as int)", "w", let(sums, "sums", let(before, "before", each)))
+    return let(values, "v", f"if(size(v) = 0, array(), {made})")
+
+
 def _spans(rule: Rule, text: str, order: int) -> str:
     """SQL for an array of (start, order, end) of a rule's matches, leftmost and not overlapping, in code points."""
     # \G holds each match to the end of the one before, so the lazy gap never starts a second scan of the tail.
     pattern = _quoted(("(?si)" if rule.any_case else "(?s)") + r"\G(.*?)(" + rule.pattern + ")")
     get = lambda i: f"regexp_extract_all({text}, {pattern}, {i})"
-    value = get(rule.group + 2) if rule.group else "m"
-    step = f"named_struct('at', a.at + length(g[i]) + length(m[i]), 'out', if(length(v[i]) >= {rule.least}, concat(a.out, array(named_struct('s', a.at + length(g[i]), 'k', {order}, 'e', a.at + length(g[i]) + length(m[i])))), a.out))"
-    none = "cast(array() as array<struct<s: int, k: int, e: int>>)"
-    folded = f"aggregate(sequence(0, size(g) - 1), named_struct('at', 0, 'out', {none}), (a, i) -> {step}).out"
-    return let(get(1), "g", f"if(size(g) = 0, {none}, {let(get(2), 'm', let(value, 'v', folded))})")
+    span = "named_struct('s', at[i] + gap[i], 'k', {k}, 'e', at[i] + both[i])".format(k=order)
+    fine = f"filter(sequence(0, size(both) - 1), i -> length(value[i]) >= {rule.least})" if rule.least else "sequence(0, size(both) - 1)"
+    found = let(_running("both", "0", "a + x"), "at", f"transform({fine}, i -> {span})")
+    value = let(get(rule.group + 2), "value", found) if rule.least else found
+    body = let(f"transform({get(1)}, x -> length(x))", "gap", f"if(size(gap) = 0, {NONE}, {let(f'zip_with(gap, {get(2)}, (x, y) -> x + length(y))', 'both', value)})")
+    return body
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -133,44 +148,54 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
        candidates' whole texts are verified by the pattern; rules without mandatory trigrams scan every text.
 
     Null text: no secrets. A document is known by its key and the hash of its text, so repeated rows and repeated or null
-    keys are right too. Empty table: empty result. All input columns stay; one named ``secrets`` is replaced. Spans are
-    sorted by start, then rule; spans of different rules may overlap.
+    keys are right too. Empty table: empty result. All input columns stay, whatever their names; one named ``secrets`` is
+    replaced. Spans are sorted by start, then rule; spans of different rules may overlap. The work is nearly in proportion to
+    a text's length and matches.
     """
-    docs = docs.drop("secrets")
+    columns = [c for c in docs.columns if c != "secrets"]
     queries = {r.kind: trigram_query(r) for r in rules}
     wanted = sorted({t for q in queries.values() for clause in q for alt in clause for t in alt})
-    known = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn(
-        "_k", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.xxhash64("_t"), F.length("_t"))
-    )
+    # The input row is one column, so its names clash with none made here.
+    known = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(key).cast("string"), F.lit("-")).alias("name"))
+    known = known.select("row", "t", F.concat_ws(":", "name", F.xxhash64("t"), F.length("t")).alias("k"))
 
     listed = ", ".join(map(_quoted, wanted))
-    postings = known.select("_k", F.explode(F.expr(let("lower(_t)", "low", f"filter(array({listed}), t -> contains(low, t))"))).alias("trigram"))
+    postings = known.select("k", F.explode(F.expr(let("lower(t)", "low", f"filter(array({listed}), x -> contains(low, x))"))).alias("trigram"))
     indexed = [(i, r) for i, r in enumerate(rules) if queries[r.kind]]
     candidates = (
-        postings.groupBy("_k")
+        postings.groupBy("k")
         .agg(F.collect_set("trigram").alias("present"))
-        .select("_k", F.expr("filter(array(" + ", ".join(f"if({_condition(queries[r.kind], 'present')}, {i}, -1)" for i, r in indexed) + "), i -> i >= 0)").alias("_rules"))
-        .where(F.size("_rules") > 0)
+        .select("k", F.expr("filter(array(" + ", ".join(f"if({_condition(queries[r.kind], 'present')}, {i}, -1)" for i, r in indexed) + "), i -> i >= 0)").alias("rules"))
+        .where(F.size("rules") > 0)
     )
-    found = known.join(candidates, "_k", "left")
+    found = known.join(candidates, "k", "left")
     each = []
     for i, r in enumerate(rules):
         # A class repeated without bound has maximal runs, so asking for its least length first finds the same matches.
         run = re.fullmatch(r"(\[[^\]]+\])\+", r.pattern)
         scan = Rule(r.kind, f"{run[1]}{{{r.least},}}") if run and r.least and not r.any_case else r
-        gate = f"array_contains(_rules, {i})" if queries[r.kind] else f"_t rlike {_quoted(scan.pattern)}"
-        each.append(f"if({gate}, {_spans(scan, '_t', i)}, cast(array() as array<struct<s: int, k: int, e: int>>))")
-    return found.withColumn("secrets", F.expr(f"sort_array(concat({', '.join(each)}))")).select(*docs.columns, "secrets")
+        gate = f"array_contains(rules, {i})" if queries[r.kind] else f"t rlike {_quoted(scan.pattern)}"
+        each.append(f"if({gate}, {_spans(scan, 't', i)}, {NONE})")
+    return found.withColumn("secrets", F.expr(f"sort_array(concat({', '.join(each)}))")).select("row.*", "secrets")
 
 
-def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets", mask: str = "[SECRET]") -> DataFrame:
-    """Replace the spans in the text by ``mask``, overlapping spans by one; null texts stay null."""
-    step = (
-        f"if(x.s >= a.at, named_struct('at', x.e, 'out', concat(a.out, substr({text}, a.at + 1, x.s - a.at), {_quoted(mask)})), "
-        "named_struct('at', greatest(a.at, x.e), 'out', a.out))"
-    )
-    masked = f"if(size({secrets}) = 0, {text}, aggregate({secrets}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substr({text}, a.at + 1))))"
-    return docs.withColumn(text, F.expr(f"if({text} is null, null, {masked})"))
+def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets", mask: str = "[SECRET]", step: int = 1024) -> DataFrame:
+    """Replace the spans in the text by ``mask``, overlapping spans by one; null texts stay null.
+
+    What lies between the spans is taken from steps of the text and joined once, so the work is in proportion to the text
+    and the number of spans.
+    """
+    quoted = ".".join(f"`{c}`" for c in text.split("."))
+    piece = lambda a, b: f"if({b} <= {a}, '', substr(array_join(slice(steps, {a} div {step} + 1, ({b} - 1) div {step} - {a} div {step} + 1), ''), {a} % {step} + 1, {b} - {a}))"
+    # A span that begins before the end of one before it belongs to that one's mask.
+    firsts = "filter(sequence(0, size(z) - 1), i -> z[i].s >= at[i])"
+    pieces = f"transform({firsts}, i -> {piece('at[i]', 'z[i].s')})"
+    last = "array_max(transform(z, x -> x.e))"
+    tail = let(last, "last", let(f"length({quoted})", "n", piece("last", "n")))
+    joined = f"array_join(concat({pieces}, array({tail})), {_quoted(mask)})"
+    made = let(_running("transform(z, x -> x.e)", "0", "greatest(a, x)"), "at", let(f"regexp_extract_all({quoted}, '(?s).{{1,{step}}}', 0)", "steps", joined))
+    masked = f"if(size({secrets}) = 0, {quoted}, {let(secrets, 'z', made)})"
+    return docs.withColumn(text, F.expr(f"if({quoted} is null, null, {masked})"))
 
 
 def secret_digest(scanned: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
