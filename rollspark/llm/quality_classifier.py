@@ -28,15 +28,17 @@ def text_features(text: str | None) -> np.ndarray:
     return np.array([np.log1p(len(words)), min(len(raw) / n, 50.0) / 10, len(set(words)) / n, again, 1 - len(set(lines)) / max(1, len(lines)), len(lines) / n, *share])
 
 
-def with_features(docs: DataFrame, text: str) -> DataFrame:
+def with_features(rows: DataFrame) -> DataFrame:
+    """Add ``x``, the features of the column ``text``, and drop the text."""
+
     def add(batches):
         for batch in batches:
-            values = [text_features(t) for t in batch.column(names.index(text)).to_pylist()]
+            values = [text_features(t) for t in batch.column("text").to_pylist()]
             flat = pa.array(np.concatenate(values) if values else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float64()))], [*names, "_x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float64()))], [*kept, "x"])
 
-    names = docs.columns
-    return docs.mapInArrow(add, docs.withColumn("_x", F.array(F.lit(0.0))).schema)
+    kept = [c for c in rows.columns if c != "text"]
+    return rows.mapInArrow(add, rows.drop("text").withColumn("x", F.array(F.lit(0.0))).schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -79,37 +81,37 @@ def classify_quality(
     evidence: all documents get the same probability (1 without labels) and are kept. Repeated rows are scored alike; an
     empty table gives an empty result. All input columns (or ``columns``) stay, except ones named like the added ones.
     """
-    made = ("quality_evidence", "quality_site", "quality", "kept", "_x")
+    made = ("quality_evidence", "quality_site", "quality", "kept")
     columns = [c for c in columns or docs.columns if c not in made]
-    used = docs.select(*dict.fromkeys([*columns, key, text, host, path]))
-    scored = with_features(used, text)
-    scored = written(scored.select(*dict.fromkeys([*columns, key, host, path]), "_x"), "features")
+    # The input row is one column, so its names clash with none made here.
+    row = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
+    used = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(host).alias("host"), F.col(path).alias("path"))
+    scored = written(with_features(used), "features")
 
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-    one = one.where("lo = hi").select(F.col(key).alias("_key"), F.col("lo").cast("double").alias("_y"))
+    one = one.where("lo = hi").select(F.col(key).alias("key"), F.col("lo").cast("double").alias("y"))
     n = one.count()
     slots = 1 << 20
-    drawn = one.where(F.pmod(F.xxhash64("_key"), F.lit(slots)) < int(slots * min(1.0, max_labels / max(1, n))))
-    train = drawn.join(scored.select(F.col(key).alias("_key"), "_x"), "_key").dropDuplicates(["_key"]).select("_x", "_y").toPandas()
-    y = train["_y"].to_numpy(np.float64) > 0.5
+    drawn = one.where(F.pmod(F.xxhash64("key"), F.lit(slots)) < int(slots * min(1.0, max_labels / max(1, n))))
+    train = drawn.join(scored.select("key", "x"), "key").groupBy("key", "y").agg(F.min("x").alias("x")).select("x", "y").toPandas()
+    y = train["y"].to_numpy(np.float64) > 0.5
     if 0 < y.sum() < len(y):
-        weights = fit_logistic(np.array(train["_x"].tolist()), y.astype(np.float64)).tolist()
+        weights = fit_logistic(np.array(train["x"].tolist()), y.astype(np.float64)).tolist()
     else:
         weights = [0.0] * N_FEATURES + [30.0]
 
-    dot = f"aggregate(zip_with(_x, array({', '.join(f'{w!r}D' for w in weights[:-1])}), (a, b) -> a * b), {weights[-1]!r}D, (s, v) -> s + v)"
+    dot = f"aggregate(zip_with(x, array({', '.join(f'{w!r}D' for w in weights[:-1])}), (a, b) -> a * b), {weights[-1]!r}D, (s, v) -> s + v)"
     evidence = F.expr(f"1D / (1D + exp(-least(greatest({dot}, -30D), 30D)))")
     scored = scored.withColumn("quality_evidence", evidence)
 
     # Sums by (host, path), then by host; only the global moments reach the driver.
     e = F.col("quality_evidence")
-    sites = scored.groupBy(host, path).agg(F.sum(e).alias("s"), F.count("*").alias("n"))
-    sites = sites.select(F.col(host).alias("_h"), F.col(path).alias("_p"), "s", "n")
-    hosts = sites.groupBy("_h").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
+    sites = scored.groupBy("host", "path").agg(F.sum(e).alias("s"), F.count("*").alias("n"))
+    hosts = sites.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).withColumnRenamed("host", "own_host")
     total, count = (hosts.agg(F.sum("hs"), F.sum("hn")).first() or (None, None))[:2]
     mean = min(max((total or 0.0) / max(1, count or 0), 1e-6), 1 - 1e-6)
     spread = hosts.agg(F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - mean) ** 2), F.count("*")).first()
-    both = sites.withColumnRenamed("_h", "_h0").join(hosts, F.col("_h0").eqNullSafe(F.col("_h"))).drop("_h0")
+    both = sites.join(hosts, F.col("host").eqNullSafe(F.col("own_host"))).drop("own_host")
     inner = both.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("hs") / F.col("hn")) ** 2), F.count("*")).first()
 
     def strength(between: float | None, groups: int) -> float:
@@ -118,12 +120,12 @@ def classify_quality(
         return min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
 
     a, b = strength(*spread), strength(*inner)
-    posterior = both.withColumn("hm", (a * mean + F.col("hs")) / (a + F.col("hn"))).select("_h", "_p", "s", "n", "hm")
-    joined = scored.join(posterior, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
+    posterior = both.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "s", "n", ((a * mean + F.col("hs")) / (a + F.col("hn"))).alias("hm"))
+    joined = scored.join(posterior, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
     site = (b * F.col("hm") + F.col("s") - e) / (b + F.col("n") - 1)
     site = F.greatest(F.least(site, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = lambda c: c / (1 - c)
-    joined = joined.withColumn("quality_site", site)
     clipped = F.greatest(F.least(e, F.lit(1 - 1e-12)), F.lit(1e-12))
-    o = odds(clipped) * odds(F.col("quality_site")) / odds(F.lit(mean))
-    return joined.withColumn("quality", o / (1 + o)).select(*columns, "quality_evidence", "quality_site", "quality", (F.col("quality") >= threshold).alias("kept"))
+    o = odds(clipped) * odds(site) / odds(F.lit(mean))
+    quality = o / (1 + o)
+    return joined.select(*[F.col("row")[c].alias(c) for c in columns], e, site.alias("quality_site"), quality.alias("quality"), (quality >= threshold).alias("kept"))
