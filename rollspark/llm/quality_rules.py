@@ -28,8 +28,9 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Everything is counted inside the row: repeated three-word windows are found by sorting the windows' hashes, so a
     long text costs n log n and nothing is shuffled.
     """
-    t = "_text"
-    words = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn("_words", F.expr(WORDS.format(text=t)))
+    # The input row is one column, so its names clash with none made here.
+    words = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    words = words.withColumn("_words", F.expr(WORDS.format(text="_text")))
     grams = let("transform(_words, w -> xxhash64(w))", "h", "if(size(h) < 3, array(), transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])))")
     covered = let(
         "sort_array(transform(g, (x, i) -> struct(x, i)))",
@@ -49,10 +50,10 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         f"concat(transform(array({listed}), v -> size(filter(c, w -> w = v))), array(size(_words) - size(c)))",
     )
     return words.select(
-        *docs.columns,
+        *[F.col("_row")[c].alias(c) for c in docs.columns],
         F.expr("size(_words)").cast("long").alias("n_words"),
         F.expr("aggregate(_words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
-        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.expr(lines).cast("long").alias("n_dup_lines"),
         F.expr(repeated).cast("long").alias("n_repeat_words"),
         F.expr(let("_text", "t0", body)).alias("chars"),
@@ -82,13 +83,13 @@ def _references(clean: DataFrame) -> dict[str, dict[str, list[int]]]:
     return found
 
 
-def _with_distances(rows: DataFrame, reference: dict[str, dict[str, list[int]]], lang: str) -> DataFrame:
+def _with_distances(rows: DataFrame, reference: dict[str, dict[str, list[int]]]) -> DataFrame:
     def against(c: str):
         shares = {k: [x / (sum(v) or 1) for x in v] for k, v in reference[c].items()}
         choice = F.lit(shares["*"])
         for k, v in shares.items():
             if k in COMMON and sum(reference[c][k]):
-                choice = F.when(F.col(lang) == k, F.lit(v)).otherwise(choice)
+                choice = F.when(F.col("lang") == k, F.lit(v)).otherwise(choice)
         return choice
 
     held = rows.withColumns({"_qc": against("chars"), "_qw": against("hits")})
@@ -111,26 +112,29 @@ def quality_rules(
     over the half of them that is nearest to that pool; a document of another or no language is held against the pool of all. ``kept`` is false if a base rule fails, if the
     character classes are further than ``max_char_distance`` away (texts of ``min_chars`` and more) or the common words
     further than ``max_word_distance`` (texts of ``min_words`` and more). Null, empty or blank text: no words, so
-    ``base_failed``. Repeated rows are judged alike; an empty table gives an empty result; all input columns (or the ``columns`` named) stay, and
-    an input column with the name of a result column is replaced.
+    ``base_failed``. Repeated rows are judged alike; an empty table gives an empty result; all input columns (or the ``columns`` named) stay,
+    whatever their names, and an input column with the name of a result column is replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "hits", "base_failed", "char_distance", "word_distance", "kept")
     columns = [c for c in columns or docs.columns if c not in made]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = rule_counts(docs.select(*dict.fromkeys([*columns, text, lang])), text).withColumn("base_failed", failed)
-    counted = written(counted.select(*dict.fromkeys([*columns, lang]), *made[:8]), "rule-counts")
+    # The input row is one column, so its names clash with none made here.
+    row = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
+    used = docs.select(row.alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counted = rule_counts(used).withColumn("base_failed", failed)
+    counted = written(counted.select("row", "lang", *made[:8]), "rule-counts")
 
     # References are a few rows of sums, whatever the input. Those of all clean rows come first; the final ones pool the half
     # of each language's rows that lies nearest to them, so that oddities among the clean rows do not shape what they are held to.
-    known = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise("")
+    known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
     clean = counted.where(~F.col("base_failed") & (F.col("n_symbols") * 50 < F.col("word_chars"))).withColumn("_known", known)
-    first = _with_distances(clean, _references(clean), lang)
+    first = _with_distances(clean, _references(clean))
     half = {r["_known"]: r["m"] for r in first.groupBy("_known").agg(F.percentile_approx("char_distance", 0.5, 1000).alias("m")).collect()}
     near = F.lit(None).cast("double")
     for k, m in half.items():
         near = F.when(F.col("_known") == k, F.lit(m)).otherwise(near)
-    judged = _with_distances(counted, _references(first.where(F.col("char_distance") <= near)), lang)
+    judged = _with_distances(counted, _references(first.where(F.col("char_distance") <= near)))
     odd = ((F.col("char_distance") > max_char_distance) & (F.aggregate("chars", F.lit(0), lambda a, x: a + x) >= min_chars)) | (
         (F.col("word_distance") > max_word_distance) & (F.col("n_words") >= min_words)
     )
-    return judged.select(*columns, *made[:8], "char_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in columns], *made[:8], "char_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))

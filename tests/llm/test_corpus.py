@@ -411,6 +411,62 @@ def test_secrets(spark):
     assert scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_long_text_with_many_matches(spark):
+    n = 100_000
+    text = "é " + "password=abcdef, " * n
+    df = spark.createDataFrame([(1, text), (2, text + "AKIA" + "A1" * 10 + " 🙂 token=" + "0123456789abcdef" * 2)], "doc_id long, text string")
+    found = scan_secrets(df)
+    got = {r.doc_id: r for r in found.select("doc_id", F.size("secrets").alias("n"), F.expr("secrets[99999]").alias("last"), F.expr("secrets[50000].s").alias("middle")).collect()}
+    assert got[1].n == n and (got[1].last.s, got[1].last.e) == (2 + 17 * (n - 1), 2 + 17 * (n - 1) + 15) and got[1].middle == 2 + 17 * 50_000
+    masked = {r.doc_id: r.text for r in redact(found).collect()}
+    assert masked[1] == "é " + "[SECRET], " * n
+    assert masked[2] == "é " + "[SECRET], " * n + "[SECRET] 🙂 [SECRET]"
+
+
+def test_redacted_spans_may_overlap(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(list("ab é🙂漢\n"), int(rng.integers(1, 3000))))
+        spans = sorted((int(a), 0, int(min(len(text), a + rng.integers(1, 40)))) for a in rng.integers(0, len(text), int(rng.integers(0, 30))))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string, secrets array<struct<s: int, k: int, e: int>>")
+    for r in redact(df).collect():
+        _, text, spans = rows[r.doc_id]
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == out + text[at:]
+
+
+def test_added_kinds_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "ghp_" + "aB3" * 13, "gho_short", "xoxb-1234567890-abc", "xoxq-1234567890", "eyJabcdefgh.eyJabcdefgh.abcdefgh_-", "eyJshort.eyJ", "token: abcdef", "deadbeef" * 4]
+    rows = [(i, "".join(str(rng.choice(["", " ", "\n", "x"])) + str(rng.choice(parts)) for _ in range(8))) for i in range(80)]
+    got = {r.doc_id: r.spans for r in secret_digest(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        want = []
+        for k, rule in enumerate(BASE + MORE):
+            for m in re.finditer(rule.pattern, t, re.I | re.A if rule.any_case else 0):
+                if len(m.group(rule.group)) >= rule.least:
+                    want.append((m.start(), k, m.end()))
+        assert got[i] == ",".join(f"{(BASE + MORE)[k].kind}:{s}:{e}" for s, k, e in sorted(want))
+
+
+CLASHES = ("row", "t", "k", "rules", "_t", "_k", "_rules", "_qc", "_qw", "_text", "_words", "_row", "_known", "n", "s", "hm", "x", "hs", "hn", "host", "path", "site_host", "own_host", "key", "trigram", "present", "h", "m")
+
+
+def test_no_column_name_clashes(spark):
+    df = docs(spark).select("doc_id", "text", "lang", "source", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, quality int")
+    for got in (scan_secrets(df), redact(scan_secrets(df)), quality_rules(df), classify_quality(df, labels)):
+        assert set(df.columns) <= set(got.columns)
+        rows = got.collect()
+        assert len(rows) == df.count() and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+
+
 def test_trigram_queries():
     q = {r.kind: trigram_query(r) for r in BASE + MORE}
     assert q["hex"] == [] and q["access"] == [[["aki", "kia"]]] and ["ken", "oke", "tok"] in q["assign"][0]
