@@ -6,21 +6,17 @@ from pyspark.sql import functions as F
 
 from rollspark.operators import clusters as C
 from rollspark.operators.objectives import with_cluster_size
-from rollspark.tables import EV, LI, ev, li, read
+from rollspark.tables import EV8, LI, ev8, li, read
 
 from .metrics import rounded
 from .registry import query
 
-E8 = f"WITH {EV}, e AS (SELECT * FROM ev WHERE rollout_idx < 8)"
-
-
-def r8(s, d):
-    return ev(s, d).where("rollout_idx < 8")
+E8 = f"WITH {EV8}, e AS (SELECT *, count(*) OVER (PARTITION BY problem_id) AS size FROM e8)"
 
 
 @query("c01_cluster_by_key", E8 + ", k AS (SELECT *, CASE WHEN pred <> 'error' THEN upper(pred) END AS k FROM e), r AS (SELECT *, dense_rank() OVER (PARTITION BY problem_id, k IS NULL ORDER BY k) - 1 AS r FROM k) SELECT problem_id, rollout_idx, CASE WHEN k IS NULL THEN -1 - rollout_idx ELSE r END::BIGINT AS cluster FROM r")
 def c01(s, d):
-    return C.cluster_by_key(r8(s, d), F.upper("pred"), F.col("pred") != "error").select("problem_id", "rollout_idx", "cluster")
+    return C.cluster_by_key(ev8(s, d), F.upper("pred"), F.col("pred") != "error").select("problem_id", "rollout_idx", "cluster")
 
 
 @query(
@@ -34,7 +30,7 @@ def c02(s, d):
 
 
 def methods(s, d):
-    return r8(s, d).select("problem_id", "rollout_idx", "reward", F.col("pred").alias("by_pred"), F.col("finish_reason").alias("by_finish"), F.substring("pred", 1, 1).alias("by_letter"))
+    return ev8(s, d).select("problem_id", "rollout_idx", "reward", F.col("pred").alias("by_pred"), F.col("finish_reason").alias("by_finish"), F.substring("pred", 1, 1).alias("by_letter"))
 
 
 METHODS = E8 + ", m AS (SELECT problem_id, rollout_idx, reward, pred AS by_pred, finish_reason AS by_finish, substr(pred, 1, 1) AS by_letter FROM e)"
@@ -75,23 +71,24 @@ def c06(s, d):
 
 
 def responses(s, d):
-    """Recorded cluster answers: fenced, whole, short of a key, cut off or absent, by problem."""
+    """Recorded cluster answers: fenced, whole, short of a key, cut off or absent, by problem; n: the problem's rollouts."""
     entry = F.concat(F.lit('"'), (F.col("rollout_idx") + 1).cast("string"), F.lit('": {"cluster_id": '), F.when(F.col("cluster_id") < 0, 100).otherwise(F.col("cluster_id")).cast("string"), F.lit(', "chain_of_thought": "x"}'))
     k = F.col("problem_id") % 5
-    g = r8(s, d).where(~((k == 2) & (F.col("rollout_idx") == 3))).groupBy("problem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rollout_idx", entry.alias("e")))), lambda x: x["e"]), ", ").alias("j"))
+    there = F.when(~((k == 2) & (F.col("rollout_idx") == 0)), F.struct("rollout_idx", entry.alias("e")))
+    g = ev8(s, d).groupBy("problem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(there)), lambda x: x["e"]), ", ").alias("j"), F.count("*").cast("int").alias("n"))
     body = F.concat(F.lit("{"), "j", F.lit("}"))
     text = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 3, F.concat(F.lit("{"), "j")).when(k == 4, None).otherwise(body)
-    return g.select("problem_id", text.alias("response"))
+    return g.select("problem_id", text.alias("response"), "n")
 
 
 @query("c07_parse_assignments", E8 + " SELECT problem_id, problem_id % 5 < 2 AS parse_ok, rollout_idx, cluster_id FROM e WHERE problem_id % 5 < 2 UNION ALL SELECT DISTINCT problem_id, false, NULL::INT, NULL::BIGINT FROM e WHERE problem_id % 5 >= 2")
 def c07(s, d):
-    return C.parse_assignments(responses(s, d), 8)
+    return C.parse_assignments(responses(s, d), "n")
 
 
-@query("c08_parse_lenient", E8 + " SELECT problem_id, rollout_idx, CASE WHEN problem_id % 5 IN (0, 1) OR (problem_id % 5 = 2 AND rollout_idx <> 3) THEN cluster_id ELSE -1 END AS cluster_id FROM e WHERE problem_id % 5 NOT IN (3)")
+@query("c08_parse_lenient", E8 + " SELECT problem_id, rollout_idx, CASE WHEN problem_id % 5 IN (0, 1) OR (problem_id % 5 = 2 AND rollout_idx <> 0) THEN cluster_id ELSE -1 END AS cluster_id FROM e")
 def c08(s, d):
-    return C.parse_assignments_lenient(responses(s, d).where("problem_id % 5 <> 3"), 8)
+    return C.parse_assignments_lenient(responses(s, d), "n")
 
 
 @query(
@@ -100,8 +97,8 @@ def c08(s, d):
     SELECT count(*) AS n_prompts, round(avg(d), 6) AS distinct_clusters_mean, sum(deg)::BIGINT AS degenerate_rollouts, round(avg((problem_id % 5 < 2)::INT), 6) AS parse_ok_rate, count(*) FILTER (problem_id % 7 = 0) AS overflow_skipped FROM (SELECT *, 1 FROM p) WHERE true""".replace("(problem_id % 5 < 2)::INT", "(problem_id % 5 < 2 AND problem_id % 7 <> 0)::INT").replace("CASE WHEN problem_id % 5 < 2 THEN", "CASE WHEN problem_id % 5 < 2 AND problem_id % 7 <> 0 THEN"),
 )
 def c09(s, d):
-    parsed = C.parse_assignments(responses(s, d).where("problem_id % 7 <> 0"), 8)
-    return rounded(C.fill_degenerate(r8(s, d), parsed)[1])
+    parsed = C.parse_assignments(responses(s, d).where("problem_id % 7 <> 0"), "n")
+    return rounded(C.fill_degenerate(ev8(s, d), parsed)[1])
 
 
 @query(
@@ -110,13 +107,13 @@ def c09(s, d):
     SELECT count(*) AS n, round(avg(ok::INT), 6) AS both_parse, round(avg((ok AND NOT diff)::INT), 6) AS identical, sum(CASE WHEN ok THEN 2 * deg ELSE 0 END)::BIGINT - (SELECT count(*) FROM e WHERE problem_id % 5 < 2 AND problem_id % 3 = 0 AND rollout_idx = 0 AND cluster_id = -1) AS degenerate FROM q""",
 )
 def c10(s, d):
-    a = C.parse_assignments(responses(s, d), 8)
+    a = C.parse_assignments(responses(s, d), "n")
     b = a.withColumn("cluster_id", F.when((F.col("problem_id") % 3 == 0) & (F.col("rollout_idx") == 0), 0).otherwise(F.col("cluster_id")))
     return rounded(C.repeat_agreement(a, b))
 
 
 ARI = """c AS (SELECT problem_id, {a} AS a, {b} AS b, count(*) AS m FROM m GROUP BY ALL), s AS (SELECT problem_id, sum(m * (m - 1) / 2.0) AS ij, sum(m) AS n FROM c GROUP BY 1), x AS (SELECT problem_id, sum(k * (k - 1) / 2.0) AS i FROM (SELECT problem_id, a, sum(m) AS k FROM c GROUP BY ALL) GROUP BY 1), y AS (SELECT problem_id, sum(k * (k - 1) / 2.0) AS j FROM (SELECT problem_id, b, sum(m) AS k FROM c GROUP BY ALL) GROUP BY 1),
-ari AS (SELECT problem_id, CASE WHEN (i + j) / 2 = i * j / (n * (n - 1) / 2) THEN 1 ELSE (ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)) END AS ari FROM s JOIN x USING (problem_id) JOIN y USING (problem_id))"""
+ari AS (SELECT problem_id, CASE WHEN n < 2 THEN 1 WHEN (i + j) / 2 = i * j / (n * (n - 1) / 2) THEN 1 ELSE (ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)) END AS ari FROM s JOIN x USING (problem_id) JOIN y USING (problem_id))"""
 VM = """vc AS (SELECT problem_id, {a} AS a, {b} AS b, count(*) AS m FROM m GROUP BY ALL), vt AS (SELECT *, sum(m) OVER (PARTITION BY problem_id) AS n, sum(m) OVER (PARTITION BY problem_id, a) AS ma, sum(m) OVER (PARTITION BY problem_id, b) AS mb FROM vc),
 vh AS (SELECT problem_id, -sum(m / n * ln(ma / n)) AS ha, -sum(m / n * ln(mb / n)) AS hb, -sum(m / n * ln(m / mb)) AS hab, -sum(m / n * ln(m / ma)) AS hba FROM vt GROUP BY 1), vp AS (SELECT problem_id, CASE WHEN ha <= 1e-12 THEN 1 ELSE 1 - hab / ha END AS homogeneity, CASE WHEN hb <= 1e-12 THEN 1 ELSE 1 - hba / hb END AS completeness FROM vh),
 v AS (SELECT *, CASE WHEN homogeneity + completeness > 0 THEN 2 * homogeneity * completeness / (homogeneity + completeness) ELSE 0 END AS v FROM vp)"""
@@ -144,17 +141,17 @@ def c13(s, d):
 
 @query("c14_cluster_size", E8 + " SELECT problem_id, rollout_idx, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cluster_size FROM e")
 def c14(s, d):
-    return with_cluster_size(r8(s, d)).select("problem_id", "rollout_idx", "cluster_size")
+    return with_cluster_size(ev8(s, d)).select("problem_id", "rollout_idx", "cluster_size")
 
 
 @query("c15_composition", E8 + ", k AS (SELECT problem_id, cluster_id, count(*) AS s, count(*) FILTER (reward > 0.5) AS r FROM e GROUP BY ALL) SELECT problem_id, string_agg(s, '-' ORDER BY s DESC) AS sizes, coalesce(string_agg(r, '-' ORDER BY r DESC) FILTER (r > 0), '') AS correct_sizes FROM k GROUP BY 1")
 def c15(s, d):
-    return C.composition(r8(s, d)).select("problem_id", F.array_join("sizes", "-").alias("sizes"), F.array_join("correct_sizes", "-").alias("correct_sizes"))
+    return C.composition(ev8(s, d)).select("problem_id", F.array_join("sizes", "-").alias("sizes"), F.array_join("correct_sizes", "-").alias("correct_sizes"))
 
 
 @query("c15_stacked_order", E8 + ", k AS (SELECT *, count(*) OVER (PARTITION BY problem_id, cluster_id) AS s FROM e) SELECT problem_id, rollout_idx, (row_number() OVER (PARTITION BY problem_id ORDER BY s DESC, cluster_id, reward DESC, rollout_idx) - 1)::INT AS position FROM k")
 def c15b(s, d):
-    return C.stacked_order(r8(s, d)).select("problem_id", "rollout_idx", "position")
+    return C.stacked_order(ev8(s, d)).select("problem_id", "rollout_idx", "position")
 
 
 def _board(b):
@@ -178,5 +175,5 @@ def c17(s, d):
 )
 def c18(s, d):
     r = responses(s, d)
-    ok = C.parse_assignments(r, 8).groupBy("problem_id").agg(F.max("parse_ok").alias("parse_ok"))
+    ok = C.parse_assignments(r, "n").groupBy("problem_id").agg(F.max("parse_ok").alias("parse_ok"))
     return C.parse_failures(r.join(ok, "problem_id")).select("kind", "n")

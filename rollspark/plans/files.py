@@ -136,10 +136,10 @@ def s10(s, d):
     return S.shard(ev(s, d), 1, 4).groupBy("problem_id").agg(F.count("*").alias("n"))
 
 
-@query("s11_tsv", "SELECT conv_id, turn::INT AS turn, trim(regexp_replace(substr(text, 1, 80), '[\\t\\r\\n]+', ' ', 'g')) AS text FROM conversations")
+@query("s11_tsv", "SELECT conv_id, turn::INT AS turn, trim(regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g')) AS text FROM conversations")
 def s11(s, d):
     path = shared_path(s, "tsv")
-    S.write_tsv(read(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 80).alias("text")), path)
+    S.write_tsv(read(s, d, "conversations").select("conv_id", "turn", "text"), path)
     return S.read_tsv(s, path, "conv_id bigint, turn int, text string").withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
 
 

@@ -8,7 +8,7 @@ from rollspark.functions import text as T
 from rollspark.operators import manifest as P
 from rollspark.operators import sampling as A
 from rollspark.operators.metrics import per_prompt
-from rollspark.tables import EV, LI, MANIFEST, ev, li, manifest, read
+from rollspark.tables import EV, EV8, LI, MANIFEST, ev, ev8, li, manifest, read
 
 from .metrics import rounded
 from .registry import query
@@ -222,9 +222,9 @@ def a11(s, d):
 
 @query(
     "a12_handcheck",
-    f"""WITH {EV}, p AS (SELECT problem_id, count(*) FILTER (value > 60) AS c FROM ev WHERE rollout_idx < 8 GROUP BY 1), s AS (SELECT *, CASE WHEN c BETWEEN 5 AND 7 THEN 'high' WHEN c BETWEEN 1 AND 4 THEN 'mixed' WHEN c = 0 THEN 'none' END AS stratum FROM p),
+    f"""WITH {EV8}, p AS (SELECT problem_id, count(*) FILTER (value > 60) AS c FROM e8 GROUP BY 1), s AS (SELECT *, CASE WHEN c BETWEEN 5 AND 7 THEN 'high' WHEN c BETWEEN 1 AND 4 THEN 'mixed' WHEN c = 0 THEN 'none' END AS stratum FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('11|' || problem_id), problem_id) AS i FROM s WHERE stratum IS NOT NULL) SELECT problem_id, c, stratum FROM r WHERE i <= CASE stratum WHEN 'none' THEN 4 ELSE 3 END""",
 )
 def a12(s, d):
-    R = ev(s, d).where("rollout_idx < 8").withColumn("reward", (F.col("value") > 60).cast("double"))
+    R = ev8(s, d).withColumn("reward", (F.col("value") > 60).cast("double"))
     return A.handcheck(per_prompt(R).select("problem_id", "c"), {"high": 3, "mixed": 3, "none": 4}, 11)

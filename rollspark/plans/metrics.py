@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollspark.operators import metrics as M
 from rollspark.operators import objectives as G
-from rollspark.tables import EV, EVA, LI, MANIFEST, ev, li, manifest, read
+from rollspark.tables import EV, EV8, EVA, LI, MANIFEST, ev, ev8, li, manifest, read
 
 from .registry import query
 
@@ -323,13 +323,12 @@ def m33(s, d):
     return M.cost_rollup(b, 3.95).select("run", F.round("total", 2).alias("total"), parts.alias("parts"), F.round("hours", 2).alias("hours"))
 
 
-SCORED = f"""WITH {EV}, e8 AS (SELECT * FROM ev WHERE rollout_idx < 8), a AS (SELECT *, reward - avg(reward) OVER (PARTITION BY problem_id) AS g, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cluster_size, count(*) OVER (PARTITION BY problem_id) AS n FROM e8),
+SCORED = f"""WITH {EV8}, a AS (SELECT *, reward - avg(reward) OVER (PARTITION BY problem_id) AS g, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cluster_size, count(*) OVER (PARTITION BY problem_id) AS n FROM e8),
     w AS (SELECT *, least(power(cluster_size, -0.5) * n / sum(power(cluster_size, -0.5)) OVER (PARTITION BY problem_id), 2.0) * g AS f FROM a)"""
 
 
 def scored(s, d):
-    R = ev(s, d).where("rollout_idx < 8")
-    return G.inverse_freq(G.grpo_advantage(R), 0.5, 2.0)
+    return G.inverse_freq(G.grpo_advantage(ev8(s, d)), 0.5, 2.0)
 
 
 @query(
@@ -354,11 +353,11 @@ def m36(s, d):
 
 @query(
     "m37_dist_table",
-    f"""WITH {EV}, f AS (SELECT problem_id, count(*) FILTER (reward > 0.5) AS c FROM ev WHERE rollout_idx < 8 GROUP BY ALL), i AS (SELECT unnest(range(9))::INT AS i)
+    f"""WITH {EV8}, f AS (SELECT problem_id, count(*) FILTER (reward > 0.5) AS c FROM e8 GROUP BY ALL), i AS (SELECT unnest(range(9))::INT AS i)
     SELECT i AS value, count(*) FILTER (c = i) AS n, round(count(*) FILTER (c = i)::DOUBLE / count(*), 6) AS share FROM f, i GROUP BY i""",
 )
 def m37(s, d):
-    return rounded(M.dist_table(M.per_prompt(ev(s, d).where("rollout_idx < 8")), "c", 8))
+    return rounded(M.dist_table(M.per_prompt(ev8(s, d)), "c", 8))
 
 
 @query(
@@ -381,11 +380,11 @@ def m39(s, d):
 
 @query(
     "m40_usable_prompts",
-    f"""WITH {EV}, p AS (SELECT problem_id, count(*) FILTER (reward > 0.5) AS c, count(DISTINCT pred) AS a, count(DISTINCT cluster_id) AS b, count(DISTINCT finish_reason) AS f FROM ev WHERE rollout_idx < 4 GROUP BY ALL)
+    f"""WITH {EV8}, p AS (SELECT problem_id, count(*) FILTER (reward > 0.5) AS c, count(DISTINCT pred) AS a, count(DISTINCT cluster_id) AS b, count(DISTINCT finish_reason) AS f FROM e8 GROUP BY ALL)
     SELECT key, n_usable, (SELECT count(*) FROM p) AS n_prompts FROM (SELECT 'pred' AS key, count(*) FILTER (c > 0 AND a >= 2) AS n_usable FROM p UNION ALL SELECT 'cluster_id', count(*) FILTER (c > 0 AND b >= 2) FROM p UNION ALL SELECT 'finish_reason', count(*) FILTER (c > 0 AND f >= 2) FROM p)""",
 )
 def m40(s, d):
-    return M.usable_prompts(ev(s, d).where("rollout_idx < 4"), ("pred", "cluster_id", "finish_reason"))
+    return M.usable_prompts(ev8(s, d), ("pred", "cluster_id", "finish_reason"))
 
 
 @query("m41_singleton_mass", SCORED + " SELECT arm, round(sum(CASE WHEN cluster_size = 1 AND reward <= 0.5 THEN abs(g) ELSE 0 END) / sum(abs(g)), 6) AS singleton_mass FROM w GROUP BY arm")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollspark.operators import joins as J
 from rollspark.operators import objectives as G
 from rollspark.operators import series as W
-from rollspark.tables import EV, EVA, LI, MANIFEST, ev, li, manifest, read
+from rollspark.tables import EV, EV8, EVA, LI, MANIFEST, ev, ev8, li, manifest, read
 
 from .metrics import HISTORY, SCORED, history, rounded, scored
 from .registry import query
@@ -20,20 +20,20 @@ def j01(s, d):
 
 @query(
     "j02_one_to_one",
-    f"""WITH {EV}, a AS (SELECT problem_id, rollout_idx, count(*) AS na FROM ev WHERE rollout_idx < 20 GROUP BY ALL), b AS (SELECT problem_id, rollout_idx, count(*) AS nb FROM ev WHERE rollout_idx >= 2 AND rollout_idx < 22 GROUP BY ALL)
+    f"""WITH {EV}, a AS (SELECT problem_id, rollout_idx, count(*) AS na FROM ev GROUP BY ALL), b AS (SELECT problem_id, rollout_idx + 2 AS rollout_idx, count(*) AS nb FROM ev GROUP BY ALL)
     SELECT count(*) AS n_keys, count(*) FILTER (na > 1) AS repeated_left, count(*) FILTER (nb > 1) AS repeated_right, count(*) FILTER (nb IS NULL) AS missing_right, count(*) FILTER (na IS NULL) AS missing_left FROM a FULL JOIN b USING (problem_id, rollout_idx)""",
 )
 def j02(s, d):
     R = ev(s, d).select("problem_id", "rollout_idx", "cluster_id")
-    return J.join_one_to_one(R.where("rollout_idx < 20"), R.where("rollout_idx >= 2 and rollout_idx < 22").withColumnRenamed("cluster_id", "label"), ("problem_id", "rollout_idx"))[1]
+    return J.join_one_to_one(R, R.withColumn("rollout_idx", F.col("rollout_idx") + 2).withColumnRenamed("cluster_id", "label"), ("problem_id", "rollout_idx"))[1]
 
 
 @query(
     "j03_left_with_singletons",
-    f"""WITH {EV} SELECT problem_id, rollout_idx, coalesce(CASE WHEN cluster_id >= 0 THEN cluster_id::VARCHAR END, '_missing_' || problem_id || '_' || rollout_idx) AS cluster_id FROM ev WHERE rollout_idx < 8""",
+    f"""WITH {EV} SELECT problem_id, rollout_idx, coalesce(CASE WHEN cluster_id >= 0 THEN cluster_id::VARCHAR END, '_missing_' || problem_id || '_' || rollout_idx) AS cluster_id FROM ev""",
 )
 def j03(s, d):
-    R = ev(s, d).where("rollout_idx < 8")
+    R = ev(s, d)
     keys = ("problem_id", "rollout_idx")
     return J.left_with_singletons(R.select(*keys), R.where("cluster_id >= 0"), keys, "cluster_id").select(*keys, "cluster_id")
 
@@ -83,9 +83,9 @@ def j08(s, d):
     return rounded(J.align_steps(m, ("a0", "a1"), "mean"))
 
 
-@query("j09_pairs", f"WITH {EV}, e AS (SELECT * FROM ev WHERE rollout_idx < 8) SELECT a.problem_id, count(*) AS n_pairs, count(*) FILTER (a.pred = b.pred) AS n_same FROM e a JOIN e b ON a.problem_id = b.problem_id AND a.rollout_idx < b.rollout_idx GROUP BY 1")
+@query("j09_pairs", f"WITH {EV8}, e AS (FROM e8) SELECT a.problem_id, count(*) AS n_pairs, count(*) FILTER (a.pred = b.pred) AS n_same FROM e a JOIN e b ON a.problem_id = b.problem_id AND a.rollout_idx < b.rollout_idx GROUP BY 1")
 def j09(s, d):
-    p = J.pairs(ev(s, d).where("rollout_idx < 8"), "problem_id", "rollout_idx", ("pred",))
+    p = J.pairs(ev8(s, d), "problem_id", "rollout_idx", ("pred",))
     return p.groupBy("problem_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("pred_a") == F.col("pred_b")).alias("n_same"))
 
 
@@ -114,10 +114,10 @@ def u03(s, d):
 
 @query(
     "u04_same_partition",
-    f"""WITH {EV}, e AS (SELECT * FROM ev WHERE rollout_idx < 6), q AS (SELECT a.problem_id, (a.pred = b.pred) AS x, (a.finish_reason = b.finish_reason) AS y FROM e a JOIN e b USING (problem_id)) SELECT problem_id, bool_and(x = y) AS same FROM q GROUP BY 1""",
+    f"""WITH {EV8}, e AS (FROM e8), q AS (SELECT a.problem_id, (a.pred = b.pred) AS x, (a.finish_reason = b.finish_reason) AS y FROM e a JOIN e b USING (problem_id)) SELECT problem_id, bool_and(x = y) AS same FROM q GROUP BY 1""",
 )
 def u04(s, d):
-    R = ev(s, d).where("rollout_idx < 6")
+    R = ev8(s, d)
     return J.same_partition(R.select("problem_id", "rollout_idx", F.col("pred").alias("l")), R.select("problem_id", "rollout_idx", F.col("finish_reason").alias("l")), "problem_id", "rollout_idx", "l")
 
 
@@ -228,21 +228,17 @@ def z05(s, d):
 
 # --- objectives ---
 
-G8 = f"WITH {EV}, e8 AS (SELECT * FROM ev WHERE rollout_idx < 8), a AS (SELECT *, reward - avg(reward) OVER w AS g, min(reward) OVER w < max(reward) OVER w AS keep, avg(reward) OVER w AS m, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cs FROM e8 WINDOW w AS (PARTITION BY problem_id))"
-
-
-def r8(s, d):
-    return ev(s, d).where("rollout_idx < 8")
+G8 = f"WITH {EV8}, a AS (SELECT *, reward - avg(reward) OVER w AS g, min(reward) OVER w < max(reward) OVER w AS keep, avg(reward) OVER w AS m, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cs FROM e8 WINDOW w AS (PARTITION BY problem_id))"
 
 
 @query("g01_grpo_advantage", G8 + " SELECT problem_id, rollout_idx, round(g, 6) AS advantage, keep FROM a")
 def g01(s, d):
-    return rounded(G.grpo_advantage(r8(s, d)).select("problem_id", "rollout_idx", "advantage", "keep"))
+    return rounded(G.grpo_advantage(ev8(s, d)).select("problem_id", "rollout_idx", "advantage", "keep"))
 
 
 @query("g01_filtered_share", G8 + ", p AS (SELECT problem_id, bool_or(keep) AS keep FROM a GROUP BY 1) SELECT count(*) AS n_prompts, count(*) FILTER (keep) AS n_kept, round(avg((NOT keep)::INT), 6) AS filtered FROM p")
 def g01b(s, d):
-    return rounded(G.filtered_share(G.grpo_advantage(r8(s, d))))
+    return rounded(G.filtered_share(G.grpo_advantage(ev8(s, d))))
 
 
 @query("g02_inverse_freq", SCORED + " SELECT problem_id, rollout_idx, round(f, 6) AS weighted FROM w")
@@ -252,12 +248,12 @@ def g02(s, d):
 
 @query("g02_size_divided", G8 + " SELECT problem_id, rollout_idx, round(g / cs, 6) AS weighted FROM a")
 def g02b(s, d):
-    return rounded(G.size_divided(G.grpo_advantage(r8(s, d))).select("problem_id", "rollout_idx", "weighted"))
+    return rounded(G.size_divided(G.grpo_advantage(ev8(s, d))).select("problem_id", "rollout_idx", "weighted"))
 
 
 @query("g03_focal", G8 + " SELECT problem_id, rollout_idx, round(power(1 - m, 2) * g, 6) AS weighted FROM a")
 def g03(s, d):
-    return rounded(G.focal(G.grpo_advantage(r8(s, d)), 2.0).select("problem_id", "rollout_idx", "weighted"))
+    return rounded(G.focal(G.grpo_advantage(ev8(s, d)), 2.0).select("problem_id", "rollout_idx", "weighted"))
 
 
 SUBS = "sub AS (SELECT b::BIGINT AS subset FROM range(256) t(b) WHERE bit_count(b::INT) = 4), mem AS (SELECT subset, i::INT AS rollout_idx FROM sub, range(8) t(i) WHERE (subset >> i) % 2 = 1)"
@@ -322,7 +318,7 @@ def g09(s, d):
     SCORED + ", k AS (SELECT problem_id, cluster_id, count(*) AS r FROM e8 WHERE reward > 0.5 GROUP BY ALL), m AS (SELECT problem_id FROM k GROUP BY 1 HAVING min(r) < max(r)) SELECT count(*) AS n_rollouts, round(coalesce(corr(g * (1 + response_length / 500.0), f), 1), 6) AS signal FROM w WHERE problem_id IN (FROM m)",
 )
 def g10(s, d):
-    A = G.grpo_advantage(r8(s, d)).withColumn("recorded", F.col("advantage") * (1 + F.col("response_length") / 500))
+    A = G.grpo_advantage(ev8(s, d)).withColumn("recorded", F.col("advantage") * (1 + F.col("response_length") / 500))
     return rounded(G.mechanism_signal(A.drop("advantage", "keep"), 0.5, 2.0))
 
 
@@ -333,5 +329,5 @@ def g11(s, d):
 
 @query("g12_kept", G8 + " SELECT count(*) AS n_rows, count(DISTINCT problem_id) AS n_prompts, count(*) = 0 AS empty FROM a WHERE keep")
 def g12(s, d):
-    R = r8(s, d)
+    R = ev8(s, d)
     return G.kept(R, G.grpo_advantage(R))[1]

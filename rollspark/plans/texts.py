@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollspark.operators import decisions as D
 from rollspark.operators import metrics as M
 from rollspark.operators import text as N
-from rollspark.tables import EV, EVA, ev, read
+from rollspark.tables import EV, EV8, EVA, ev, ev8, read
 
 from .metrics import rounded
 from .registry import query
@@ -17,7 +17,7 @@ def conv(s, d):
     return read(s, d, "conversations").select(F.col("conv_id").alias("problem_id"), F.col("turn").cast("int").alias("rollout_idx"), "text", "role")
 
 
-TOK = "t AS (SELECT conv_id AS problem_id, turn::INT AS rollout_idx, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS k FROM conversations WHERE text <> '' AND turn < 16)"
+TOK = "t AS (SELECT conv_id AS problem_id, turn::INT AS rollout_idx, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS k FROM conversations WHERE text <> '')"
 
 
 def _grams(n, extra=""):
@@ -26,7 +26,7 @@ def _grams(n, extra=""):
 
 @query("n01_ngrams", f"WITH {TOK}, g AS ({_grams(2)}) SELECT problem_id, rollout_idx, gram, count(*) AS c FROM g GROUP BY ALL")
 def n01(s, d):
-    return N.ngrams(conv(s, d).where("rollout_idx < 16"), "text", 2)
+    return N.ngrams(conv(s, d), "text", 2)
 
 
 @query(
@@ -68,7 +68,7 @@ def n04(s, d):
     FROM t LEFT JOIN a USING (problem_id, rollout_idx) LEFT JOIN r USING (problem_id, rollout_idx) JOIN (SELECT conv_id, turn, text FROM conversations) x ON x.conv_id = t.problem_id AND x.turn = t.rollout_idx""",
 )
 def n05(s, d):
-    return N.repetition(conv(s, d).where("rollout_idx < 16"), "text", 2)
+    return N.repetition(conv(s, d), "text", 2)
 
 
 def token_maps(s, d):
@@ -267,8 +267,8 @@ def l04(s, d):
     return x.withColumn("answer", a).select("doc_id", D.review_priority("text", "answer").alias("priority"))
 
 
-@query("l05_nest_rollouts", f"WITH {EV}, e AS (SELECT *, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cs FROM ev WHERE rollout_idx < 8) SELECT problem_id, count(*)::INT AS n, string_agg(rollout_idx || ':' || pred || ':' || cs, ',' ORDER BY rollout_idx) AS rollouts FROM e GROUP BY 1")
+@query("l05_nest_rollouts", f"WITH {EV8}, e AS (SELECT *, count(*) OVER (PARTITION BY problem_id, cluster_id) AS cs FROM e8) SELECT problem_id, count(*)::INT AS n, string_agg(rollout_idx || ':' || pred || ':' || cs, ',' ORDER BY rollout_idx) AS rollouts FROM e GROUP BY 1")
 def l05(s, d):
-    x = D.nest_rollouts(ev(s, d).where("rollout_idx < 8"))
+    x = D.nest_rollouts(ev8(s, d))
     text = F.array_join(F.transform("rollouts", lambda r: F.concat_ws(":", r["rollout_idx"].cast("string"), r["pred"], r["cluster_size"].cast("string"))), ",")
     return x.select("problem_id", F.size("rollouts").alias("n"), text.alias("rollouts"))

@@ -38,6 +38,11 @@ def ev(spark: SparkSession, sf_dir: str, by_arm: bool = False) -> DataFrame:
     )
 
 
+def ev8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rollouts of ``ev`` in groups of eight: each user's rollouts 0 to 7 are a problem, 8 to 15 the next, and so on."""
+    return ev(spark, sf_dir).withColumns({"problem_id": F.expr("problem_id * 100000 + rollout_idx div 8"), "rollout_idx": F.col("rollout_idx") % 8})
+
+
 def _ev_sql(name: str, keys: str) -> str:
     return f"""{name} AS (SELECT 'a' || (event_id % 2) AS arm, day(ts)::INT AS step, user_id AS problem_id,
     (row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) - 1)::INT AS rollout_idx, event_type AS pred,
@@ -48,6 +53,7 @@ def _ev_sql(name: str, keys: str) -> str:
 
 
 EV = _ev_sql("ev", "user_id")
+EV8 = EV + ", e8 AS (SELECT * REPLACE (problem_id * 100000 + rollout_idx // 8 AS problem_id, (rollout_idx % 8)::INT AS rollout_idx) FROM ev)"
 EVA = _ev_sql("ev", "user_id, event_id % 2")
 
 
