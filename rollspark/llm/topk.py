@@ -2,77 +2,101 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, written
-
+from .common import written
 
 #: The id of a place that no vector has taken; it sorts behind all others.
 FREE = np.iinfo(np.int64).max
 
 
+def _raised(bound: np.ndarray) -> np.ndarray:
+    """A bound that rounding cannot make too low."""
+    return bound + 1e-6 + 1e-9 * np.abs(bound)
+
+
 class BallTree:
-    """A ball tree over a shard's vectors; leaves hold ``leaf`` vectors at most."""
+    """A ball tree over a shard's vectors; leaves hold ``leaf`` vectors at most. ``visited`` counts pairs of query and node."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = 64):
-        self.vectors, self.ids = vectors, ids
-        centers, radii, parents, self.leaves = [], [], [], []
-        stack = [(np.arange(len(ids)), -1)]
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = 128):
+        self.vectors, self.ids, self.visited = vectors, ids, 0
+        centers, radii, self.children, self.rows = [], [], [], []
+        stack = [(np.arange(len(ids)), None)]
         while stack:
             rows, parent = stack.pop()
             own = vectors[rows].astype(np.float64)
             center = own.mean(0)
             away = np.sqrt(((own - center) ** 2).sum(1))
             node = len(centers)
-            centers.append(center), radii.append(away.max()), parents.append(parent)
-            if len(rows) <= leaf:
-                self.leaves.append((node, rows))
-                continue
-            a = own[away.argmax()]
-            b = own[((own - a) ** 2).sum(1).argmax()]
-            order = np.argsort(own @ (a - b), kind="stable")
-            half = len(rows) // 2
-            stack.append((rows[order[:half]], node)), stack.append((rows[order[half:]], node))
-        self.centers, self.radii, self.parents = np.array(centers), np.array(radii), parents
+            if parent is not None:
+                self.children[parent].append(node)
+            centers.append(center), radii.append(away.max()), self.children.append([])
+            self.rows.append(rows if len(rows) <= leaf else None)
+            if len(rows) > leaf:
+                a = own[away.argmax()]
+                b = own[((own - a) ** 2).sum(1).argmax()]
+                order = np.argsort(own @ (a - b), kind="stable")
+                half = len(rows) // 2
+                stack.append((rows[order[:half]], node)), stack.append((rows[order[half:]], node))
+        self.centers, self.radii = np.array(centers).reshape(len(centers), -1), np.array(radii)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids) of each query among vectors with a score of at least ``floor``, ties to smaller ids.
 
-        Nodes are bounded by q.c + |q| r and by their parents' bounds; each query visits leaves from the highest bound on and
-        stops when the next bound is under its kth score or its floor. Places that stay free have the id ``FREE``.
+        A node's bound is q.c + |q| r. Nodes wait on a stack with the queries that may still need them; each query goes down
+        its child with the higher bound first. A node is dropped for a query once its bound is under the query's kth score
+        or floor, and nothing under it is looked at. Places that stay free have the id ``FREE``.
         """
-        bound = queries @ self.centers.T + np.sqrt((queries.astype(np.float64) ** 2).sum(1))[:, None] * self.radii
-        bound = bound + 1e-6 + 1e-9 * np.abs(bound)
-        for node, parent in enumerate(self.parents):
-            if parent >= 0:
-                bound[:, node] = np.minimum(bound[:, node], bound[:, parent])
-        bound = bound[:, [node for node, _ in self.leaves]]
-        order = np.argsort(-bound, axis=1, kind="stable")
         low = np.iinfo(np.int64).min
         scores = np.full((len(queries), k), low, np.int64)
         ids = np.full((len(queries), k), FREE, np.int64)
-        active = np.arange(len(queries))
-        for turn in range(len(self.leaves)):
-            at = order[active, turn]
-            go = bound[active, at] >= np.maximum(scores[active, -1].astype(np.float64), floor[active])
-            active, at = active[go], at[go]
-            if not len(active):
-                break
-            for leaf in np.unique(at):
-                rows, q = self.leaves[leaf][1], active[at == leaf]
-                got = np.rint(queries[q] @ self.vectors[rows].T).astype(np.int64) if queries.dtype == np.float64 else queries[q] @ self.vectors[rows].T
-                names = np.broadcast_to(self.ids[rows], got.shape)
-                out = (names == own[q][:, None]) | (got < floor[q][:, None])
-                got = np.concatenate([scores[q], np.where(out, low, got)], 1)
-                names = np.concatenate([ids[q], np.where(out, FREE, names)], 1)
-                best = np.lexsort((names, -np.maximum(got, low + 1)), axis=1)[:, :k]
-                scores[q], ids[q] = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
+        wide = queries.astype(np.float64)
+        norm = np.sqrt((wide**2).sum(1))
+        bound_of = lambda node, q: _raised(wide[q] @ self.centers[node] + norm[q] * self.radii[node])
+        every = np.arange(len(queries))
+        stack = [(0, every, bound_of(0, every))]
+        while stack:
+            node, q, bound = stack.pop()
+            q = q[bound >= np.maximum(scores[q, -1].astype(np.float64), floor[q].astype(np.float64))]
+            if not len(q):
+                continue
+            self.visited += len(q)
+            rows = self.rows[node]
+            if rows is None:
+                one, two = self.children[node]
+                a, b = bound_of(one, q), bound_of(two, q)
+                for first, second, mine, x, y in ((one, two, a >= b, a, b), (two, one, a < b, b, a)):
+                    if mine.any():
+                        stack.append((second, q[mine], y[mine])), stack.append((first, q[mine], x[mine]))
+                continue
+            got = np.rint(queries[q] @ self.vectors[rows].T).astype(np.int64) if queries.dtype == np.float64 else queries[q] @ self.vectors[rows].T
+            names = np.broadcast_to(self.ids[rows], got.shape)
+            out = (names == own[q][:, None]) | (got < floor[q][:, None])
+            got = np.concatenate([scores[q], np.where(out, low, got)], 1)
+            names = np.concatenate([ids[q], np.where(out, FREE, names)], 1)
+            best = np.lexsort((names, -np.maximum(got, low + 1)), axis=1)[:, :k]
+            scores[q], ids[q] = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
         return scores, ids
 
 
+def _matrix(column) -> np.ndarray:
+    """A column of lists of the same length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.int64).reshape(len(column), -1)
+
+
+def _exact(*arrays: np.ndarray) -> list[np.ndarray]:
+    """In float64 where sums of products are exact in it."""
+    largest = max((int(np.abs(x).max()) for x in arrays if x.size), default=0)
+    small = largest * largest * max(1, arrays[0].shape[1]) < 1 << 53
+    return [x.astype(np.float64) for x in arrays] if small else list(arrays)
+
+
 def exact_top_k(
     vectors: DataFrame,
     k: int = 5,
@@ -82,64 +106,110 @@ def exact_top_k(
     vector: str = "embedding",
     shard_rows: int = 4096,
     block_rows: int = 512,
+    pivots: int = 64,
 ) -> DataFrame:
     """Each query's k candidates of highest integer inner product: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Queries are the rows whose key is divisible by ``every``; candidates all rows but
     the query's own key. Vectors (or keys) null, or holding null or non-finite components, take no part; vectors of another
     length than the query's are no candidates. Ties go to the smaller key; repeated rows are candidates each. Scores must fit
-    64 bits. Fewer candidates than k: all of them. An empty table gives an empty result.
+    64 bits. Fewer candidates than k: all of them. Other columns take no part. An empty table gives an empty result.
 
-    Shards of about ``shard_rows`` vectors meet blocks of about ``block_rows`` queries. First every block searches one shard;
-    its kth score is then shared with all other shards as a floor, so most of their nodes are cut off unseen.
+    Vectors are split coarsely around at most ``pivots`` of them for each length (drawn by hash; they only shape the split),
+    then into shards of about ``shard_rows`` vectors, each with a ball tree that is written once. Blocks of about
+    ``block_rows`` queries first search one shard near them; the kth score is then shared as a floor. A split whose ball's
+    bound is under a query's floor is dropped for it before anything is shuffled; the other shards meet the query in blocks
+    and are searched by branch and bound. A task holds one tree and one block at a time.
     """
-    spark = vectors.sparkSession
     fine = f"{key} is not null and {vector} is not null and not exists({vector}, x -> x is null or isnan(x) or abs(cast(x as double)) = double('Infinity'))"
     rows = vectors.where(fine).selectExpr(f"cast({key} as bigint) as id", f"transform({vector}, x -> floor({scale}D * cast(x as double))) as v", f"size({vector}) as dim")
-    rows = written(rows, "vectors")
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    # Vectors of each length have shards of their own.
-    shards, first = {}, 0
-    for dim, n in sorted(sizes.items()):
-        shards[dim] = (first, parts(spark, n, shard_rows))
-        first += shards[dim][1]
-    table = F.create_map(*[F.lit(x) for d, (a, n) in shards.items() for x in (d, F.array(F.lit(a), F.lit(n)))]) if shards else F.lit(None).cast("map<int,array<int>>")
-    span = table[F.col("dim")]
-    sharded = rows.select((span[0] + F.pmod(F.xxhash64("id", "v"), span[1])).cast("int").alias("shard"), "id", "v")
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    blocks = max(1, -(-sum(sizes.values()) // every // block_rows))
-    asked = asked.select("dim", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    asked = written(asked, "queries")
-    home = (span[0] + F.pmod(F.xxhash64("block"), span[1])).cast("int")
-
-    def search(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "query", "vec_id", "score")})
-        v, q = np.array(left["v"].tolist(), np.int64).reshape(len(left), -1), np.array(right["v"].tolist(), np.int64).reshape(len(right), -1)
-        largest = max((int(np.abs(x).max()) for x in (v, q) if x.size), default=0)
-        if largest * largest * max(1, v.shape[1]) < 1 << 53:  # sums in float64 are exact
-            v, q = v.astype(np.float64), q.astype(np.float64)
-        floor = right["floor"].fillna(np.iinfo(np.int64).min + 2).to_numpy(np.int64)
-        tree = BallTree(v, left["id"].to_numpy(np.int64))
-        found = []
-        for i in range(0, len(right), block_rows):
-            own = right["id"].to_numpy(np.int64)[i : i + block_rows]
-            scores, ids = tree.search(q[i : i + block_rows], own, k, floor[i : i + block_rows])
-            name = right["query"].to_numpy(np.int64)[i : i + block_rows]
-            good = ids != FREE
-            found.append(pd.DataFrame({"query_id": np.repeat(own, k)[good.ravel()], "query": np.repeat(name, k)[good.ravel()], "vec_id": ids[good], "score": scores[good]}))
-        return pd.concat(found)
-
-    out = "query_id long, query long, vec_id long, score long"
-    name = F.xxhash64("id", "v").alias("query")
-
-    def round_of(queries: DataFrame) -> DataFrame:
-        return sharded.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(search, out)
-
-    one = written(round_of(asked.select(home.alias("shard"), "id", "v", name, F.lit(None).cast("long").alias("floor"))), "home-shards")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # tells repeated rows apart
+
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("v", "id"), "row")
+    chosen = rows.withColumn("i", F.row_number().over(drawn)).where(F.col("i") <= pivots).select("dim", "v").collect()
+    around: dict[int, np.ndarray] = {d: np.array([r["v"] for r in chosen if r["dim"] == d], np.int64).reshape(-1, d) for d in sorted({r["dim"] for r in chosen})}
+
+    def assign(batches):
+        """Each vector's nearest pivot and its distance."""
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            near, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                v, p = _matrix(batch.column(2).take(pa.array(at))).astype(np.float64), around[int(d)].astype(np.float64)
+                square = ((v * v).sum(1)[:, None] - 2 * v @ p.T) + (p * p).sum(1)
+                near[at] = square.argmin(1)
+                away[at] = np.sqrt(((v - p[near[at]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(away)], [*batch.schema.names, "split", "away"])
+
+    placed = rows.select("id", "dim", "v", "row").mapInArrow(assign, "id long, dim int, v array<bigint>, row long, split int, away double")
+    placed = written(placed, "placed")
+    balls = {(r["dim"], r["split"]): r for r in placed.groupBy("dim", "split").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
+    first, spans = 0, {}
+    for at, r in sorted(balls.items()):
+        spans[at] = (first, -(-r["n"] // shard_rows))
+        first += spans[at][1]
+
+    def span(i: int):
+        """The first shard of a row's split (0), or how many it has (1)."""
+        each = F.create_map(*[F.lit(x) for at, s in spans.items() for x in (f"{at[0]}:{at[1]}", s[i])]) if spans else F.lit(None).cast("map<string,int>")
+        return each[F.concat_ws(":", "dim", "split")]
+
+    def build(group: pa.Table) -> pa.Table:
+        v = _exact(_matrix(group["v"]))[0]
+        tree = BallTree(v, group["id"].to_numpy())
+        return pa.table([group["shard"].slice(0, 1), pa.array([pickle.dumps(tree, 5)], pa.binary())], ["shard", "tree"])
+
+    trees = placed.select((span(0) + F.pmod(F.xxhash64("row"), span(1))).cast("int").alias("shard"), "id", "v")
+    trees = written(trees.groupBy("shard").applyInArrow(build, "shard int, tree binary"), "trees")
+    asked = placed.where(F.col("id") % every == 0).groupBy("id", "v", "dim", "split").agg(F.min("row").alias("row"))
+    asked = written(asked.withColumn("query", F.xxhash64("id", "v")), "queries")
+
+    def search(batches):
+        for batch in batches:
+            found = []
+            for tree, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tree, block = pickle.loads(tree), block.values
+                q, v = _exact(_matrix(block.field("v")), tree.vectors.astype(np.int64))
+                tree.vectors = v
+                own, floor = np.asarray(block.field("id")), block.field("floor").fill_null(np.iinfo(np.int64).min + 2).to_numpy()
+                scores, ids = tree.search(q, own, k, floor)
+                good = ids != FREE
+                found.append([np.repeat(x, k)[good.ravel()] for x in (own, np.asarray(block.field("query")))] + [ids[good], scores[good]])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["query_id", "query", "vec_id", "score"])
+
+    def round_of(pairs: DataFrame) -> DataFrame:
+        """Pairs of shard and query, in blocks of about ``block_rows`` queries."""
+        sizes = pairs.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        dealt = pairs.join(sizes, "shard").withColumn("block", F.pmod(F.col("query"), F.col("blocks")))
+        blocks = dealt.groupBy("shard", "block").agg(F.collect_list(F.struct("id", "v", "query", "floor")).alias("asked"))
+        return trees.join(blocks, "shard").select("tree", "asked").mapInArrow(search, "query_id long, query long, vec_id long, score long")
+
+    # Home: one shard of the query's own split, by hash, so that blocks are even.
+    home = (span(0) + F.pmod(F.xxhash64("row", F.lit("home")), span(1))).cast("int")
+    one = written(round_of(asked.select(home.alias("shard"), "id", "v", "query", F.lit(None).cast("long").alias("floor"))), "home-shards")
     kth = one.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    every_shard = F.explode(F.sequence(span[0], span[0] + span[1] - 1))
-    rest = asked.select(every_shard.alias("shard"), home.alias("home"), "id", "v", name).where("shard <> home").drop("home")
-    two = round_of(rest.join(kth, "query", "left").select("shard", "id", "v", "query", "floor"))
+
+    def reachable(batches):
+        """The splits whose ball may hold a vector over the query's floor, in place of the query's own."""
+        for batch in batches:
+            dims, floors = batch.column(0).to_numpy(), batch.column(2).fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.float64)
+            queries, splits = [], []
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                q = _matrix(batch.column(1).take(pa.array(at))).astype(np.float64)
+                held = [s for dim, s in balls if dim == d]
+                radius = np.array([balls[int(d), s]["r"] for s in held])
+                bound = q @ around[int(d)][held].astype(np.float64).T + np.sqrt((q * q).sum(1))[:, None] * radius * (1 + 1e-9)
+                i, j = np.nonzero(_raised(bound) >= floors[at][:, None])
+                queries.append(at[i]), splits.append(np.array(held, np.int32)[j])
+            taken = batch.take(pa.array(np.concatenate([np.empty(0, np.int64), *queries])))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate([np.empty(0, np.int32), *splits]), pa.int32())], [*batch.schema.names, "split"])
+
+    open_ = asked.select("query", "id", "v", "dim", home.alias("home")).join(kth, "query", "left").select("dim", "v", "floor", "query", "id", "home")
+    open_ = open_.mapInArrow(reachable, "dim int, v array<bigint>, floor long, query long, id long, home int, split int")
+    rest = open_.withColumn("shard", F.explode(F.sequence(span(0), span(0) + span(1) - 1))).where("shard <> home").select("shard", "id", "v", "query", "floor")
+    two = round_of(rest)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return one.unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ from rollspark.llm.quality_rules import quality_rules
 from rollspark.llm.secrets import BASE, MORE, redact, scan_secrets, secret_digest, trigram_query
 from rollspark.llm.sharding import shard_by_splitters
 from rollspark.llm.shingles import shingle_set
-from rollspark.llm.topk import exact_top_k
+from rollspark.llm.topk import FREE, BallTree, exact_top_k
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hub string, rank int, block string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,6 +142,37 @@ def test_top_k_of_huge_components(spark):
     assert set(map(tuple, exact_top_k(df, every=5).select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 5, 5)
 
 
+def test_top_k_with_a_third_of_all_rows_alike(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 1, 4).round(2).tolist()) for i in range(200)] + [(1000, [1.0, 1.0, 1.0, 1.0])] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_top_k(df, every=10, shard_rows=32, block_rows=5, pivots=6)
+    want = brute_top(rows, 5, 10)
+    assert set(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
+def test_ball_tree_leaves_subtrees_out():
+    """In separate clusters, a query looks at few nodes, and at fewer still with a floor from elsewhere."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(0, 1000, (32, 6))
+    v = np.rint(np.repeat(centers, 64, 0) + rng.normal(0, 5, (32 * 64, 6)))
+    q = np.rint(centers[:8])
+    tree = BallTree(v, np.arange(len(v)), leaf=16)
+    scores, ids = tree.search(q, np.full(8, -1), 5, np.full(8, np.iinfo(np.int64).min + 2))
+    all_ = (q @ v.T).astype(np.int64)
+    for i in range(8):
+        order = sorted(range(len(v)), key=lambda j: (-all_[i, j], j))[:5]
+        assert ids[i].tolist() == order and scores[i].tolist() == all_[i, order].tolist()
+    nodes, plain = len(tree.radii), tree.visited
+    assert plain < 8 * nodes / 4
+    tree.visited = 0
+    again, _ = tree.search(q, np.full(8, -1), 5, scores[:, -1])
+    assert (again == scores).all() and tree.visited <= plain
+    tree.visited = 0
+    _, none = tree.search(q, np.full(8, -1), 5, np.full(8, np.iinfo(np.int64).max - 1))
+    assert (none == FREE).all() and tree.visited == 0
+
+
 # --- 3: Jaccard join ---
 
 
