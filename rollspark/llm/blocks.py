@@ -1,15 +1,7 @@
-"""Blocks of documents and the shuffle of their distinct words.
-
-Each task cuts its documents into blocks of a few MB. A block sends each of its distinct words once to the word's part,
-where all blocks' words meet; the part answers with a value for each word, in the order sent, and the block, shuffled in
-compressed form, puts its documents together again. What moves are compressed texts and distinct words, not word rows.
-"""
+"""Blocks of documents in compressed form: each task cuts its documents into blocks of a few MB."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
-
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -35,9 +27,9 @@ def blocks_of(batches, size: int):
         yield f"{name}:{at}", pa.Table.from_batches(parts)
 
 
-def packed(table: pa.Table) -> bytes:
+def packed(table: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -47,42 +39,10 @@ def unpacked(data: bytes) -> pa.Table:
 
 
 def pack_blocks(docs: DataFrame, size: int) -> DataFrame:
-    """block, part (-1), payload, check: the documents (key, text) of each block."""
+    """block, payload: the documents (key, text) of each block."""
 
     def pack(batches):
         for name, table in blocks_of(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([packed(table)], pa.binary()), pa.array([0], pa.int64())], ["block", "part", "payload", "check"])
-
-    return docs.mapInArrow(pack, "block string, part int, payload binary, check long")
-
-
-def by_part(words: list[str], parts: int) -> dict[int, list[str]]:
-    """Words dealt over parts, in the order given."""
-    out: dict[int, list[str]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
-    return out
-
-
-def check_of(words: list[str]) -> int:
-    return zlib.crc32("\0".join(words).encode())
-
-
-def packed_words(words: list[str], counts: list[int] | None = None) -> bytes:
-    """Words, and a count for each if given, in few bytes."""
-    columns = {"w": pa.array(words, pa.string())} | ({} if counts is None else {"c": pa.array(counts, pa.int64())})
-    return packed(pa.table(columns))
-
-
-def send_words(docs: DataFrame, size: int, parts: int, distinct: Callable[[pa.Table], tuple[list[str], list[int] | None]]) -> DataFrame:
-    """block, part, payload: the distinct words of each block, and perhaps a count for each, by part."""
-
-    def send(batches):
-        for name, table in blocks_of(batches, size):
-            words, counts = distinct(table)
-            count = None if counts is None else dict(zip(words, counts, strict=True))
-            dealt = by_part(words, parts)
-            payload = [packed_words(ws, count and [count[w] for w in ws]) for ws in dealt.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(dealt), pa.string()), pa.array(list(dealt), pa.int32()), pa.array(payload, pa.binary())], ["block", "part", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed(table, 9)], pa.binary())], ["block", "payload"])
 
-    return docs.mapInArrow(send, "block string, part int, payload binary")
+    return docs.mapInArrow(pack, "block string, payload binary")

@@ -84,7 +84,7 @@ def encode_documents(
     pattern: str = public_tokenizers.PATTERN,
     key: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 16 << 20,
     rows_per_part: int = 8000,
     digest: bool = False,
 ) -> DataFrame:
@@ -104,7 +104,7 @@ def encode_documents(
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     n = rows.count()
     parts = max(64, n // rows_per_part)
-    blocks = bucketed(pack_blocks(rows, block_bytes).select("block", "payload"), "blocks", "block", max(64, 2 * n // rows_per_part))
+    blocks = bucketed(pack_blocks(rows, block_bytes), "blocks", "block", max(64, 2 * n // rows_per_part))
 
     def send(batches):
         for batch in batches:
