@@ -73,6 +73,20 @@ def cluster_by_features(R: DataFrame, text: str, answer: str, group: str = "prob
     return x.withColumn("cluster", F.dense_rank().over(_group(group).orderBy(*features)) - 1)
 
 
+def with_clusters(R: DataFrame, cluster_source: str, canonical=None, valid=None, text: str = "completion", answer: str = "pred", features=tuple(FEATURES)) -> DataFrame:
+    """Rollouts with ``cluster_id`` from a source: ``recorded`` (as it stands), ``key`` (the canonical answer) or ``features``."""
+    if cluster_source == "recorded":
+        return R
+    if cluster_source == "key":
+        key = F.col(answer) if canonical is None else canonical
+        found = cluster_by_key(R.drop("cluster_id"), key, key.isNotNull() if valid is None else valid)
+    elif cluster_source == "features":
+        found = cluster_by_features(R.drop("cluster_id"), text, answer, features=features)
+    else:
+        raise ValueError(f"no cluster source named {cluster_source}")
+    return found.withColumn("cluster_id", F.col("cluster").cast("bigint")).drop("cluster")
+
+
 def cluster_by_embedding(df: DataFrame, group: str, threshold: float, key: str, vector: str, most: int = 64) -> DataFrame:
     """Average-linkage clusters by cosine distance within bounded groups (at most ``most`` rows; larger ones fail)."""
 
@@ -266,5 +280,9 @@ def parse_failures(df: DataFrame, response: str = "response", key: str = "proble
     """Failed answers by kind, with a count and the ends of the first few."""
     r = F.col(response)
     kind = F.when(r.isNull(), "missing").when(~F.endswith(F.trim(r), F.lit("}")), "truncated").otherwise("invalid")
-    x = df.where("not parse_ok").withColumn("kind", kind).withColumn("_i", F.row_number().over(_group("kind").orderBy(key)))
-    return x.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_i") <= n, F.concat_ws(":", F.col(key).cast("string"), F.expr(f"right(coalesce({response}, ''), 20)"))))), "|").alias("samples"))
+    x = df.where("not parse_ok").withColumn("kind", kind)
+    # The limit is a number, so each task keeps n rows of a kind before they are shuffled.
+    first = x.withColumn("_i", F.row_number().over(_group("kind").orderBy(key))).where(F.col("_i") <= n)
+    sample = F.concat_ws(":", F.col(key).cast("string"), F.expr(f"right(coalesce({response}, ''), 20)"))
+    samples = first.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list(sample)), "|").alias("samples"))
+    return x.groupBy("kind").agg(F.count("*").alias("n")).join(samples, "kind")

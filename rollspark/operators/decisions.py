@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.operators.order import with_running
+
 
 def _digits(*parts) -> Column:
     """A number from the first eight hex digits of an md5."""
@@ -15,12 +17,11 @@ def _digits(*parts) -> Column:
 
 def replicates(pp: DataFrame, B: int, seed, key: str = "problem_id") -> DataFrame:
     """B resamples of the problems with replacement: b and each drawn row. Draw j of replicate b is the row at
-    md5(seed, b, j) mod N in key order. Problems are numbered in one order; for very many use ``poisson_replicates``."""
-    w = Window.orderBy(key)
-    ranked = pp.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    draws = ranked.select(F.col("_i").alias("_j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"))
-    draws = draws.select("b", "_j", (_digits(F.lit(str(seed)), "b", "_j") % F.col("_n")).cast("int").alias("_i"))
-    return draws.join(ranked.drop("_n"), "_i").drop("_i")
+    md5(seed, b, j) mod N in key order. Draws are shuffled; for very many problems use ``poisson_replicates``."""
+    ranked = with_running(pp, key, "_i")
+    draws = ranked.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b")).crossJoin(F.broadcast(pp.agg(F.count("*").alias("_n"))))
+    draws = draws.select("b", "_j", (_digits(F.lit(str(seed)), "b", "_j") % F.col("_n")).cast("long").alias("_i"))
+    return draws.join(ranked, "_i").drop("_i")
 
 
 def poisson_replicates(pp: DataFrame, B: int, seed, key: str = "problem_id") -> DataFrame:
@@ -58,12 +59,15 @@ def bootstrap_metric(pp: DataFrame, metric, B: int, seed, level: float = 0.95) -
     return point.join(order_ci(metric(replicates(pp, B, seed)), "value", B, level), F.lit(True))
 
 
-def worst_in_sample(q: float, acc: str = "acc", key: str = "problem_id"):
-    """The metric of ``bootstrap_metric`` that ranks each resample: mean of the worst share q."""
+def worst_in_sample(q: float, acc: str = "acc"):
+    """The metric of ``bootstrap_metric`` that ranks each resample: mean of the worst share q. Only distinct values are ordered."""
     def metric(df: DataFrame) -> DataFrame:
         w = Window.partitionBy("b")
-        x = df.withColumns({"_r": F.row_number().over(w.orderBy(acc, key)), "_n": F.count("*").over(w)})
-        return x.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * q))).groupBy("b").agg(F.avg(acc).alias("value"))
+        x = df.groupBy("b", F.col(acc).alias("_a")).agg(F.count("*").alias("_m"))
+        x = x.withColumns({"_upto": F.sum("_m").over(w.orderBy("_a")), "_n": F.sum("_m").over(w)})
+        size = F.greatest(F.lit(1), F.floor(F.col("_n") * q))
+        taken = x.withColumn("_k", F.least("_m", size - F.col("_upto") + F.col("_m"))).where("_k > 0")
+        return taken.groupBy("b").agg((F.sum(F.col("_a") * F.col("_k")) / F.sum("_k")).alias("value"))
 
     return metric
 

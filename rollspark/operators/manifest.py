@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollspark.functions.text import prompt_flags
@@ -83,9 +83,8 @@ def to_training_record(df: DataFrame, source: str, suffix: str = SUFFIX) -> Data
 
 
 def slice_rows(df: DataFrame, order: str, a: int, b: int) -> DataFrame:
-    """Rows [a, b) in the order of a column: the first b by a top-k, then the last b - a of those."""
-    first = df.orderBy(order).limit(b)
-    return first.withColumn("_i", F.row_number().over(Window.orderBy(order))).where(F.col("_i") > a).drop("_i")
+    """Rows [a, b) in the order of a column."""
+    return df.orderBy(order).offset(a).limit(max(0, b - a))
 
 
 def check_manifest(df: DataFrame, pool: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.operators.order import with_running
+
 from rollspark.functions.math import miss_all
 
 INVALID = ("", "[INVALID]")
@@ -180,11 +182,13 @@ def cover_mass(R: DataFrame, tau: float, n: int, by=()) -> DataFrame:
 
 
 def worst_subset(R: DataFrame, q: float, rounding: str = "floor", by=()) -> DataFrame:
-    """Mean accuracy of the worst share q of problems, one at least."""
-    pp = per_prompt(R, by).withColumn("acc", F.col("c") / F.col("n"))
-    ranked = pp.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("acc", "problem_id"))).withColumn("all", F.count("*").over(Window.partitionBy(*by)))
+    """Mean accuracy of the worst share q of problems, one at least. Only the distinct accuracies are ordered."""
+    pp = per_prompt(R, by).groupBy(*by, (F.col("c") / F.col("n")).alias("acc")).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*by)
+    ranked = pp.withColumns({"upto": F.sum("m").over(w.orderBy("acc")), "all": F.sum("m").over(w)})
     size = F.greatest(F.lit(1), (F.floor if rounding == "floor" else F.ceil)(F.col("all") * q))
-    return ranked.where(F.col("rank") <= size).groupBy(*by).agg(F.count("*").alias("n_worst"), F.avg("acc").alias("worst"))
+    taken = ranked.withColumn("k", F.least("m", size - F.col("upto") + F.col("m"))).where("k > 0")
+    return taken.groupBy(*by).agg(F.sum("k").alias("n_worst"), (F.sum(F.col("acc") * F.col("k")) / F.sum("k")).alias("worst"))
 
 
 def _clusters(R: DataFrame, by=()) -> DataFrame:
@@ -314,6 +318,12 @@ def history_quantiles(H: DataFrame, by=("arm", "metric")) -> DataFrame:
     return H.where("value is not null").groupBy(*by).agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.95).alias("p95"))
 
 
+def billing_hours(usage: DataFrame, stamp: str, run: str, resource: str, cost: str) -> DataFrame:
+    """Usage records to cost rows (run, hour, resource, cost): text or time stamps, folded to the hour that is billed."""
+    hour = F.date_trunc("hour", F.to_timestamp(F.col(stamp)))
+    return usage.select(F.col(run).alias("run"), hour.alias("hour"), F.col(resource).alias("resource"), F.col(cost).alias("cost")).groupBy("run", "hour", "resource").agg(F.sum("cost").alias("cost"))
+
+
 def cost_rollup(B: DataFrame, rate: float) -> DataFrame:
     """Cost rows (run, hour, resource, cost) to totals, hours at a rate, and costs by resource."""
     inner = B.groupBy("run", "resource").agg(F.sum("cost").alias("cost"))
@@ -323,8 +333,8 @@ def cost_rollup(B: DataFrame, rate: float) -> DataFrame:
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson and Spearman correlation of each pair of columns; ranks are averages over ties."""
     def rank(c: str) -> DataFrame:
-        counts = df.groupBy(c).agg(F.count("*").alias("m"))
-        return counts.select(F.col(c).alias(f"_{c}"), (F.sum("m").over(Window.orderBy(c)) - (F.col("m") - 1) / 2).alias(f"rank_{c}"))
+        counts = with_running(df.groupBy(c).agg(F.count("*").alias("m")), c, "before", F.col("m"))
+        return counts.select(F.col(c).alias(f"_{c}"), (F.col("before") + (F.col("m") + 1) / 2).alias(f"rank_{c}"))
 
     ranked = df.select(*cols)
     for c in cols:
@@ -365,11 +375,10 @@ def arm_scorecard(R: DataFrame) -> DataFrame:
 def sanity(R: DataFrame, by=("arm",), empty: str = "") -> DataFrame:
     """Problems by number of correct rollouts, with the empty predictions in them and three samples of the first problems."""
     pp = R.groupBy(*by, "problem_id").agg(F.count_if(F.col("reward") > 0.5).alias("c"), F.count("*").alias("n"), F.count_if(F.coalesce("pred", F.lit("")) == empty).alias("empty"))
-    ranked = pp.withColumn("i", F.row_number().over(Window.partitionBy(*by, "c").orderBy("problem_id")))
-    return ranked.groupBy(*by, "c").agg(
-        F.count("*").alias("n_prompts"), F.sum("empty").alias("n_empty"), (F.sum("empty") / F.sum("n")).alias("share_empty"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("i") <= 3, F.col("problem_id"))))).alias("samples"),
-    )
+    # The limit is a number, so each task keeps three rows of a group before they are shuffled.
+    first = pp.withColumn("i", F.row_number().over(Window.partitionBy(*by, "c").orderBy("problem_id"))).where("i <= 3")
+    samples = first.groupBy(*by, "c").agg(F.concat_ws(",", F.sort_array(F.collect_list("problem_id"))).alias("samples"))
+    return pp.groupBy(*by, "c").agg(F.count("*").alias("n_prompts"), F.sum("empty").alias("n_empty"), (F.sum("empty") / F.sum("n")).alias("share_empty")).join(samples, [*by, "c"])
 
 
 def usable_prompts(R: DataFrame, keys) -> DataFrame:

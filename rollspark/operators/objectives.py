@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollspark.operators.clusters import with_clusters
+
 
 def _group(by=()) -> Window:
     return Window.partitionBy(*by, "problem_id")
@@ -60,14 +62,18 @@ def subset_rows(R: DataFrame, n: int, m: int, by=()) -> DataFrame:
     return full.join(F.broadcast(member), "rollout_idx")
 
 
-def subset_score(R: DataFrame, kind: str, n: int = 8, m: int = 4, by=(), drop_degenerate: bool = True, tie: str = "average", seed: str = "0") -> DataFrame:
+def subset_score(R: DataFrame, kind, n: int = 8, m: int = 4, by=(), drop_degenerate: bool = True, tie: str = "average", seed: str = "0") -> DataFrame:
     """A score f of each subset of each group: by, problem_id, subset, members, f.
 
     rarest: mean reward of the subset's rarest cluster; tied clusters are averaged (over rollouts), or one is picked by md5.
     poly: mean reward times distinct clusters (degenerate ones left out on demand) over m. worst: the least reward.
+    A function as ``kind`` is a score of one's own: it maps the rows (a rollout in a subset each) and the keys of a subset to
+    a frame of the keys and f.
     """
     rows = subset_rows(R, n, m, by)
     keys = [*by, "problem_id", "subset"]
+    if callable(kind):
+        return kind(rows, keys).select(*keys, "f")
     if kind == "worst":
         return rows.groupBy(*keys).agg(F.min("reward").alias("f"))
     if kind == "poly":
@@ -125,15 +131,17 @@ def mechanism_signal(A: DataFrame, gamma: float, cap: float) -> DataFrame:
     return found.select(F.col("n").alias("n_rollouts"), F.when(ok, F.col("r")).otherwise(1.0).alias("signal"))
 
 
-def advantages(R: DataFrame, arm: str, **options) -> DataFrame:
-    """The advantages of an objective by its name."""
+def advantages(R: DataFrame, arm, cluster_source: str = "recorded", **options) -> DataFrame:
+    """The advantages of an objective by its name, or by a subset score of one's own, over clusters from ``cluster_source``
+    (see ``with_clusters``)."""
+    R = with_clusters(R, cluster_source, **{k: options[k] for k in ("canonical", "valid", "text", "answer", "features") if k in options})
     if arm == "grpo":
         return grpo_advantage(R)
     if arm == "inverse_freq":
         return inverse_freq(grpo_advantage(R), options.get("gamma", 0.5), options.get("cap", 2.0)).withColumn("advantage", F.col("weighted"))
     if arm == "focal":
         return focal(grpo_advantage(R), options.get("gamma", 2.0)).withColumn("advantage", F.col("weighted"))
-    if arm in ("rarest", "poly", "worst"):
+    if callable(arm) or arm in ("rarest", "poly", "worst"):
         return marginal_advantage(subset_score(R, arm, options.get("n", 8), options.get("m", 4)), options.get("n", 8), options.get("m", 4))
     raise ValueError(f"no objective named {arm}")
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.operators.order import with_running
+
 
 def md5key(seed, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
@@ -44,7 +46,8 @@ def stratified_sample(df: DataFrame, n: int, seed, band: str = "difficulty_band"
     counts = df.groupBy(band).agg(F.count("*").alias("count"))
     quotas = hamilton_quotas(counts, n, band)
     starts = quotas.withColumn("_start", F.coalesce(F.sum("quota").over(Window.partitionBy(F.lit(0)).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(band).orderBy(md5key(seed, key), key)))
+    # No quota is over n; as n is a number, each task keeps n rows of a band before they are shuffled.
+    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(band).orderBy(md5key(seed, key), key))).where(F.col("_i") <= n)
     return ranked.join(starts, band).where(F.col("_i") <= F.col("quota")).withColumn("new_id", F.col("_start") + F.col("_i") - 1).drop("_i", "_start", "quota")
 
 
@@ -61,7 +64,8 @@ def proportional_sample(df: DataFrame, keys, n: int, seed, key: str = "problem_i
     """Quotas over composite strata; what rounding leaves open is filled from the rest in the seeded order."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("count"))
     quotas = hamilton_quotas(counts, n, keys).drop("count")
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(md5key(seed, key), key))).join(quotas, list(keys))
+    # The first n of a stratum are all that quotas and filling can take from it.
+    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(md5key(seed, key), key))).where(F.col("_i") <= n).join(quotas, list(keys))
     first = ranked.withColumn("_p", (F.col("_i") > F.col("quota")).cast("int"))
     return first.orderBy("_p", md5key(seed, key), key).limit(n).drop("_i", "_p", "quota")
 
@@ -98,12 +102,8 @@ def build_chunks(df: DataFrame, priority: Column, per_chunk: int, tail: int, tex
     """Review chunks: problems with a priority rollout first, ``per_chunk`` problems to a chunk, running ids within it, and
     the end of each text."""
     pp = df.groupBy(key).agg(F.max(priority).alias("_pri"))
-    # One row per problem is ordered; positions come from prefix sums over slices of the order.
-    pp = pp.withColumn("_slice", F.when(F.col("_pri"), 0).otherwise(1) * 1_000_000 + F.least(F.floor(F.col(key) / 1000), F.lit(999_999)))
-    counts = pp.groupBy("_slice").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.row_number().over(Window.partitionBy("_slice").orderBy(key)) - 1
-    placed = pp.withColumn("_at", at).join(counts.select("_slice", before.alias("_b")), "_slice").select(key, F.col("_pri").alias("priority"), F.floor((F.col("_b") + F.col("_at")) / per_chunk).alias("chunk"))
+    placed = with_running(pp, key, "_at", lead=F.when(F.col("_pri"), 0).otherwise(1))
+    placed = placed.select(key, F.col("_pri").alias("priority"), F.floor(F.col("_at") / per_chunk).alias("chunk"))
     rows = df.join(placed, key)
     w = Window.partitionBy("chunk").orderBy(F.desc("priority"), key, "rollout_idx")
     return rows.select(key, "rollout_idx", "chunk", "priority", F.row_number().over(w).alias("id"), F.expr(f"right({text}, {tail})").alias("tail"))
@@ -124,4 +124,4 @@ def handcheck(pp: DataFrame, quotas: dict[str, int], seed) -> DataFrame:
     x = pp.withColumn("stratum", s).where("stratum is not null")
     ranked = x.withColumn("_i", F.row_number().over(Window.partitionBy("stratum").orderBy(md5key(seed, "problem_id"), "problem_id")))
     limit = F.create_map(*[F.lit(v) for kv in quotas.items() for v in kv])[F.col("stratum")]
-    return ranked.where(F.col("_i") <= limit).drop("_i")
+    return ranked.where(F.col("_i") <= max(quotas.values(), default=0)).where(F.col("_i") <= limit).drop("_i")

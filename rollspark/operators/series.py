@@ -93,13 +93,14 @@ def top_k(df: DataFrame, order, k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def epoch_batches(df: DataFrame, n: int, seed: str, epoch: int, key: str = "problem_id", buckets: int = 256) -> DataFrame:
+def epoch_batches(df: DataFrame, n: int, seed: str, epoch: int, key: str = "problem_id", digits: int = 2) -> DataFrame:
     """Batches of n keys in a seeded order of an epoch; the short tail is dropped.
 
-    Positions come from prefix sums over the first hex digits of the order key, so no task sorts everything.
+    Positions come from prefix sums over the first hex ``digits`` of the order key, so no task sorts everything; each further
+    digit makes the sorted parts a sixteenth.
     """
     md5 = F.md5(F.concat_ws("|", F.lit(seed), F.lit(epoch), F.col(key)))
-    x = df.withColumn("_key", md5).withColumn("_part", F.substring("_key", 1, 2))
+    x = df.withColumn("_key", md5).withColumn("_part", F.substring("_key", 1, digits))
     counts = x.groupBy("_part").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_part", before.alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))

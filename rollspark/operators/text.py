@@ -44,19 +44,22 @@ def self_bleu(R: DataFrame, text: str, max_n: int = 4, max_rollouts: int = 16) -
     alone; so the work is linear in grams. A rollout with fewer than ``max_n`` tokens scores 0.
     """
     T = tokenized(R.where(F.col("rollout_idx") < max_rollouts), text)
-    T = T.withColumns({"len": F.size("tokens"), "m": F.count("*").over(Window.partitionBy("problem_id"))}).where("m >= 2")
-    long = None
-    for n in range(1, max_n + 1):
-        one = T.select("problem_id", "rollout_idx", F.lit(n).alias("n"), F.explode(grams_of(n)).alias("gram"))
-        long = one if long is None else long.unionByName(one)
+    # Grams of all sizes come from one projection; a gram of n tokens is told by n besides its text.
+    sized = F.transform(F.array(*[F.struct(F.lit(n).alias("n"), grams_of(n).alias("g")) for n in range(1, max_n + 1)]), lambda x: F.transform(x["g"], lambda g: F.struct(x["n"].alias("n"), g.alias("gram"))))
+    long = T.select("problem_id", "rollout_idx", F.explode(F.flatten(sized)).alias("x")).select("problem_id", "rollout_idx", "x.n", "x.gram")
     c = long.groupBy("problem_id", "rollout_idx", "n", "gram").agg(F.count("*").alias("c"))
-    top = c.groupBy("problem_id", "n", "gram").agg(F.reverse(F.array_sort(F.collect_list("c"))).alias("t"))
-    top = top.select("problem_id", "n", "gram", F.col("t")[0].alias("m1"), F.expr("if(size(t) > 1, t[1], 0L)").alias("m2"))
-    clipped = c.join(top, ["problem_id", "n", "gram"]).withColumn("best", F.when(F.col("c") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")))
+    # A problem's rollouts are few (max_rollouts), so those that hold a gram are one short array.
+    held = c.groupBy("problem_id", "n", "gram").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "rollout_idx"))).alias("t"))
+    clipped = held.select("problem_id", "n", F.explode(F.transform("t", lambda x: F.struct(
+        x["rollout_idx"].alias("rollout_idx"), (-x["k"]).alias("c"),
+        F.when(x["rollout_idx"] != F.col("t")[0]["rollout_idx"], -F.col("t")[0]["k"]).when(F.size("t") > 1, -F.get("t", F.lit(1))["k"]).otherwise(F.lit(0).cast("bigint")).alias("best"),
+    ))).alias("x")).select("problem_id", "n", "x.*")
     p = clipped.groupBy("problem_id", "rollout_idx", "n").agg(F.sum(F.least("c", "best")).alias("hit"), F.sum("c").alias("total"))
     logs = p.groupBy("problem_id", "rollout_idx").agg(F.count("*").alias("orders"), F.avg(F.log((F.col("hit") + 1e-9) / F.col("total"))).alias("lp"))
-    other = T.select("problem_id", F.col("rollout_idx").alias("o"), F.col("len").alias("olen"))
-    near = T.join(other, "problem_id").where("o <> rollout_idx").groupBy("problem_id", "rollout_idx", "len").agg(F.min(F.struct(F.abs(F.col("olen") - F.col("len")), "olen")).alias("c"))
+    lengths = T.groupBy("problem_id").agg(F.collect_list(F.struct("rollout_idx", F.size("tokens").alias("len"))).alias("all")).where(F.size("all") > 1)
+    each = lengths.select("problem_id", "all", F.explode("all").alias("own")).select("problem_id", "all", "own.*")
+    nearest = F.array_min(F.transform(F.filter("all", lambda o: o["rollout_idx"] != F.col("rollout_idx")), lambda o: F.struct(F.abs(o["len"] - F.col("len")).alias("away"), o["len"].alias("olen"))))
+    near = each.withColumn("c", nearest).drop("all")
     bp = F.when(F.col("len") > F.col("c.olen"), 1.0).otherwise(F.exp(1 - F.col("c.olen") / F.greatest("len", F.lit(1))))
     s = near.join(logs, ["problem_id", "rollout_idx"], "left").withColumn("bleu", F.when(F.coalesce("orders", F.lit(0)) == max_n, bp * F.exp("lp")).otherwise(0.0))
     return s.groupBy("problem_id").agg(F.count("*").alias("n_rollouts"), F.avg("bleu").alias("self_bleu"))

@@ -191,6 +191,15 @@ def z01(s, d):
     return rounded(Z.run_available(Z.step_metrics(Z.source(s, landed(s, d), EVENTS)), "complete"))
 
 
+@query(
+    "z01_stream_step_rates",
+    f"""WITH {EVA}, k AS (SELECT arm, step, problem_id, cluster_id, count(*) AS n, count(*) FILTER (reward > 0) AS c FROM ev GROUP BY ALL), p AS (SELECT arm, step, problem_id, sum(n) AS n, sum(c) AS c, sum(n) FILTER (cluster_id <> -1) AS ok, coalesce(min(c) FILTER (c > 0 AND cluster_id <> -1) < max(c) FILTER (c > 0 AND cluster_id <> -1), false) AS m FROM k GROUP BY ALL)
+    SELECT arm, step, count(*) AS n_prompts, round(avg((c > 0)::INT), 6) AS any_correct, round(avg((c > 0 AND c < n)::INT), 6) AS mixed, round(avg((c = 0)::INT), 6) AS all_wrong, round(avg((c = n)::INT), 6) AS all_correct, round(avg(m::INT), 6) AS minority_rate, round(coalesce(sum(ok), 0)::DOUBLE / sum(n), 6) AS parse_rate FROM p GROUP BY ALL""",
+)
+def z01b(s, d):
+    return rounded(Z.step_rates(Z.run_available(Z.cluster_counts(Z.source(s, landed(s, d), EVENTS)), "complete")))
+
+
 @query("z02_stream_unlocked", UNLOCKED.replace("SELECT s.arm, s.step, count(problem_id) FILTER (f.step = s.step) AS n_new, count(problem_id) AS unlocked FROM s LEFT JOIN f ON f.arm = s.arm AND f.step <= s.step GROUP BY ALL", "SELECT arm, count(*) AS unlocked FROM f GROUP BY arm"))
 def z02(s, d):
     return Z.run_available(Z.solved(Z.source(s, landed(s, d), EVENTS)), "append").groupBy("arm").agg(F.count("*").alias("unlocked"))

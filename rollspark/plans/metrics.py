@@ -312,6 +312,12 @@ def m32(s, d):
     return rounded(M.history_quantiles(history(s, d)))
 
 
+@query("m33_billing_hours", "SELECT 'u' || (user_id % 7) AS run, date_trunc('hour', ts) AS hour, event_type AS resource, round(sum(value), 2) AS cost FROM events GROUP BY ALL")
+def m33h(s, d):
+    usage = read(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("run"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "value")
+    return M.billing_hours(usage, "at", "run", "event_type", "value").withColumn("cost", F.round("cost", 2))
+
+
 @query(
     "m33_cost_rollup",
     """WITH c AS (SELECT l_suppkey AS run, l_returnflag AS resource, sum(l_extendedprice) AS cost FROM lineitem GROUP BY ALL)

@@ -327,6 +327,24 @@ def g11(s, d):
     return rounded(G.advantages(ev(s, d), "poly").select("problem_id", "rollout_idx", "advantage"))
 
 
+def best_two(rows, keys):
+    """A score of one's own: the mean of a subset's two highest rewards plus its share of distinct answers."""
+    return rows.groupBy(*keys).agg((F.least(F.sum("reward"), F.lit(2.0)) / 2 + F.count_distinct("pred") / 4).alias("f"))
+
+
+@query("g11_custom_score", f"{ROWS}, f AS (SELECT problem_id, subset, least(sum(reward), 2.0) / 2 + count(DISTINCT pred) / 4.0 AS f FROM x GROUP BY ALL), {MARGINAL} SELECT problem_id, rollout_idx, round(advantage, 6) AS advantage FROM adv")
+def g11c(s, d):
+    return rounded(G.advantages(ev(s, d), best_two).select("problem_id", "rollout_idx", "advantage"))
+
+
+KEYED = ROWS.replace("SELECT e.*", "SELECT e.* REPLACE (CASE WHEN pred = 'error' THEN 'e' || e.rollout_idx ELSE pred END AS cluster_id)")
+
+
+@query("g11_cluster_source", f"{KEYED}, {RAREST}, {MARGINAL} SELECT problem_id, rollout_idx, round(advantage, 6) AS advantage FROM adv")
+def g11s(s, d):
+    return rounded(G.advantages(ev(s, d), "rarest", cluster_source="key", valid=F.col("pred") != "error").select("problem_id", "rollout_idx", "advantage"))
+
+
 @query("g12_kept", G8 + " SELECT count(*) AS n_rows, count(DISTINCT problem_id) AS n_prompts, count(*) = 0 AS empty FROM a WHERE keep")
 def g12(s, d):
     R = ev8(s, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rollspark.operators import decisions as D
@@ -176,10 +178,16 @@ def b03(s, d):
     return rounded(D.bootstrap_metric(acc(s, d), D.worst_in_sample(0.25), 40, 42))
 
 
-@query("b01_poisson_replicates")
+CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+@query(
+    "b01_poisson_replicates",
+    f"WITH {EV}, pp AS (SELECT problem_id, avg((reward > 0.5)::INT) AS acc FROM ev GROUP BY 1), u AS (SELECT b, acc, ('0x' || substr(md5('42|' || b || '|' || problem_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM pp, (SELECT unnest(range(40)) AS b)), w AS (SELECT b, acc, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in CDF)} AS w FROM u), v AS (SELECT b, sum(acc * w) / sum(w) AS v FROM w GROUP BY b HAVING sum(w) > 0) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM v",
+)
 def b01p(s, d):
     x = D.poisson_replicates(acc(s, d), 40, 42).groupBy("b").agg((F.sum(F.col("acc") * F.col("weight")) / F.sum("weight")).alias("v"))
-    return x.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return rounded(x.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")))
 
 
 RUNS = f"""WITH {EVA}, e AS (SELECT CASE WHEN step <= 8 THEN 'base' WHEN step <= 15 THEN 'base_again' WHEN step <= 22 THEN 'candidate' ELSE 'rival' END AS run, * FROM ev), p AS (SELECT run, problem_id, avg(reward) AS acc, max(reward) AS hit FROM e GROUP BY ALL), m AS (SELECT run, avg(acc) AS pass_at_1, avg(hit) AS cover, avg(acc * acc) AS worst FROM p GROUP BY run)"""

@@ -24,6 +24,25 @@ def step_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def cluster_counts(rows: DataFrame) -> DataFrame:
+    """Rollouts and correct ones by cluster of a problem, for batch and stream alike; state is a row per cluster."""
+    return rows.groupBy("arm", "step", "problem_id", "cluster_id").agg(F.count("*").alias("n"), F.count_if(F.col("reward") > 0).alias("c"))
+
+
+def step_rates(counts: DataFrame) -> DataFrame:
+    """From ``cluster_counts``: per arm and step the shares of problems with any correct rollout, with some, none or all
+    correct, and with a correct minority among their clusters, and the share of rollouts that have a cluster."""
+    right = F.when((F.col("c") > 0) & (F.col("cluster_id") != -1), F.col("c"))
+    pp = counts.groupBy("arm", "step", "problem_id").agg(
+        F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum(F.when(F.col("cluster_id") != -1, F.col("n")).otherwise(0)).alias("ok"), F.coalesce(F.min(right) < F.max(right), F.lit(False)).alias("minority")
+    )
+    rate = lambda x: F.avg(x.cast("double"))
+    return pp.groupBy("arm", "step").agg(
+        F.count("*").alias("n_prompts"), rate(F.col("c") > 0).alias("any_correct"), rate((F.col("c") > 0) & (F.col("c") < F.col("n"))).alias("mixed"), rate(F.col("c") == 0).alias("all_wrong"),
+        rate(F.col("c") == F.col("n")).alias("all_correct"), rate(F.col("minority")).alias("minority_rate"), (F.sum("ok") / F.sum("n")).alias("parse_rate"),
+    )
+
+
 def solved(rows: DataFrame) -> DataFrame:
     """Problems solved for the first time, one row each; state is a row per (arm, problem)."""
     return rows.where("reward > 0").select("arm", "problem_id").dropDuplicates(["arm", "problem_id"])
@@ -43,7 +62,7 @@ def call_rates(rows: DataFrame, stamp: str = "ts", size: str = "10 minutes", sli
     return rows.withWatermark(stamp, late).groupBy(w.alias("w")).agg(F.count("*").alias("n_calls"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_calls", "mean_value", "max_value")
 
 
-def run_available(stream: DataFrame, mode: str, keys=None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and give its result as a table.
 
     Complete and append results are written batch by batch to a shared folder; a complete result is its last batch.
