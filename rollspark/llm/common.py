@@ -36,7 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups, so that a large file is read by several tasks.
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
