@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,18 +16,24 @@ _CLASS = np.full(256, 7, np.uint8)
 for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 3 if _c.isspace() else 4 if _c in ".,;:'\"?-()" else 6 if _c == "|" else 5
-N_FEATURES = 14
+#: Numbers of the text as a whole, then shares of hashed words and of hashed pairs of words.
+N_SHAPE, N_WORDS, N_PAIRS = 14, 64, 64
+N_FEATURES = N_SHAPE + N_WORDS + N_PAIRS
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Fixed numbers that describe a whole text; null counts as empty."""
+    """Fixed numbers that describe a whole text: its shape, its words and its pairs of words; null counts as empty."""
     raw = (text or "").encode()
     words = raw.split()
     n = max(1, len(words))
     share = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8) / max(1, len(raw))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     again = sum(map(bytes.__eq__, words[1:], words[:-1])) / n
-    return np.array([np.log1p(len(words)), min(len(raw) / n, 50.0) / 10, len(set(words)) / n, again, 1 - len(set(lines)) / max(1, len(lines)), len(lines) / n, *share])
+    shape = [np.log1p(len(words)), min(len(raw) / n, 50.0) / 10, len(set(words)) / n, again, 1 - len(set(lines)) / max(1, len(lines)), len(lines) / n, *share]
+    h = np.fromiter(map(zlib.crc32, raw.lower().split()), np.uint64, len(words))
+    pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) >> np.uint64(16)
+    hashed = [np.bincount((x % np.uint64(k)).astype(np.int64), minlength=k) / n for x, k in ((h, N_WORDS), (pairs, N_PAIRS))]
+    return np.concatenate([shape, *hashed])
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -34,19 +42,20 @@ def with_features(rows: DataFrame) -> DataFrame:
     def add(batches):
         for batch in batches:
             values = [text_features(t) for t in batch.column("text").to_pylist()]
-            flat = pa.array(np.concatenate(values) if values else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float64()))], [*kept, "x"])
+            flat = pa.array(np.concatenate(values) if values else [], pa.float64()).cast(pa.float32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float32()))], [*kept, "x"])
 
     kept = [c for c in rows.columns if c != "text"]
-    return rows.mapInArrow(add, rows.drop("text").withColumn("x", F.array(F.lit(0.0))).schema)
+    return rows.mapInArrow(add, rows.drop("text").withColumn("x", F.array(F.lit(0.0).cast("float"))).schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Weights (the last is the constant) by Newton's method on standardised features."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, l2_words: float = 20.0, steps: int = 40) -> np.ndarray:
+    """Weights (the last is the constant) by Newton's method on standardised features; those of hashed words, which are many
+    and each say little, are held closer to zero."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
-    ridge = l2 * np.r_[np.ones(x.shape[1]), 1e-6]
+    ridge = np.r_[np.full(N_SHAPE, l2), np.full(x.shape[1] - N_SHAPE, l2_words), 1e-6]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
@@ -70,7 +79,7 @@ def classify_quality(
 ) -> DataFrame:
     """Add ``quality_evidence``, ``quality_site``, ``quality`` (probabilities) and ``kept``.
 
-    Evidence: a logistic model on features of the whole text, fitted on at most about ``max_labels`` labelled rows (drawn by
+    Evidence: a logistic model on features of the whole text (its shape, hashed words and pairs of words), fitted on at most about ``max_labels`` labelled rows (drawn by
     the hash of their key; labels that are null or contradict each other take no part). Sites: every document's evidence
     is summed by host and by (host, path); the spread between hosts and between the paths of hosts gives the strength of
     the global prior and of the hosts' priors (method of moments), so sites with few documents shrink toward their host

@@ -44,10 +44,11 @@ def plain_quality(docs, labels, threshold=0.5):
         if i is not None and quality is not None:
             held[i].add(quality)
     y = {i: min(v) for i, v in held.items() if len(v) == 1}
-    x = {d[0]: text_features(d[1]) for d in docs if d[0] in y}
+    features = lambda t: text_features(t).astype(np.float32).astype(np.float64)
+    x = {d[0]: features(d[1]) for d in docs if d[0] in y}
     train = sorted(x)
     w = fit_logistic(np.array([x[i] for i in train]), np.array([float(y[i] > 0.5) for i in train]))
-    evidence = [1 / (1 + math.exp(-min(30.0, max(-30.0, float(text_features(d[1]) @ w[:-1] + w[-1]))))) for d in docs]
+    evidence = [1 / (1 + math.exp(-min(30.0, max(-30.0, float(features(d[1]) @ w[:-1] + w[-1]))))) for d in docs]
     sites, hosts = defaultdict(lambda: [0.0, 0]), defaultdict(lambda: [0.0, 0])
     for d, e in zip(docs, evidence):
         for group, key in ((sites, (d[3], d[2])), (hosts, d[3])):
