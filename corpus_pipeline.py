@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality classifier, quality rules, n-gram Jaccard join, secret scans, best-fit packing."""
+"""The corpus pipeline: quality classifier, quality rules, n-gram Jaccard join, secret scans, best-fit packing.
+
+Every stage takes an empty table to an empty one, and columns besides those of ``documents`` are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +19,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null or empty text is judged as a text without words, null hosts and paths
+    are sites of their own, a null key has no label; repeated rows are judged alike and all stay or all go."""
     return classify_quality(docs, table(spark, sf_dir, "labels"), columns=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. A null, empty or blank text has no words and goes; a null language is held against
+    all; repeated rows are judged alike and all stay or all go."""
     return judge(docs, columns=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -33,13 +38,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; ``n_chars`` follows the new text."""
+    """Secrets in the texts are masked; ``n_chars`` follows the new text where there was one. All rows stay: null and empty
+    texts as they are, repeated rows masked alike."""
     found = scan_secrets(docs.select(*COLUMNS))
     return redact(found).selectExpr("doc_id", "text", "lang", "source", "if(size(secrets) = 0, n_chars, cast(length(text) as bigint)) as n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences. A null or empty text is its end alone; repeated rows are packed each."""
     return pack_documents(docs)
 
 
