@@ -61,9 +61,17 @@ def x03(s, d):
     return X.extract_ranked(comp(s, d)).select("doc_id", "extract_path", "parsed_answer", "parse_ok")
 
 
-@query("x04_extract_clean", f"WITH {COMP}, c AS (SELECT *, trim(regexp_extract_all(trim(completion), '(?im)^\\s*answer\\s*:\\s*(.+)\\s*$', 1)[-1]) AS a, {BOXED} AS b FROM comp) SELECT doc_id, CASE WHEN b IS NOT NULL THEN b ELSE a END AS parsed_answer, CASE WHEN b IS NOT NULL THEN 'boxed_balanced' ELSE 'answer_line' END AS extract_path FROM c WHERE doc_id % 8 IN (0, 1, 2, 3, 6)")
+WORD, MATH = "[a-zA-Z]{2,}", r"\\[a-zA-Z]+|[\d$\\{}^_=+\-*/().,]"
+#: The clean extraction of every completion: value and extract_path.
+EXTRACTED = f"""x0 AS (SELECT *, trim(coalesce(completion, '')) AS t FROM comp), x1 AS (SELECT *, trim({BOXED.replace('completion', 't')}) AS b, trim(regexp_extract_all(t, '(?im)^\\s*answer\\s*:\\s*(.+)\\s*$', 1)[-1]) AS a, list_filter(list_transform(string_split(t, chr(10)), lambda i: trim(i)), lambda i: i <> '')[-1] AS l FROM x0),
+x2 AS (SELECT *, trim(coalesce(a, l, '')) AS s FROM x1), x3 AS (SELECT *, len(regexp_extract_all(s, '{WORD}')) AS words, len(regexp_extract_all(s, '{MATH}')) AS hits FROM x2),
+x4 AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN b IS NOT NULL THEN 'boxed_balanced' WHEN s <> '' AND (length(s) > 80 OR (words >= 6 AND hits < 3) OR (words >= 4 AND hits = 0 AND NOT regexp_full_match(replace(s, ',', ''), '-?[0-9]+'))) THEN 'runon_rejected' WHEN a IS NOT NULL THEN 'answer_line' WHEN l IS NOT NULL THEN 'last_line' ELSE 'empty' END AS extract_path FROM x3),
+clean AS (SELECT *, CASE WHEN extract_path IN ('empty', 'runon_rejected') THEN '' ELSE coalesce(b, a, l) END AS value FROM x4)"""
+
+
+@query("x04_extract_clean", f"WITH {COMP}, {EXTRACTED} SELECT doc_id, value AS parsed_answer, extract_path FROM clean")
 def x04(s, d):
-    return X.extract_clean(comp(s, d)).where("doc_id % 8 in (0, 1, 2, 3, 6)").select("doc_id", "parsed_answer", "extract_path")
+    return X.extract_clean(comp(s, d)).select("doc_id", "parsed_answer", "extract_path")
 
 
 def _fold(col, pairs):
@@ -190,19 +198,34 @@ def x14(s, d):
 
 
 def relabelled(s, d):
-    x = X.extract_clean(comp(s, d).where("doc_id % 8 in (0, 1, 2, 3, 6)")).withColumn("parsed_answer_again", F.col("parsed_answer"))
+    x = X.extract_clean(comp(s, d)).withColumn("parsed_answer_again", F.col("parsed_answer"))
     old = F.when(F.col("doc_id") % 8 == 3, "").otherwise(F.col("parsed_answer"))
     return x.withColumns({"parsed_answer": old, "correct": F.col("reward") > 0.5, "correct_again": A.canonical_key_clean(F.col("parsed_answer_again")) == F.col("gold")})
 
 
-RELABEL = f"""WITH {COMP}, q AS (SELECT *, CASE doc_id % 8 WHEN 2 THEN '\\frac{{' || doc_id || '}}{{7}}' WHEN 6 THEN '$' || gold || '$.' ELSE gold END AS parsed_answer_again FROM comp WHERE doc_id % 8 IN (0, 1, 2, 3, 6)),
-z AS (SELECT *, CASE WHEN doc_id % 8 = 3 THEN '' ELSE parsed_answer_again END AS parsed_answer, reward > 0.5 AS correct, doc_id % 8 <> 2 AS correct_again, CASE WHEN doc_id % 8 IN (0, 6) THEN 'answer_line' ELSE 'boxed_balanced' END AS extract_path FROM q)"""
-KEY_OF = "CASE WHEN doc_id % 8 = 3 THEN '' WHEN doc_id % 8 = 2 THEN doc_id || '/7' ELSE gold END"
+def _int(x):
+    return f"regexp_replace(regexp_replace(regexp_replace({x}, '^\\+', ''), '^(-?)0+([0-9])', '\\1\\2'), '^-0$', '0')"
+
+
+def key_sql(source, column, out):
+    """SQL for rows of ``source`` with the canonical key of a column."""
+    stripped = f"replace(trim(coalesce({column}, '')), ',', '')"
+    for part in ("\\text{", "\\textbf{", "\\(", "\\)", "$"):
+        stripped = f"replace({stripped}, '{part}', '')"
+    frac = r"\\frac\{([^{}]+)\}\{([^{}]+)\}"
+    return f"""(SELECT * EXCLUDE (k0, k1, k2), CASE WHEN regexp_matches(k2, '^-?[0-9]+(\\%|%)$') THEN {_int("regexp_extract(k2, '^(-?[0-9]+)', 1)")} WHEN regexp_matches(k1, '^-?[0-9]+$') THEN {_int('k1')} WHEN contains(k1, '/') THEN lower(k1)
+        WHEN regexp_matches(k1, '^-?[0-9]+\\s+[a-zA-Z]') AND length(k1) <= 32 THEN {_int("regexp_extract(k1, '^(-?[0-9]+)', 1)")} ELSE lower(k1) END AS {out}
+        FROM (SELECT *, replace(k1, ' ', '') AS k2 FROM (SELECT *, CASE WHEN regexp_matches(k0, '{frac}') THEN trim(regexp_extract(k0, '{frac}', 1)) || '/' || trim(regexp_extract(k0, '{frac}', 2)) ELSE k0 END AS k1 FROM (SELECT *, regexp_replace(trim({stripped}), '[.;,]+$', '') AS k0 FROM {source}))))"""
+
+
+RELABEL = f"""WITH {COMP}, {EXTRACTED}, y AS (SELECT * EXCLUDE (b, a), value AS parsed_answer_again, CASE WHEN doc_id % 8 = 3 THEN '' ELSE value END AS parsed_answer, reward > 0.5 AS correct FROM clean), y1 AS {key_sql('y', 'value', 'key_again')}, y2 AS {key_sql('y1', 'parsed_answer', 'key')},
+z AS (SELECT *, key_again = gold AS correct_again FROM y2)"""
+KEY_OF = "key"
 
 
 @query(
     "x15_audit_labels",
-    RELABEL + f", k AS (SELECT problem_id, cluster_id, {KEY_OF} AS key FROM z), a AS (SELECT count(*) AS x FROM (SELECT 1 FROM k GROUP BY problem_id, key HAVING count(DISTINCT cluster_id) > 1)), b AS (SELECT count(*) AS x FROM (SELECT 1 FROM k GROUP BY problem_id, cluster_id HAVING count(DISTINCT key) > 1)) SELECT count(*) AS n, round(avg((parsed_answer <> parsed_answer_again)::INT), 6) AS mismatch_parsed_answer, round(avg((correct <> correct_again)::INT), 6) AS mismatch_correct, any_value(a.x) AS keys_with_many_ids, any_value(b.x) AS ids_with_many_keys FROM z, a, b",
+    RELABEL + f", k AS (SELECT problem_id, cluster_id, {KEY_OF} FROM z), a AS (SELECT count(*) AS x FROM (SELECT 1 FROM k GROUP BY problem_id, key HAVING count(DISTINCT cluster_id) > 1)), b AS (SELECT count(*) AS x FROM (SELECT 1 FROM k GROUP BY problem_id, cluster_id HAVING count(DISTINCT key) > 1)) SELECT count(*) AS n, round(avg((parsed_answer <> parsed_answer_again)::INT), 6) AS mismatch_parsed_answer, round(avg((correct <> correct_again)::INT), 6) AS mismatch_correct, any_value(a.x) AS keys_with_many_ids, any_value(b.x) AS ids_with_many_keys FROM z, a, b",
 )
 def x15(s, d):
     return rounded(X.audit_labels(relabelled(s, d)))
