@@ -108,9 +108,9 @@ def quality_rules(
 ) -> DataFrame:
     """Judge documents by base rules and by Jensen-Shannon distance to the references of their language.
 
-    References are pooled histograms of each language in ``COMMON``, over all its documents that pass the base rules and then
-    over the half of them that is nearest to that pool; a document of another or no language is held against the pool of all. ``kept`` is false if a base rule fails, if the
-    character classes are further than ``max_char_distance`` away (texts of ``min_chars`` and more) or the common words
+    References are pooled histograms of each language in ``COMMON``, over all its distinct texts that pass the base rules and
+    then over the half of them that is nearest to that pool; a document of another or no language is held against the pool of
+    all. ``kept`` is false if a base rule fails, if the character classes are further than ``max_char_distance`` away (texts of ``min_chars`` and more) or the common words
     further than ``max_word_distance`` (texts of ``min_words`` and more). Null, empty or blank text: no words, so
     ``base_failed``. Repeated rows are judged alike; an empty table gives an empty result; all input columns (or the ``columns`` named) stay,
     whatever their names, and an input column with the name of a result column is replaced.
@@ -121,13 +121,15 @@ def quality_rules(
     # The input row is one column, so its names clash with none made here.
     row = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
     used = docs.select(row.alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counted = rule_counts(used).withColumn("base_failed", failed)
-    counted = written(counted.select("row", "lang", *made[:8]), "rule-counts")
+    counted = rule_counts(used).withColumn("base_failed", failed).withColumn("h", F.xxhash64("text"))
+    counted = written(counted.select("row", "lang", "h", *made[:8]), "rule-counts")
 
     # References are a few rows of sums, whatever the input. Those of all clean rows come first; the final ones pool the half
     # of each language's rows that lies nearest to them, so that oddities among the clean rows do not shape what they are held to.
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
     clean = counted.where(~F.col("base_failed") & (F.col("n_symbols") * 50 < F.col("word_chars"))).withColumn("_known", known)
+    # A text that is there many times counts once in its language.
+    clean = written(clean.select("_known", "lang", "h", "chars", "hits").dropDuplicates(["_known", "h"]), "clean-texts")
     first = _with_distances(clean, _references(clean))
     half = {r["_known"]: r["m"] for r in first.groupBy("_known").agg(F.percentile_approx("char_distance", 0.5, 1000).alias("m")).collect()}
     near = F.lit(None).cast("double")

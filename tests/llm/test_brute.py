@@ -140,7 +140,8 @@ def plain_rules(docs):
     def held(r, shares, k):
         return distance(r[k], shares[r[0] if r[0] in COMMON and r[0] in shares else "*"])
 
-    clean = [r for r in rows if r[3]]
+    distinct = {(known(r[0]), d[1]): r for r, d in zip(rows, docs) if r[3]}
+    clean = list(distinct.values())
     first = shares_of(clean, 4)
     away = defaultdict(list)
     for r in clean:

@@ -253,7 +253,7 @@ def test_jaccard_prefix_needs_are_bounds():
             assert 1 <= least_shared(np.int64(na), np.int64(nb), 75) <= max(1, fewest)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_jaccard_at_the_threshold(spark, seed):
     """Pairs at, just over and just under 75 %, among many that share a passage."""
     rng = np.random.default_rng(seed)
@@ -334,6 +334,16 @@ def test_rules_keep_prose_and_drop_symbols(spark):
     assert kept & set(range(20)) == base & set(range(20)) and not kept & {20, 21}
 
 
+def test_a_page_that_is_copied_often_is_no_reference(spark):
+    """Two thirds of a language's rows are one page of short words in capitals; the language's other texts stay."""
+    rng = np.random.default_rng(13)
+    words = [*PROSE.split(), "cat", "house", "tree", "river", "blue"]
+    page = " ".join(w.upper() for w in rng.choice(words, 150))
+    rows = [(i, " ".join(rng.choice(words, 150)), "de") for i in range(40)] + [(100 + i, page, "de") for i in range(80)]
+    kept = {r.doc_id for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert set(range(40)) <= kept
+
+
 # --- 5: BPE ---
 
 
