@@ -44,6 +44,33 @@ def x01(s, d):
     return comp(s, d).select("doc_id", A.extract_boxed("completion").alias("boxed"), A.extract_boxed("completion", "tail").alias("boxed_or_tail"))
 
 
+def edge(s, d):
+    """Whole texts with boxes of odd shapes: nested twice, open after a closed one, several, empty, a percentage, no box, spaced."""
+    n, i, k = F.col("n_chars").cast("string"), F.col("doc_id").cast("string"), F.col("doc_id") % 7
+    shape = (
+        F.when(k == 0, F.concat(F.lit(" \\boxed{\\dfrac{"), n, F.lit("}{\\sqrt{2}}}")))
+        .when(k == 1, F.concat(F.lit(" \\boxed{"), n, F.lit("} or \\boxed{"), i))
+        .when(k == 2, F.concat(F.lit(" \\boxed{"), i, F.lit("}, so \\boxed{"), n, F.lit("}.")))
+        .when(k == 3, F.lit(" \\boxed{}"))
+        .when(k == 4, F.concat(F.lit(" \\boxed{"), n, F.lit("\\%}")))
+        .when(k == 5, F.concat(F.lit(" boxed{"), n, F.lit("}")))
+        .otherwise(F.concat(F.lit(" \\boxed{ \\text{"), n, F.lit("} }")))
+    )
+    return read(s, d, "documents").select("doc_id", F.concat("text", shape).alias("completion"))
+
+
+EDGE = r"""edge AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' \boxed{\dfrac{' || n_chars || '}{\sqrt{2}}}' WHEN 1 THEN ' \boxed{' || n_chars || '} or \boxed{' || doc_id WHEN 2 THEN ' \boxed{' || doc_id || '}, so \boxed{' || n_chars || '}.' WHEN 3 THEN ' \boxed{}' WHEN 4 THEN ' \boxed{' || n_chars || '\%}' WHEN 5 THEN ' boxed{' || n_chars || '}' ELSE ' \boxed{ \text{' || n_chars || '} }' END AS completion FROM documents)"""
+#: A box's content with braces nested three deep, read from the text itself.
+INSIDE = r"((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+LAST_BOX = rf"CASE WHEN contains(completion, '\boxed{{') AND regexp_matches(string_split(completion, '\boxed{{')[-1], '^{INSIDE}') THEN regexp_extract(string_split(completion, '\boxed{{')[-1], '^{INSIDE}', 1) END"
+CLOSED_BOX = rf"regexp_extract_all(completion, '\\boxed\{{{INSIDE}', 1)[-1]"
+
+
+@query("x01_edge_shapes", f"WITH {EDGE} SELECT doc_id, {LAST_BOX} AS boxed, {CLOSED_BOX} AS boxed_closed FROM edge")
+def x01e(s, d):
+    return edge(s, d).select("doc_id", A.extract_boxed("completion").alias("boxed"), A.extract_boxed("completion", last="closed").alias("boxed_closed"))
+
+
 @query("x02_answer_line", f"WITH {COMP} SELECT doc_id, regexp_extract_all(completion, '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1] AS anywhere, trim(regexp_extract_all(completion, '(?im)^\\s*answer\\s*:\\s*(.+)\\s*$', 1)[-1]) AS line FROM comp")
 def x02(s, d):
     return comp(s, d).select("doc_id", A.answer_anywhere(F.col("completion")).alias("anywhere"), A.answer_line(F.col("completion")).alias("line"))
@@ -213,7 +240,7 @@ def key_sql(source, column, out):
     for part in ("\\text{", "\\textbf{", "\\(", "\\)", "$"):
         stripped = f"replace({stripped}, '{part}', '')"
     frac = r"\\frac\{([^{}]+)\}\{([^{}]+)\}"
-    return f"""(SELECT * EXCLUDE (k0, k1, k2), CASE WHEN regexp_matches(k2, '^-?[0-9]+(\\%|%)$') THEN {_int("regexp_extract(k2, '^(-?[0-9]+)', 1)")} WHEN regexp_matches(k1, '^-?[0-9]+$') THEN {_int('k1')} WHEN contains(k1, '/') THEN lower(k1)
+    return f"""(SELECT * EXCLUDE (k0, k1, k2), CASE WHEN regexp_matches(k2, '^-?[0-9]+(\\\\%|%)$') THEN {_int("regexp_extract(k2, '^(-?[0-9]+)', 1)")} WHEN regexp_matches(k1, '^-?[0-9]+$') THEN {_int('k1')} WHEN contains(k1, '/') THEN lower(k1)
         WHEN regexp_matches(k1, '^-?[0-9]+\\s+[a-zA-Z]') AND length(k1) <= 32 THEN {_int("regexp_extract(k1, '^(-?[0-9]+)', 1)")} ELSE lower(k1) END AS {out}
         FROM (SELECT *, replace(k1, ' ', '') AS k2 FROM (SELECT *, CASE WHEN regexp_matches(k0, '{frac}') THEN trim(regexp_extract(k0, '{frac}', 1)) || '/' || trim(regexp_extract(k0, '{frac}', 2)) ELSE k0 END AS k1 FROM (SELECT *, regexp_replace(trim({stripped}), '[.;,]+$', '') AS k0 FROM {source}))))"""
 
@@ -240,11 +267,28 @@ def x16(s, d):
     return X.flip_report(relabelled(s, d))
 
 
-@query("x17_marker_flags", f"WITH {COMP} SELECT doc_id, doc_id % 8 = 4 AS truncated_box, doc_id % 8 = 2 AS nested_mismatch FROM comp")
+def flags_sql(source, rows):
+    """Both flags of ``source``'s completions, from the texts."""
+    flat = r"trim(regexp_extract_all(completion, '\\boxed\{([^{}]+)\}', 1)[-1])"
+    nested = key_sql(f"(SELECT doc_id, {LAST_BOX} AS last_box, trim({CLOSED_BOX}) AS nested, {flat} AS flat, contains(completion, '\\boxed{{') AS has FROM {source})", "nested", "nested_key")
+    return f"WITH {rows}, n AS {nested}, f AS {key_sql('n', 'flat', 'flat_key')} SELECT doc_id, has AND last_box IS NULL AS truncated_box, has AND nested IS NOT NULL AND (flat IS NULL OR nested_key <> flat_key) AS nested_mismatch FROM f"
+
+
+@query("x17_marker_flags", flags_sql("comp", COMP))
 def x17(s, d):
     return X.marker_flags(comp(s, d)).select("doc_id", "truncated_box", "nested_mismatch")
 
 
+@query("x17_edge_flags", flags_sql("edge", EDGE))
+def x17e(s, d):
+    return X.marker_flags(edge(s, d)).select("doc_id", "truncated_box", "nested_mismatch")
+
+
+@query("x07_edge_keys", f"WITH {EDGE}, b AS (SELECT doc_id, {CLOSED_BOX} AS b FROM edge), k AS {key_sql('b', 'b', 'key')} SELECT doc_id, key FROM k")
+def x07e(s, d):
+    return edge(s, d).select("doc_id", A.canonical_key_clean(A.extract_boxed("completion", last="closed")).alias("key"))
+
+
 @query("x18_cap_audit", f"WITH {EV} SELECT CASE WHEN response_length > 60 THEN 'over' WHEN response_length = 60 THEN 'at' ELSE 'under' END AS at_cap, pred AS label, count(*) AS n FROM ev GROUP BY ALL")
 def x18(s, d):
     R = ev(s, d)
