@@ -72,7 +72,7 @@ def worst_in_sample(q: float, acc: str = "acc"):
     return metric
 
 
-#: Thresholds of the gate, in percentage points but for the rate.
+#: Thresholds of the gate, in percentage points but for the rate.
 GATES = {"minority_rate_min": 0.05, "noise_max": 6.0, "tail_gain_min": 2.0, "pass1_drop_max": 2.0, "distinct_min": 1.0}
 
 

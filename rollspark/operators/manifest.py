@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollspark.functions.text import prompt_flags
 
+#: Fixed value: what is put behind each problem.
 SUFFIX = "\nPlease reason step by step, and put your final answer within \\boxed{}."
 
 
