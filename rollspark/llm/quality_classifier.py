@@ -24,13 +24,13 @@ N_FEATURES = N_SHAPE + N_WORDS + N_PAIRS
 def text_features(text: str | None) -> np.ndarray:
     """Fixed numbers that describe a whole text: its shape, its words and its pairs of words; null counts as empty."""
     raw = (text or "").encode()
-    words = raw.split()
+    words = raw.lower().split()
     n = max(1, len(words))
     share = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8) / max(1, len(raw))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     again = sum(map(bytes.__eq__, words[1:], words[:-1])) / n
     shape = [np.log1p(len(words)), min(len(raw) / n, 50.0) / 10, len(set(words)) / n, again, 1 - len(set(lines)) / max(1, len(lines)), len(lines) / n, *share]
-    h = np.fromiter(map(zlib.crc32, raw.lower().split()), np.uint64, len(words))
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) >> np.uint64(16)
     hashed = [np.bincount((x % np.uint64(k)).astype(np.int64), minlength=k) / n for x, k in ((h, N_WORDS), (pairs, N_PAIRS))]
     return np.concatenate([shape, *hashed])
@@ -49,16 +49,20 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(add, rows.drop("text").withColumn("x", F.array(F.lit(0.0).cast("float"))).schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, l2_words: float = 20.0, steps: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, l2_words: float = 20.0, steps: int = 40, rows: int = 2048) -> np.ndarray:
     """Weights (the last is the constant) by Newton's method on standardised features; those of hashed words, which are many
     and each say little, are held closer to zero."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-6
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.r_[np.full(N_SHAPE, l2), np.full(x.shape[1] - N_SHAPE, l2_words), 1e-6]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        slope, curve = -ridge * w, np.diag(ridge)
+        for i in range(0, len(x), rows):  # a part at a time, so that the driver holds little besides x
+            z = np.c_[(x[i : i + rows] - mean) / scale, np.ones(len(x[i : i + rows]))]
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[i : i + rows] - p)
+            curve += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -79,8 +83,8 @@ def classify_quality(
 ) -> DataFrame:
     """Add ``quality_evidence``, ``quality_site``, ``quality`` (probabilities) and ``kept``.
 
-    Evidence: a logistic model on features of the whole text (its shape, hashed words and pairs of words), fitted on at most about ``max_labels`` labelled rows (drawn by
-    the hash of their key; labels that are null or contradict each other take no part). Sites: every document's evidence
+    Evidence: a logistic model on features of the whole text (its shape, hashed words and pairs of words), fitted on at most
+    about ``max_labels`` labelled rows (drawn by the hash of their key; labels that are null or contradict each other take no part). Sites: every document's evidence
     is summed by host and by (host, path); the spread between hosts and between the paths of hosts gives the strength of
     the global prior and of the hosts' priors (method of moments), so sites with few documents shrink toward their host
     and hosts with few documents toward the global mean. A document's own evidence is left out of its site's. Posterior odds
@@ -102,10 +106,11 @@ def classify_quality(
     n = one.count()
     slots = 1 << 20
     drawn = one.where(F.pmod(F.xxhash64("key"), F.lit(slots)) < int(slots * min(1.0, max_labels / max(1, n))))
-    train = drawn.join(scored.select("key", "x"), "key").groupBy("key", "y").agg(F.min("x").alias("x")).select("x", "y").toPandas()
-    y = train["y"].to_numpy(np.float64) > 0.5
+    train = drawn.join(scored.select("key", "x"), "key").groupBy("key", "y").agg(F.min("x").alias("x")).select("x", "y").toArrow()
+    y = train["y"].to_numpy() > 0.5
     if 0 < y.sum() < len(y):
-        weights = fit_logistic(np.array(train["x"].tolist()), y.astype(np.float64)).tolist()
+        x = np.asarray(train["x"].combine_chunks().flatten()).reshape(len(y), N_FEATURES)
+        weights = fit_logistic(x, y.astype(np.float64)).tolist()
     else:
         weights = [0.0] * N_FEATURES + [30.0]
 
@@ -115,7 +120,7 @@ def classify_quality(
 
     # Sums by (host, path), then by host; only the global moments reach the driver.
     e = F.col("quality_evidence")
-    sites = scored.groupBy("host", "path").agg(F.sum(e).alias("s"), F.count("*").alias("n"))
+    sites = written(scored.groupBy("host", "path").agg(F.sum(e).alias("s"), F.count("*").alias("n")), "sites")
     hosts = sites.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).withColumnRenamed("host", "own_host")
     total, count = (hosts.agg(F.sum("hs"), F.sum("hn")).first() or (None, None))[:2]
     mean = min(max((total or 0.0) / max(1, count or 0), 1e-6), 1 - 1e-6)
