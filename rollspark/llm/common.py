@@ -29,27 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and lost executors lose nothing.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders ``by`` a column if one is given, and read it back: lineage is
+    cut, and lost executors lose nothing.
 
     The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # Small row groups, so that a large file is read by several tasks.
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path, partitionBy=by)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-    """Like ``written``, in buckets of a column: what groups by the column afterwards reads the table without a shuffle."""
+def bucketed(df: DataFrame, name: str, column: str | tuple[str, ...], buckets: int, sort: bool = False) -> DataFrame:
+    """Like ``written``, in buckets of columns, sorted by them on demand: what groups by them afterwards reads the table without
+    a shuffle."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_dir(spark)}/{name}"
-    df.write.bucketBy(buckets, column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    columns = [column] if isinstance(column, str) else list(column)
+    writer = df.write.bucketBy(buckets, columns)
+    writer = writer.sortBy(columns) if sort else writer
+    writer.format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
