@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -70,8 +72,37 @@ def merged(head: str, rest: list[str]) -> list[str]:
     return [c for c in out if c]
 
 
-@lru_cache(2)
-def id_bytes(path: str) -> Chunks:
-    """Ids of whole texts as little-endian unsigned 32-bit chunks."""
-    encoding = encoding_of(path)
-    return Chunks(lambda chunk: np.asarray(encoding.encode_ordinary(chunk), "<u4").tobytes())
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, whose text stands for one id."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+class IdBytes:
+    """Ids of whole texts as little-endian unsigned 32-bit chunks; texts are cut at the added tokens first, the leftmost longest."""
+
+    def __init__(self, path: str, added: dict[str, int]):
+        encoding = encoding_of(path)
+        self.chunks = Chunks(lambda chunk: np.asarray(encoding.encode_ordinary(chunk), "<u4").tobytes())
+        self.added = {content: np.asarray([i], "<u4").tobytes() for content, i in added.items()}
+        self.split = re.compile("|".join(f"({re.escape(c)})" for c in sorted(added, key=len, reverse=True))).split if added else None
+
+    def __call__(self, text: str) -> list[bytes]:
+        if not any(c in text for c in self.added):
+            return self.chunks(text)
+        out = []
+        for part in self.split(text):
+            if part in self.added:
+                out.append(self.added[part])
+            elif part:
+                out += self.chunks(part)
+        return out
+
+
+@lru_cache(4)
+def _id_bytes(path: str, added: tuple) -> IdBytes:
+    return IdBytes(path, dict(added))
+
+
+def id_bytes(path: str, added: dict[str, int] | None = None) -> IdBytes:
+    return _id_bytes(path, tuple(sorted((added or {}).items())))

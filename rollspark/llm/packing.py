@@ -12,18 +12,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import id_bytes
+from .chunks import added_tokens, id_bytes
 from .common import parts, written
 
 
-def token_pieces(docs: DataFrame, ranks: str, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, added: dict[str, int], capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece of each document's ids and the closing id 0: doc_id, piece, start, length, ids_crc32.
 
     Longer documents are cut into pieces of ``capacity``, of which the first may be shorter. Null text counts as empty.
     """
 
     def cut(batches):
-        encode = id_bytes(ranks)
+        encode = id_bytes(ranks, added)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -107,15 +107,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_per_part: int = 50
     """Place pieces (doc_id, piece, start, length, ids_crc32) into sequences of at most ``capacity`` tokens.
 
     Only the histogram of lengths, ``capacity`` numbers at most, reaches the driver, which packs it; each piece then finds
-    its place by its rank among the pieces of its length. Ranks come from buckets of about ``rows_per_part`` rows, so a
-    length that a third of all pieces share is dealt over many tasks. Adds sequence_id and offset.
+    its place by its rank among the pieces of its length. Ranks come from buckets of about ``rows_per_part`` rows, dealt by
+    the rows' places in the written table, so neither a length nor a row that a third of all pieces share meets in one task. Which
+    of the pieces of one length stands where follows the table's partitions; the sequences' lengths do not. Adds
+    sequence_id and offset.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
-    n = pieces.count()
-    buckets = parts(spark, n, rows_per_part, 64)
-    spot = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
-    dealt = pieces.withColumn("bucket", spot)
+    names = pieces.columns
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    dealt = in_buckets(pieces, parts(spark, pieces.count(), rows_per_part, 64))
     counts = written(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_two_fit(histogram, capacity)
@@ -135,11 +135,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_per_part: int = 50
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "bucket", before.alias("first"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
+    inside = Window.partitionBy("length", "bucket").orderBy("_row")
     ranked = (
         dealt.withColumn("_at", F.row_number().over(inside))
         .join(starts, ["length", "bucket"])
-        .select(*pieces.columns, (F.col("first") + F.col("_at") - 1).alias("rank"))
+        .select(*names, (F.col("first") + F.col("_at") - 1).alias("rank"))
     )
 
     def place(batches):
@@ -155,16 +155,23 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_per_part: int = 50
                 offset[own] = row[:, 3] + (r - row[:, 0]) % row[:, 2] * n
             yield pd.DataFrame({**{c: frame[c] for c in names}, "sequence_id": where, "offset": offset})
 
-    names = pieces.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
     return ranked.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks: str | None = None, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def in_buckets(pieces: DataFrame, buckets: int) -> DataFrame:
+    """The pieces with ``bucket``, by the hash of each row's place: equal rows are dealt like others."""
+    return pieces.withColumn("bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+
+
+def pack_documents(docs: DataFrame, ranks: str | None = None, added: dict[str, int] | None = None, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenize and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``ranks`` is a file of BPE ranks (default: the 50k byte-level vocabulary). Null or empty text: the closing id alone.
-    Repeated rows and repeated keys are packed one by one. An empty table gives an empty result.
+    ``ranks`` is a file of BPE ranks and ``added`` the tokens whose text stands for one id (default: the 50k byte-level vocabulary
+    and what its JSON file adds). Null or empty text: the closing id alone. Whole texts are encoded; one longer than ``capacity``
+    gives pieces. Repeated rows and repeated keys are packed one by one. Other columns are not read. An empty table gives an
+    empty result.
     """
-    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack_pieces(token_pieces(docs, ranks, capacity, key, text), capacity)
+    if ranks is None:
+        ranks, added = public_tokenizers.path("byte_bpe_50k.tiktoken"), added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_pieces(token_pieces(docs, ranks, added or {}, capacity, key, text), capacity)

@@ -197,7 +197,7 @@ def plain_mixture(counts, p, steps):
 
 def test_languages_against_plain_python(spark, tables):
     docs, _ = tables
-    docs = [(d[0], d[1] if d[1] is None else d[1][:2000], d[2]) for d in docs] + [(900, None, "en"), (901, "12 !", "fr"), (902, "x" * 9000, "en"), (None, "the cat", None), (docs[0][0], docs[0][1], docs[0][2])]
+    docs = [(d[0], d[1], d[2]) for d in docs] + [(900, None, "en"), (901, "12 !", "fr"), (902, "x" * 9000, "en"), (None, "the cat", None), (docs[0][0], docs[0][1], docs[0][2])]
     assert all(grams(t).tolist() == plain_grams(t) for _, t, _ in docs)
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4
     counts = defaultdict(Counter)
@@ -289,7 +289,6 @@ def test_pipeline_against_plain_python(spark, tables):
     left = [d for d, (_, _, kept) in zip(left, plain_rules(left)) if kept]
     left = plain_firsts(left)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {d[0]: [*tokenizer.encode(plain_masked(d[1]), add_special_tokens=False).ids, 0] for d in left}
     got = corpus_pipeline.run(spark, DIR).collect()
     pieces = defaultdict(list)

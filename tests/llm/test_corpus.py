@@ -15,12 +15,12 @@ from tokenizers import Tokenizer
 
 from rollspark.llm import gru
 from rollspark.llm.bpe import encode_documents
-from rollspark.llm.chunks import encoding_of, id_bytes
+from rollspark.llm.chunks import added_tokens, encoding_of, id_bytes
 from rollspark.llm.components import connected_components
 from rollspark.llm.jaccard_join import jaccard_groups, least_shared
 from rollspark.llm.language_id import identify_languages
 from rollspark.llm.lm_scoring import score_documents
-from rollspark.llm.packing import best_two_fit, pack_documents
+from rollspark.llm.packing import best_two_fit, in_buckets, pack_documents, pack_pieces
 from rollspark.llm.quality_classifier import classify_quality
 from rollspark.llm.quality_rules import quality_rules
 from rollspark.llm.secrets import BASE, MORE, redact, scan_secrets, secret_digest, trigram_query
@@ -65,20 +65,19 @@ def counted(rows):
 
 def test_ids_equal_the_tokenizers():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    e = id_bytes(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    e = id_bytes(public_tokenizers.path("byte_bpe_50k.tiktoken"), added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     rng = np.random.default_rng(1)
-    alphabet = list("abc  \n\t\x0b\x1c\x85\xa0 é'ñ漢12,.!$") + ["'s", "'ll", " the", "<|endoftext|>", "\r\n", "🙂"]
+    alphabet = list("abc  \n\t\x0b\x1c\x85\xa0 é'ñ漢12,.!$") + ["'s", "'ll", " the", "<|endoftext|>", "<|endof", "text|>", "\r\n", "🙂"]
     for s in [*("".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(500)), *(x or "" for x in texts())]:
         assert np.frombuffer(b"".join(e(s)), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
 def test_packing(spark):
     rows = pack_documents(docs(spark), capacity=64).collect()
-    e = id_bytes(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
     for r in docs(spark).collect():
-        ids = b"".join([*e(r.text or ""), b"\0\0\0\0"])
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         n, begin, k = len(ids) // 4, 0, 0
         while begin < n:
             end = begin + (n % 64 or 64 if begin == 0 else 64)
@@ -94,10 +93,42 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(bins) <= math.ceil(sum(r.length for r in rows) / 64) + 2
+    assert len(bins) == len(one_by_one([r.length for r in rows], 64))
     assert pack_documents(empty(spark)).count() == 0
 
 
+def one_by_one(lengths, capacity):
+    """Best-two-fit, document by document."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        while fit := [n for n in left if n <= gap]:
+            own.append(fit[-1])
+            left.remove(fit[-1])
+            gap -= fit[-1]
+        if gap and own:
+            low = min(own)
+            pairs = [(a + b, a) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap + low]
+            if pairs and max(pairs)[0] > low:
+                total, a = max(pairs)
+                own.remove(low)
+                for n in (a, total - a):
+                    own.append(n)
+                    left.remove(n)
+                left = sorted([*left, low])
+        bins.append(own)
+    return bins
+
+
+def test_equal_rows_are_dealt(spark):
+    rows = [(7, 0, 0, 5, 1)] * 3000 + [(None, 0, 0, 5, 1)] * 3000 + [(i, 0, 0, 5, i) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    held = [r["count"] for r in in_buckets(pieces.withColumn("_row", F.monotonically_increasing_id()), 64).groupBy("bucket").count().collect()]
+    assert len(held) == 64 and max(held) < 1.5 * sorted(held)[32]
+    spots = pack_pieces(pieces, 20).select("sequence_id", "offset").collect()
+    assert len(set(spots)) == 9000 and len({r.sequence_id for r in spots}) == 2250
+
+
 def test_best_two_fit_replaces_the_smallest():
     # Greedy fills 6 + 3 and leaves 1; 2 + 2 in the place of 3 fit tighter.
     plan = best_two_fit({6: 1, 3: 1, 2: 2}, 10)
@@ -105,8 +136,9 @@ def test_best_two_fit_replaces_the_smallest():
     rng = np.random.default_rng(0)
     for _ in range(20):
         counts = Counter(rng.integers(1, 101, 300).tolist())
-        used = Counter()
-        for items, times in best_two_fit(counts, 100):
+        used, plan = Counter(), best_two_fit(counts, 100)
+        assert sum(times for _, times in plan) == len(one_by_one(counts.elements(), 100))
+        for items, times in plan:
             assert sum(n * k for n, k in items) <= 100
             for n, k in items:
                 used[n] += k * times
