@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollspark.operators.manifest import filter_with_audit
 from rollspark.operators.metrics import pass_at_k
 from rollspark.operators.sampling import split_overlap
+from rollspark.sources import evaldoc as E
 from rollspark.sources import files as S
 from rollspark.sources.scratch import shared_path
 from rollspark.streaming import steps as Z
@@ -85,6 +87,58 @@ def s06(s, d):
     return rounded(h.groupBy("label", "dataset", "k").agg(F.sum("n_prompts").alias("n"), F.avg("pass_at_k").alias("pass_at_k")))
 
 
+def large_docs(s, d):
+    """One evaluation document for each arm and 40 problems, over many lines, with heavy fields that no query wants."""
+    R = ev(s, d, True).withColumns({"doc": F.concat("arm", F.lit("-"), F.expr("problem_id div 40")), "dataset": F.concat(F.lit("d"), F.col("problem_id") % 3)})
+    keys = ["doc", "arm", "dataset"]
+    g = R.groupBy(*keys, "problem_id").agg(F.array_sort(F.collect_list(F.struct("rollout_idx", "reward", "pred", "finish_reason"))).alias("r"), F.count_if(F.col("reward") > 0.5).alias("c"))
+    got = lambda c: F.transform("r", lambda x: x[c])
+    heavy = F.transform("r", lambda x: F.array(F.create_map(x["rollout_idx"].cast("string"), x["reward"] - 1.5)))
+    prompt = F.concat(F.lit('a "problem_id": in a text, {[ "'), F.lit("\\"), F.lit('" per_prompt'))
+    record = F.struct(F.col("problem_id").cast("string").alias("problem_id"), F.lit("purchase").alias("ground_truth"), prompt.alias("rendered_prompt"), F.col("c").alias("n_correct"), got("reward").alias("rewards"), got("pred").alias("preds"), got("finish_reason").alias("rollouts"), heavy.alias("logprobs"))
+    first = Window.partitionBy("doc", "dataset").orderBy("problem_id")
+    records = g.select(*keys, F.col("problem_id").alias("at"), F.concat(F.when(F.row_number().over(first) == 1, "").otherwise(","), F.to_json(record, {"pretty": "true"})).alias("value"))
+    first = Window.partitionBy("doc").orderBy("dataset")
+    parts = g.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("c") / F.size("r")).alias("p"), F.avg(F.col("r")[0]["reward"]).alias("m"))
+    opens = parts.select(*keys, F.lit(-1).alias("at"), F.concat(F.when(F.row_number().over(first) == 1, "").otherwise(","), F.format_string('"%s": {\n "n_prompts": %d,\n "pass_at_k": {"1": %s},\n "mean_reward_at_1": %s,\n "per_prompt": [', "dataset", "n", F.col("p").cast("string"), F.col("m").cast("string"))).alias("value"))
+    closes = parts.select(*keys, F.lit(1 << 60).alias("at"), F.lit("]}").alias("value"))
+    docs = g.select("doc", "arm").distinct()
+    heads = docs.select("doc", "arm", F.lit("").alias("dataset"), F.lit(0).alias("at"), F.format_string('{\n "label": "%s",\n "ckpt_path": "x",\n "n_rollouts": 8,\n "datasets": {', "arm").alias("value"))
+    ends = docs.select("doc", "arm", F.lit("~").alias("dataset"), F.lit(0).alias("at"), F.lit("}}").alias("value"))
+    lines = heads.unionByName(opens).unionByName(records).unionByName(closes).unionByName(ends)
+    path = shared_path(s, "documents")
+    lines.repartition("doc").sortWithinPartitions("doc", "dataset", "at").select("doc", "value").write.partitionBy("doc").text(path)
+    return f"{path}/doc=*/part-*"
+
+
+#: Small ranges, so that each of the documents is read by several tasks.
+RANGE = 16 << 10
+
+
+@query("s03_flatten_large", f"WITH {EVA} SELECT arm, 'd' || (problem_id % 3) AS dataset, problem_id::VARCHAR AS problem_id, 'purchase' AS gold, rollout_idx, reward, pred, finish_reason AS completion FROM ev")
+def s03l(s, d):
+    return E.flatten_records(E.read_eval_document(s, large_docs(s, d), range_bytes=RANGE))
+
+
+@query("s05_compact_large", f"WITH {EVA} SELECT arm AS label, 'd' || (problem_id % 3) AS dataset, problem_id::VARCHAR AS problem_id, count(*) FILTER (reward > 0.5) AS n_correct, count(*)::INT AS n, sum(reward) AS reward FROM ev GROUP BY ALL")
+def s05l(s, d):
+    slim = E.read_eval_document(s, large_docs(s, d), ("problem_id", "n_correct", "rewards", "preds"), RANGE)
+    return slim.select("label", "dataset", "problem_id", "n_correct", F.size("rewards").alias("n"), F.aggregate("rewards", F.lit(0.0), lambda a, x: a + x).alias("reward"))
+
+
+@query("s06_header_large", f"WITH {EVA}, p AS (SELECT arm, problem_id, avg(reward) AS v FROM ev GROUP BY ALL) SELECT arm AS label, 'd' || (problem_id % 3) AS dataset, 1 AS k, count(*) AS n, round(avg(v), 6) AS pass_at_k FROM p GROUP BY ALL")
+def s06l(s, d):
+    h = E.read_eval_headers(s, large_docs(s, d), range_bytes=RANGE).select("label", "dataset", "n_prompts", F.explode("pass_at_k").alias("k", "p"))
+    return rounded(h.groupBy("label", "dataset", F.col("k").cast("int").alias("k")).agg(F.sum("n_prompts").alias("n"), (F.sum(F.col("p") * F.col("n_prompts")) / F.sum("n_prompts")).alias("pass_at_k")))
+
+
+@query("s06_first_header", f"WITH {EVA}, p AS (SELECT DISTINCT arm, problem_id FROM ev), q AS (SELECT arm, problem_id // 40 AS b, problem_id % 3 AS d, count(*) AS n FROM p GROUP BY ALL), f AS (SELECT *, min(d) OVER (PARTITION BY arm, b) AS low FROM q) SELECT arm AS label, 'd' || d AS dataset, count(*) AS documents, sum(n)::BIGINT AS n FROM f WHERE d = low GROUP BY ALL")
+def s06f(s, d):
+    """Only the documents' beginnings are read."""
+    h = E.read_eval_headers(s, large_docs(s, d), all_datasets=False)
+    return h.groupBy("label", "dataset").agg(F.count("*").alias("documents"), F.sum("n_prompts").alias("n"))
+
+
 def step_logs(s, d):
     """Step logs under run folders: steps to 20 by one run, from 15 on by its resumption."""
     root = shared_path(s, "logs")
