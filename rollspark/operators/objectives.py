@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from math import comb
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollspark.operators.clusters import with_clusters
@@ -45,13 +47,24 @@ def focal(A: DataFrame, gamma: float, by=()) -> DataFrame:
     return A.withColumn("weighted", F.pow(hard, F.lit(gamma)) * F.col("advantage"))
 
 
+#: Subsets that may be made as rows; ``marginal_by_counting`` has no such bound.
+MOST_SUBSETS = 1 << 24
+
+
 def subsets(spark: SparkSession, n: int, m: int) -> DataFrame:
-    """All subsets of m indices out of n: subset (its number), members."""
-    if n > 16:
-        raise ValueError("over 16 rollouts the subsets are too many; give smaller groups")
-    bits = spark.range(1 << n).where(F.bit_count("id") == m)
-    members = F.expr(f"filter(sequence(0, {n - 1}), i -> shiftright(id, i) % 2 = 1)")
-    return bits.select(F.col("id").alias("subset"), members.alias("members"))
+    """All subsets of m indices out of n (63 at most): subset (the number with the members' bits), members.
+
+    Each of the C(n, m) numbers is turned into its subset by the combinatorial number system: from the highest index down,
+    an index c is a member if as many subsets of the indices under it come before.
+    """
+    total = comb(n, m)
+    if n > 63 or total > MOST_SUBSETS:
+        raise ValueError(f"{total} subsets are too many for rows; see marginal_by_counting")
+    table = "array(" + ",".join("array(" + ",".join(f"{comb(c, k)}L" for k in range(m + 1)) + ")" for c in range(max(n, 1))) + ")"
+    step = "if(a.k > 0 and t[c][a.k] <= a.left, named_struct('left', a.left - t[c][a.k], 'k', a.k - 1, 'bits', a.bits | shiftleft(1L, c)), a)"
+    walk = f"transform(array({table}), t -> aggregate(sequence({n - 1}, 0), named_struct('left', id, 'k', {m}, 'bits', 0L), (a, c) -> {step}).bits)[0]"
+    members = F.expr(f"filter(sequence(0, {n - 1}), i -> shiftright(subset, i) % 2 = 1)")
+    return spark.range(total).select(F.expr(walk).alias("subset")).withColumn("members", members)
 
 
 def subset_rows(R: DataFrame, n: int, m: int, by=()) -> DataFrame:
@@ -67,11 +80,13 @@ def subset_score(R: DataFrame, kind, n: int = 8, m: int = 4, by=(), drop_degener
 
     rarest: mean reward of the subset's rarest cluster; tied clusters are averaged (over rollouts), or one is picked by md5.
     poly: mean reward times distinct clusters (degenerate ones left out on demand) over m. worst: the least reward.
-    A function as ``kind`` is a score of one's own: it maps the rows (a rollout in a subset each) and the keys of a subset to
-    a frame of the keys and f.
+    A score of one's own as ``kind`` is an aggregate column, such as a grouped pandas UDF over the subset's rollouts, or a function
+    that maps the rows (a rollout in a subset each) and the keys of a subset to a frame of the keys and f.
     """
     rows = subset_rows(R, n, m, by)
     keys = [*by, "problem_id", "subset"]
+    if isinstance(kind, Column):
+        return rows.groupBy(*keys).agg(kind.cast("double").alias("f"))
     if callable(kind):
         return kind(rows, keys).select(*keys, "f")
     if kind == "worst":
@@ -135,13 +150,13 @@ def advantages(R: DataFrame, arm, cluster_source: str = "recorded", **options) -
     """The advantages of an objective by its name, or by a subset score of one's own, over clusters from ``cluster_source``
     (see ``with_clusters``)."""
     R = with_clusters(R, cluster_source, **{k: options[k] for k in ("canonical", "valid", "text", "answer", "features") if k in options})
-    if arm == "grpo":
+    if isinstance(arm, str) and arm == "grpo":
         return grpo_advantage(R)
-    if arm == "inverse_freq":
+    if isinstance(arm, str) and arm == "inverse_freq":
         return inverse_freq(grpo_advantage(R), options.get("gamma", 0.5), options.get("cap", 2.0)).withColumn("advantage", F.col("weighted"))
-    if arm == "focal":
+    if isinstance(arm, str) and arm == "focal":
         return focal(grpo_advantage(R), options.get("gamma", 2.0)).withColumn("advantage", F.col("weighted"))
-    if callable(arm) or arm in ("rarest", "poly", "worst"):
+    if isinstance(arm, Column) or callable(arm) or arm in ("rarest", "poly", "worst"):
         return marginal_advantage(subset_score(R, arm, options.get("n", 8), options.get("m", 4)), options.get("n", 8), options.get("m", 4))
     raise ValueError(f"no objective named {arm}")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rollspark.operators import joins as J
 from rollspark.operators import objectives as G
 from rollspark.operators import series as W
+from rollspark.operators.subset_counts import marginal_by_counting
+from rollspark.operators.subset_table import scored_subsets
 from rollspark.tables import EV, EV8, EVA, LI, MANIFEST, ev, ev8, li, manifest, read
 
 from .metrics import HISTORY, SCORED, history, rounded, scored
@@ -349,3 +352,63 @@ def g11s(s, d):
 def g12(s, d):
     R = ev8(s, d)
     return G.kept(R, G.grpo_advantage(R))[1]
+
+
+# --- the same by counting, as a table function, and with a score of one's own as a grouped pandas UDF ---
+
+#: All rollouts in groups of at most eight; subsets of four within what a group holds.
+PARTIAL = f"WITH {EV8}, {SUBS}, x AS (SELECT * FROM (SELECT e.*, subset, count(*) OVER (PARTITION BY problem_id, subset) AS held FROM e8 e JOIN mem USING (rollout_idx)) WHERE held = 4)"
+WHOLE = "SELECT e.problem_id, e.rollout_idx, round(coalesce(a.advantage, 0), 6) AS advantage, coalesce(a.keep, false) AS keep FROM e8 e LEFT JOIN (SELECT o.problem_id, o.rollout_idx, CASE WHEN keep THEN own - m ELSE 0 END AS advantage, keep FROM own o JOIN g USING (problem_id)) a USING (problem_id, rollout_idx)"
+OWN = "g AS (SELECT problem_id, avg(f) AS m, min(f) < max(f) AS keep FROM f GROUP BY 1), own AS (SELECT x.problem_id, x.rollout_idx, avg(f) AS own FROM f JOIN x USING (problem_id, subset) GROUP BY ALL)"
+
+for _kind, _sql in (("rarest", RAREST), ("poly", POLY), ("worst", WORST)):
+
+    @query(f"g08_counted_{_kind}", f"{PARTIAL}, {_sql}, {OWN} {WHOLE}")
+    def g08n(s, d, kind=_kind):
+        return rounded(marginal_by_counting(ev8(s, d), kind, 4).select("problem_id", "rollout_idx", "advantage", "keep"))
+
+
+#: With rewards of 0 and 1 the least is 1 only where all are.
+@query(
+    "g07_worst_wide",
+    f"""WITH {EV}, n AS (SELECT *, count(*) OVER w AS n, sum(reward) OVER w AS c FROM ev WINDOW w AS (PARTITION BY problem_id)),
+    o AS (SELECT problem_id, rollout_idx, n, c, reward * list_product(list_transform(range(7), lambda i: greatest(c - 1 - i, 0) / (n - 1 - i))) AS own FROM n WHERE n >= 8)
+    SELECT problem_id, rollout_idx, round(CASE WHEN c < 8 OR c = n THEN 0 ELSE own - avg(own) OVER (PARTITION BY problem_id) END, 6) AS advantage FROM o UNION ALL SELECT problem_id, rollout_idx, 0 FROM n WHERE n < 8""",
+)
+def g07w(s, d):
+    """All rollouts of each user, subsets of eight."""
+    return rounded(marginal_by_counting(ev(s, d), "worst", 8).select("problem_id", "rollout_idx", "advantage"))
+
+
+@query("g08_rarest_wide")
+def g08w(s, d):
+    """All rollouts of each user, subsets of eight: more than 10 ** 9 a user, held against enumeration in the tests for small groups."""
+    return rounded(marginal_by_counting(ev(s, d), "rarest", 8).select("problem_id", "rollout_idx", "advantage", "spread", "keep"))
+
+
+@query("g04_subsets_wide", "WITH RECURSIVE t AS (SELECT 0 AS n, 0::BIGINT AS subset, -1 AS last UNION ALL SELECT n + 1, subset + (1::BIGINT << i), i::INT FROM t, range(30) r(i) WHERE n < 3 AND i > last) SELECT subset, (SELECT string_agg(i, ',' ORDER BY i) FROM range(30) r(i) WHERE (subset >> i) % 2 = 1) AS members, (SELECT count(DISTINCT user_id) FROM events) AS n_problems FROM t WHERE n = 3")
+def g04w(s, d):
+    """Three out of thirty, for as many problems as there are."""
+    problems = read(s, d, "events").agg(F.count_distinct("user_id").alias("n_problems"))
+    return G.subsets(s, 30, 3).select("subset", F.array_join("members", ",").alias("members")).join(problems)
+
+
+@query("g05_rarest_udtf", f"{PARTIAL}, {RAREST} SELECT problem_id, subset, round(f, 6) AS f FROM f")
+def g05t(s, d):
+    return rounded(scored_subsets(ev8(s, d)))
+
+
+@query("g06_poly_udtf", f"{PARTIAL}, {POLY} SELECT problem_id, subset, round(f, 6) AS f FROM f")
+def g06t(s, d):
+    return rounded(scored_subsets(ev8(s, d), score="poly"))
+
+
+@query("g11_pandas_score", f"{ROWS}, f AS (SELECT problem_id, subset, least(sum(reward), 2.0) / 2 + count(DISTINCT pred) / 4.0 AS f FROM x GROUP BY ALL), {MARGINAL} SELECT problem_id, rollout_idx, round(advantage, 6) AS advantage FROM adv")
+def g11p(s, d):
+    """The score of ``best_two`` as a grouped pandas UDF."""
+
+    @F.pandas_udf("double")
+    def two_best(reward: pd.Series, pred: pd.Series) -> float:
+        return min(reward.sum(), 2.0) / 2 + pred.nunique() / 4
+
+    return rounded(G.advantages(ev(s, d), two_best("reward", "pred")).select("problem_id", "rollout_idx", "advantage"))
