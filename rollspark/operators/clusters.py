@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.functions.repeats import repeats_in_a_row
 from rollspark.sources.scratch import cut
 
 
@@ -22,22 +23,30 @@ def cluster_by_key(R: DataFrame, key: Column, ok: Column, group: str = "problem_
     ).drop("_k", "_r", "_m")
 
 
-def cluster_by_equivalence(R: DataFrame, key: str, equal: str, group: str = "problem_id") -> DataFrame:
+def cluster_by_equivalence(R: DataFrame, key: str, equal: str, group: str = "problem_id", rounds: list | None = None) -> DataFrame:
     """Clusters of keys linked by a pairwise predicate ``equal`` over (a.key, b.key), named after their smallest key.
 
-    Links are found within a problem (a bounded group); labels then sink to the smallest neighbour's until none changes.
+    Links are found within a problem (a bounded group). Each key then has a pointer to a smaller one; in a round, pointers skip
+    to where they lead, and a key and what it points to take the smallest pointer that a neighbour has reached, so a chain's
+    length shrinks by a factor. A round is written as a table; ``rounds`` takes up how many changed in each.
     """
-    keys = cut(R.select(group, key).where(F.col(key).isNotNull()).distinct(), "keys")
-    a, b = keys.select(group, F.col(key).alias("a")), keys.select(group, F.col(key).alias("b"))
-    links = cut(a.join(b, group).where("a <> b").where(equal), "links")
-    labels = keys.withColumn("label", F.col(key))
-    changed = 1
+    keys = cut(R.select(group, F.col(key).alias("v")).where("v is not null").distinct(), "keys")
+    a, b = keys.select(group, F.col("v").alias("a")), keys.select(group, F.col("v").alias("b"))
+    one_way = a.join(b, group).where("a <> b").where(equal)
+    links = cut(one_way.union(one_way.select(group, F.col("b"), F.col("a"))).distinct(), "links")
+    labels, changed = keys.withColumn("to", F.col("v")), 1
     while changed:
-        low = links.join(labels.select(group, F.col(key).alias("b"), "label"), [group, "b"]).groupBy(group, F.col("a").alias(key)).agg(F.min("label").alias("low"))
-        new = cut(labels.join(low, [group, key], "left").select(group, key, "label", F.least("label", F.coalesce("low", "label")).alias("next")), "labels")
-        changed = new.where("next <> label").count()
-        labels = new.select(group, key, F.col("next").alias("label"))
-    return R.join(labels, [group, key], "left")
+        ahead = labels.select(group, F.col("v").alias("to"), F.col("to").alias("far"))
+        far = cut(labels.join(ahead, [group, "to"]), "ahead")
+        near = links.join(far.select(group, F.col("v").alias("b"), "far"), [group, "b"]).groupBy(group, F.col("a").alias("v")).agg(F.min("far").alias("near"))
+        seen = far.join(near, [group, "v"], "left").select(group, "v", "to", F.least("far", F.coalesce("near", "far")).alias("best"))
+        given = seen.select(group, "v", "best", F.col("to").alias("was")).union(seen.select(group, F.col("to"), "best", F.lit(None)))
+        new = cut(given.groupBy(group, "v").agg(F.min("best").alias("to"), F.max("was").alias("was")), "labels")
+        changed = new.where("to <> was").count()
+        labels = new.drop("was")
+        if rounds is not None:
+            rounds.append(changed)
+    return R.join(labels.withColumnsRenamed({"v": key, "to": "label"}), [group, key], "left")
 
 
 def partition_agreement(R: DataFrame, methods, group: str = "problem_id", index: str = "rollout_idx") -> DataFrame:
@@ -53,11 +62,11 @@ def partition_agreement(R: DataFrame, methods, group: str = "problem_id", index:
     return out.select(F.expr("inline(array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}', 'n_prompts', n, 'n_same', s{i}, 'share', s{i} / n)" for i, (a, b) in enumerate(pairs)) + "))"))
 
 
-#: Text features by name, as SQL over ``t`` (the text), ``l`` (in lower case) and ``p`` (the answer).
+#: Text features by name, as SQL over ``t`` (the text), ``l`` (in lower case) and ``p`` (the answer), or as a function of t.
 FEATURES = {
     "has_boxed": "contains(t, '\\\\boxed{')",
     "has_sympy_code": "contains(t, 'import sympy') or contains(t, '```python') or contains(t, 'sp.')",
-    "has_repetition": "t rlike '(.{30,}?)\\\\1\\\\1'",
+    "has_repetition": repeats_in_a_row,
     "has_code_fence": "contains(t, '```')",
     "has_modular": "contains(l, 'modulo') or contains(l, 'mod ') or contains(l, 'remainder') or contains(l, 'congruent')",
     "has_coord": "contains(l, 'coordinate') or contains(l, '(x,') or contains(l, 'x-axis') or contains(l, 'vector')",
@@ -69,7 +78,7 @@ FEATURES = {
 def cluster_by_features(R: DataFrame, text: str, answer: str, group: str = "problem_id", features=tuple(FEATURES)) -> DataFrame:
     """Rollouts with the same features of text and answer share a cluster."""
     x = R.withColumns({"t": F.coalesce(F.col(text), F.lit("")), "p": F.coalesce(F.col(answer).cast("string"), F.lit(""))}).withColumn("l", F.lower("t"))
-    x = x.withColumns({f: F.expr(FEATURES[f]) for f in features}).drop("t", "l", "p")
+    x = x.withColumns({f: FEATURES[f]("t") if callable(FEATURES[f]) else F.expr(FEATURES[f]) for f in features}).drop("t", "l", "p")
     return x.withColumn("cluster", F.dense_rank().over(_group(group).orderBy(*features)) - 1)
 
 
@@ -87,44 +96,82 @@ def with_clusters(R: DataFrame, cluster_source: str, canonical=None, valid=None,
     return found.withColumn("cluster_id", F.col("cluster").cast("bigint")).drop("cluster")
 
 
-def cluster_by_embedding(df: DataFrame, group: str, threshold: float, key: str, vector: str, most: int = 64) -> DataFrame:
-    """Average-linkage clusters by cosine distance within bounded groups (at most ``most`` rows; larger ones fail)."""
+def cluster_by_embedding(df: DataFrame, group: str, threshold: float, key: str, vector: str) -> DataFrame:
+    """Average-linkage clusters by cosine distance within groups: group, key, cluster. See ``embedding_sweep``."""
+    return embedding_sweep(df, group, (threshold,), key, vector).drop("threshold")
+
+
+def embedding_sweep(df: DataFrame, group: str, thresholds, key: str, vector: str) -> DataFrame:
+    """Average-linkage clusters by cosine distance at many thresholds: group, key, threshold, cluster.
+
+    Clusters merge while their mean distance is under the threshold; ids follow the first member by key. One tree per group serves all thresholds.
+    A group is one task: memory in proportion to its vectors, time to the square of their number. A null vector, or one with a null in it, is
+    at distance 1 from all, as the zero vector is; vectors of a group have one length. Keys are distinct in a group.
+    """
+    cuts = sorted(map(float, thresholds))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > most:
-            raise ValueError(f"a group has {len(frame)} rows; give groups of {most} at most")
         frame = frame.sort_values(key)
-        v = np.array(frame[vector].tolist(), np.float64)
+        width = max((len(v) for v in frame[vector] if v is not None), default=1)
+        v = np.array([np.zeros(width) if x is None else np.asarray(x, np.float64) for x in frame[vector]]).reshape(len(frame), width)
+        v[~np.isfinite(v).all(1)] = 0
         v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
-        return frame[[group, key]].assign(cluster=average_linkage(1 - v @ v.T, threshold))
+        labels = cut_tree(linkage_tree(v), len(v), cuts)
+        return pd.concat([frame[[group, key]].assign(threshold=t, cluster=x) for t, x in zip(cuts, labels, strict=True)])
 
     kind = lambda c: df.schema[c].dataType.simpleString()
-    return df.select(group, key, vector).groupBy(group).applyInPandas(cluster, f"{group} {kind(group)}, {key} {kind(key)}, cluster long")
-
-
-def average_linkage(distance: np.ndarray, threshold: float) -> list[int]:
-    """Merge the two nearest clusters (by mean distance) while they are under the threshold; ids by first member."""
-    d = distance.astype(np.float64).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(len(d))
-    members = [[i] for i in range(len(d))]
-    while len(d) > 1:
-        i, j = sorted(np.unravel_index(int(d.argmin()), d.shape))
-        if d[i, j] > threshold or not np.isfinite(d[i, j]):
-            break
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        members[i] += members[j]
-        members[j] = []
-        size[i] += size[j]
-    out = [0] * len(distance)
-    for n, group in enumerate(sorted(m for m in members if m)):
-        for i in group:
-            out[i] = n
-    firsts = {c: r for r, c in enumerate(dict.fromkeys(out))}
-    return [firsts[c] for c in out]
+    return df.select(group, key, vector).groupBy(group).applyInPandas(cluster, f"{group} {kind(group)}, {key} {kind(key)}, threshold double, cluster long")
+
+
+def linkage_tree(v: np.ndarray) -> list[tuple[int, int, float]]:
+    """Average linkage of unit (or zero) vectors by cosine distance: (a member of one, a member of the other, height), lowest first.
+
+    The mean distance of two clusters is one less the product of their mean vectors, so clusters are kept as sums. Chains of nearest
+    neighbours end in two that are each other's nearest; these merge, which gives the same tree as merging the nearest of all.
+    """
+    n = len(v)
+    total, size, low, alive = v.copy(), np.ones(n), np.zeros(n), np.ones(n, bool)
+    out, chain = [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            d = 1 - total @ total[a] / (size * size[a])
+            d[~alive] = np.inf
+            d[a] = np.inf
+            b = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[b] + 1e-12:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        height = max(float(d[b]), low[a], low[b])
+        out.append((a, b, height))
+        total[b], size[b], low[b] = total[a] + total[b], size[a] + size[b], height
+        alive[a] = False
+    return sorted(out, key=lambda m: m[2])
+
+
+def cut_tree(tree: list[tuple[int, int, float]], n: int, thresholds) -> list[list[int]]:
+    """Cluster ids (by first member) at each of the rising thresholds: what merges under it."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out, at = [], 0
+    for t in thresholds:
+        while at < len(tree) and tree[at][2] < t:
+            a, b = find(tree[at][0]), find(tree[at][1])
+            root[max(a, b)] = min(a, b)
+            at += 1
+        names: dict[int, int] = {}
+        out.append([names.setdefault(find(i), len(names)) for i in range(n)])
+    return out
 
 
 def cosine_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:

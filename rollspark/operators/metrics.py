@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollspark.operators.order import with_running
+from rollspark.operators.order import with_quantiles, with_running
 
 from rollspark.functions.math import miss_all
 
@@ -221,7 +221,9 @@ def prompt_readout(R: DataFrame, other: str = "pred", by=()) -> DataFrame:
 
 
 def cohort_summary(pp: DataFrame, value: str, cohort: Column) -> DataFrame:
-    return pp.groupBy(cohort.alias("cohort")).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    pp = pp.withColumn("cohort", cohort)
+    stats = pp.groupBy("cohort").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return with_quantiles(stats, pp, value, {"median": 0.5}, ("cohort",))
 
 
 def u_correct(R: DataFrame, by=(), zero_fill: bool = False) -> DataFrame:
@@ -315,7 +317,8 @@ def length_stats(df: DataFrame, text: str, limit: int, by=()) -> DataFrame:
 
 
 def history_quantiles(H: DataFrame, by=("arm", "metric")) -> DataFrame:
-    return H.where("value is not null").groupBy(*by).agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.95).alias("p95"))
+    H = H.where("value is not null")
+    return with_quantiles(H.groupBy(*by).agg(F.count("*").alias("n")), H, "value", {"median": 0.5, "p95": 0.95}, by)
 
 
 def billing_hours(usage: DataFrame, stamp: str, run: str, resource: str, cost: str) -> DataFrame:

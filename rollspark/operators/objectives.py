@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollspark.operators.clusters import with_clusters
+from rollspark.operators.order import exact_quantiles
 
 
 def _group(by=()) -> Window:
@@ -119,7 +120,7 @@ def marginal_advantage(S: DataFrame, n: int = 8, m: int = 4, by=(), baseline: st
 
 
 def advantage_quantiles(A: DataFrame, by=()) -> DataFrame:
-    return A.groupBy(*by).agg(*[F.percentile("advantage", q).alias(f"p{int(100 * q):02d}") for q in (0.05, 0.5, 0.95)])
+    return exact_quantiles(A, "advantage", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, by)
 
 
 def marginal_over_seeds(R: DataFrame, seeds, n: int = 8, m: int = 4) -> DataFrame:

@@ -84,20 +84,36 @@ def pack_by_budget(df: DataFrame, length: str, budget: int, part: str, order: st
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([length, order], ascending=[False, True], kind="stable")
-        room: list[int] = []
-        places = []
-        for n in frame[length]:
-            at = next((i for i, r in enumerate(room) if n <= r), len(room))
-            if at == len(room):
-                room.append(budget)
-            room[at] -= n
-            places.append(at)
-        return frame.assign(pack=places)
+        return frame.assign(pack=first_fit(frame[length].tolist(), budget))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     return df.groupBy(part).applyInPandas(pack, f"{kinds}, pack long")
 
 
+def first_fit(lengths, budget: int) -> list[int]:
+    """The first bin with room for each length, in order. A tournament tree holds the most room under each of its nodes, so a
+    bin is found in as many steps as the tree is high."""
+    base = 1 << max(0, len(lengths) - 1).bit_length()
+    room = [budget] * (2 * base)
+    out, used = [], 0
+    for n in lengths:
+        if n > budget:
+            at = base + used
+        else:
+            at = 1
+            while at < base:
+                at *= 2
+                if room[at] < n:
+                    at += 1
+        out.append(at - base)
+        used = max(used, at - base + 1)
+        room[at] -= n
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
+    return out
+
+
 def build_chunks(df: DataFrame, priority: Column, per_chunk: int, tail: int, text: str, key: str = "problem_id") -> DataFrame:
     """Review chunks: problems with a priority rollout first, ``per_chunk`` problems to a chunk, running ids within it, and
     the end of each text."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.operators.order import with_quantiles
+from rollspark.sources.scratch import cut
+
 #: Words or single marks.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Phrases that tell of reflection.
@@ -134,17 +137,19 @@ def token_kl(P: DataFrame, B: DataFrame, eps: float = 1e-12) -> DataFrame:
 
 
 def kl_summary(K: DataFrame, by=()) -> DataFrame:
-    return K.groupBy(*by).agg(F.count("*").alias("n_rollouts"), F.avg("kl").alias("mean"), F.percentile("kl", 0.5).alias("median"), F.percentile("kl", 0.9).alias("p90"))
+    K = cut(K.select(*by, "kl"), "kl")
+    return with_quantiles(K.groupBy(*by).agg(F.count("*").alias("n_rollouts"), F.avg("kl").alias("mean")), K, "kl", {"median": 0.5, "p90": 0.9}, by)
 
 
 # --- token logs: problem_id, rollout_idx, pos, new_lp, old_lp, mask, token_reward ---
 
 
 def ratio_stats(L: DataFrame, lo: float, hi: float, by=()) -> DataFrame:
-    r = F.exp(F.col("new_lp") - F.col("old_lp"))
-    return L.where("mask = 1").withColumn("r", r).groupBy(*by).agg(
-        F.count("*").alias("n_tokens"), F.avg("r").alias("ratio_mean"), F.max("r").alias("ratio_max"), F.percentile("r", 0.95).alias("ratio_p95"), F.avg((F.col("r") < 1 - lo).cast("double")).alias("clipped_low"), F.avg((F.col("r") > 1 + hi).cast("double")).alias("clipped_high")
+    L = L.where("mask = 1").withColumn("r", F.exp(F.col("new_lp") - F.col("old_lp")))
+    stats = L.groupBy(*by).agg(
+        F.count("*").alias("n_tokens"), F.avg("r").alias("ratio_mean"), F.max("r").alias("ratio_max"), F.avg((F.col("r") < 1 - lo).cast("double")).alias("clipped_low"), F.avg((F.col("r") > 1 + hi).cast("double")).alias("clipped_high")
     )
+    return with_quantiles(stats, L, "r", {"ratio_p95": 0.95}, by)
 
 
 def surrogate(L: DataFrame, A: DataFrame, norm: str = "per_seq", lo: float = 0.2, hi: float = 0.2) -> DataFrame:

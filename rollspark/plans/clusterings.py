@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollspark.functions.repeats import repeats_in_a_row
 from rollspark.operators import clusters as C
 from rollspark.operators.objectives import with_cluster_size
 from rollspark.tables import EV8, LI, ev8, li, read
@@ -61,6 +62,19 @@ def c05(s, d):
     return C.cluster_by_embedding(e, "g", 0.7, "vec_id", "embedding")
 
 
+@query("c05_threshold_sweep")
+def c05s(s, d):
+    """Groups of 128, five thresholds from one tree each."""
+    e = read(s, d, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 128))
+    return C.embedding_sweep(e, "g", (0.3, 0.5, 0.7, 0.9, 1.1), "vec_id", "embedding")
+
+
+@query("c04_repetition")
+def c04r(s, d):
+    """Whole texts with 30 characters or more three times in a row."""
+    return read(s, d, "documents").select("doc_id", repeats_in_a_row("text").alias("repeats"))
+
+
 @query(
     "c06_cosine_pairs",
     """WITH e AS (SELECT vec_id, vec_id // 16 AS g, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.g, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.g = b.g AND a.vec_id < b.vec_id""",

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rollspark.functions import answers as A
 from rollspark.functions import text as T
+from rollspark.functions.repeats import has_triple
 from rollspark.operators import clusters as C
 from rollspark.operators import decisions as D
 from rollspark.operators import extract as X
@@ -20,6 +23,7 @@ from rollspark.operators import objectives as G
 from rollspark.operators import sampling as S
 from rollspark.operators import series as W
 from rollspark.operators import text as N
+from rollspark.operators.order import exact_quantiles, with_quantiles
 from rollspark.sources import files
 
 R_SCHEMA = "problem_id long, rollout_idx int, reward double, cluster_id long, pred string"
@@ -187,9 +191,57 @@ def test_parse_assignments(spark):
     assert lenient[(2, 0)] == 0 and lenient[(2, 1)] == -1 and lenient[(3, 0)] == -1 and lenient[(1, 0)] == 0
 
 
-def test_average_linkage():
-    x = np.array([0.0, 0.1, 1.0, 1.1, 5.0])
-    assert C.average_linkage(np.abs(x[:, None] - x), 0.5) == [0, 0, 1, 1, 2]
+def plain_linkage(v, threshold):
+    """Average linkage from the distance matrix, the two nearest clusters at a time."""
+    d = [[1 - float(a @ b) for b in v] for a in v]
+    parts = [[i] for i in range(len(v))]
+    while len(parts) > 1:
+        mean, i, j = min((np.mean([d[x][y] for x in a for y in b]), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts[:i]))
+        if mean >= threshold:
+            break
+        parts[j] += parts.pop(i)
+    names = {x: min(p) for p in parts for x in p}
+    order = sorted(set(names.values()))
+    return [order.index(names[i]) for i in range(len(v))]
+
+
+def test_linkage_at_each_threshold():
+    rng = np.random.default_rng(3)
+    cuts = [0.05, 0.2, 0.5, 0.8, 1.0, 1.2, 2.5]
+    for n in (1, 2, 3, 10, 40):
+        v = rng.normal(0, 1, (n, 5)) + rng.integers(0, 3, (n, 1)) * 2
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        assert C.cut_tree(C.linkage_tree(v), n, cuts) == [plain_linkage(v, t) for t in cuts]
+    same = np.tile([[1.0, 0.0]], (70, 1))
+    assert C.cut_tree(C.linkage_tree(same), 70, [0.1]) == [[0] * 70]
+
+
+def test_embedding_sweep(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, [float(x) for x in rng.normal(0, 1, 4)]) for g in range(3) for i in range(90)] + [(7, 1, None), (7, 2, [1.0, 0.0, 0.0, 0.0]), (7, 3, [2.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "g int, k int, v array<double>")
+    got = {(r.g, r.k, r.threshold): r.cluster for r in C.embedding_sweep(df, "g", (0.6, 0.2), "k", "v").collect()}
+    assert len(got) == 2 * len(rows) and [got[7, k, 0.2] for k in (1, 2, 3)] == [0, 1, 1]
+    unit = [np.array(v) / np.linalg.norm(v) for g, _, v in rows if g == 1]
+    for t in (0.2, 0.6):
+        assert [got[1, k, t] for k in range(90)] == plain_linkage(unit, t)
+    assert C.embedding_sweep(df.where("false"), "g", (0.5,), "k", "v").count() == 0
+
+
+def test_three_times_in_a_row():
+    rng = random.Random(1)
+    pattern, seen = re.compile(r"(.{30,}?)\1\1"), set()
+    for _ in range(600):
+        letters = rng.choice(["ab", "abc\n", "a", "abcdefgh é\U0001f642"])
+        unit = "".join(rng.choice(letters.strip()) for _ in range(rng.randint(20, 45)))
+        noise = "".join(rng.choice(letters) for _ in range(rng.randint(0, 200)))
+        text = noise[:50] + (unit * 5)[: int(rng.choice([0, 1, 2, 2.9, 3, 3.1, 4]) * len(unit))] + noise[50:]
+        seen.add(has_triple(text))
+        assert has_triple(text) == bool(pattern.search(text))
+    assert seen == {True, False} and not has_triple("")
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    began = time.time()
+    assert not has_triple(long_) and has_triple(long_ + "x" * 90) and time.time() - began < 30
 
 
 def brute_bleu(texts):
@@ -256,6 +308,16 @@ def test_equivalence_closure(spark):
     assert got == {(1, 1): 1, (1, 3): 1, (1, 5): 1, (1, 9): 9, (2, 1): 1}
 
 
+def test_closure_of_a_long_chain(spark):
+    # In the order of the keys, and in none: 1009 and 3001 have no common factor with 10 000.
+    for step in (1, 3001):
+        chain = spark.range(2000).select(F.lit(1).alias("problem_id"), (F.col("id") * step % 2000).alias("v"))
+        near = f"pmod((a - b) * {pow(step, -1, 2000)}L, 2000) = 1 and pmod(a * {pow(step, -1, 2000)}L, 2000) <> 0"
+        rounds = []
+        got = C.cluster_by_equivalence(chain, "v", near, rounds=rounds).agg(F.min("label"), F.max("label"), F.count("*")).first()
+        assert tuple(got) == (0, 0, 2000) and len(rounds) < 20
+
+
 def test_ema_skips_nulls(spark):
     H = spark.createDataFrame([("a", "m", 1, 1.0), ("a", "m", 2, None), ("a", "m", 3, 2.0)], "arm string, metric string, step int, value double")
     assert [r.ema for r in W.ema(H, 0.5).orderBy("step").collect()] == pytest.approx([1.0, 1.5])
@@ -272,3 +334,40 @@ def test_one_to_one_report(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     b = spark.createDataFrame([(1,), (3,)], "k int")
     assert one(J.join_one_to_one(a, b, ("k",))[1]) == {"n_keys": 3, "repeated_left": 1, "repeated_right": 0, "missing_right": 1, "missing_left": 1}
+
+
+def test_first_fit_takes_the_first_bin():
+    def plain(lengths, budget):
+        room, out = [], []
+        for n in lengths:
+            at = next((i for i, r in enumerate(room) if n <= r), len(room))
+            if at == len(room):
+                room.append(budget)
+            room[at] -= n
+            out.append(at)
+        return out
+
+    rng = random.Random(5)
+    for n in [0, 1, 2, 3, *range(10, 400, 37)]:
+        lengths = [rng.randint(0, 130) for _ in range(n)]
+        assert S.first_fit(lengths, 100) == plain(lengths, 100)
+        assert S.first_fit(sorted(lengths, reverse=True), 100) == plain(sorted(lengths, reverse=True), 100)
+    began = time.time()
+    S.first_fit(sorted((rng.randint(1, 100) for _ in range(100_000)), reverse=True), 100)
+    assert time.time() - began < 10
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(9)
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    groups = {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 500 + [7.0] * 2, "many": rng.normal(0, 1, 60_000).tolist(), "few": rng.normal(0, 1, 10).tolist(), "none": [None], None: [1.0, 9.0, 4.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double").repartition(7)
+    for accuracy in (10_000, 100):
+        got = {r.g: r for r in exact_quantiles(df, "x", qs, ("g",), accuracy).collect()}
+        assert set(got) == set(groups) - {"none"}
+        for g, r in got.items():
+            assert [r[q] for q in qs] == pytest.approx(np.quantile(groups[g], list(qs.values())).tolist(), abs=1e-12)
+    every = [x for xs in groups.values() for x in xs if x is not None]
+    assert list(one(exact_quantiles(df, "x", qs)).values()) == pytest.approx(np.quantile(every, list(qs.values())).tolist(), abs=1e-12)
+    assert one(exact_quantiles(df.where("false"), "x", qs)) == dict.fromkeys(qs)
+    assert {r.g: r.c for r in with_quantiles(df.groupBy("g").agg(F.count("*").alias("n")), df, "x", {"c": 0.5}, ("g",)).collect()}["none"] is None
