@@ -143,11 +143,13 @@ def m12(s, d):
 
 @query(
     "m13_correct_hist",
-    f"""WITH {EVA}, f AS (SELECT arm, problem_id, count(*) FILTER (reward > 0.5) AS c FROM ev WHERE rollout_idx < 8 GROUP BY ALL), i AS (SELECT unnest(range(9))::INT AS i)
+    f"""WITH {EVA}, f AS (SELECT arm, problem_id, rollout_idx // 8 AS part, count(*) FILTER (reward > 0.5) AS c FROM ev GROUP BY ALL), i AS (SELECT unnest(range(9))::INT AS i)
     SELECT arm, i AS n_correct, round(count(*) FILTER (c = i)::DOUBLE / count(*), 6) AS share FROM f, i GROUP BY arm, i""",
 )
 def m13(s, d):
-    return rounded(M.correct_hist(ev(s, d, True), 8, ("arm",)))
+    """All rollouts of an arm in groups of eight."""
+    R = ev(s, d, True).withColumns({"problem_id": F.expr("problem_id * 100000 + rollout_idx div 8"), "rollout_idx": F.col("rollout_idx") % 8})
+    return rounded(M.correct_hist(R, 8, ("arm",)))
 
 
 @query("m14_mixed_rates", f"WITH {EVA}, {PP} SELECT arm, count(*) AS n_prompts, round(avg((c > 0 AND c < n)::INT), 6) AS mixed, round(avg((c = 0)::INT), 6) AS all_wrong, round(avg((c = n)::INT), 6) AS all_correct FROM pp GROUP BY arm")

@@ -41,24 +41,30 @@ def j03(s, d):
     return J.left_with_singletons(R.select(*keys), R.where("cluster_id >= 0"), keys, "cluster_id").select(*keys, "cluster_id")
 
 
+def by_step(s, d):
+    """A problem per user and step, so that many stand in one arm only."""
+    return ev(s, d, True).withColumn("problem_id", F.col("problem_id") * 100 + F.col("step"))
+
+
 @query(
     "j04_paired_arms",
-    f"WITH {EVA}, c AS (SELECT problem_id, count(*) FILTER (reward > 0.5 AND arm = 'a0') AS a0, count(*) FILTER (reward > 0.5 AND arm = 'a1') AS a1, count(DISTINCT arm) AS n FROM ev WHERE step <= 10 GROUP BY 1) SELECT problem_id, a0, a1 FROM c WHERE n = 2",
+    f"WITH {EVA}, c AS (SELECT problem_id * 100 + step AS problem_id, count(*) FILTER (reward > 0.5 AND arm = 'a0') AS a0, count(*) FILTER (reward > 0.5 AND arm = 'a1') AS a1, count(DISTINCT arm) AS n FROM ev GROUP BY ALL) SELECT problem_id, a0, a1 FROM c WHERE n = 2",
 )
 def j04(s, d):
-    return J.paired_wide(ev(s, d, True).where("step <= 10"), ("a0", "a1"), F.count_if(F.col("reward") > 0.5))
+    return J.paired_wide(by_step(s, d), ("a0", "a1"), F.count_if(F.col("reward") > 0.5))
 
 
 @query(
     "j05_full_merge",
-    """WITH a AS (SELECT doc_id, quality::VARCHAR AS r FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, (1 - toxic)::VARCHAR AS r FROM labels WHERE doc_id % 3 <> 1), k AS (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0)
+    """WITH a AS (SELECT doc_id, quality::VARCHAR AS r FROM labels), b AS (SELECT doc_id + 7 AS doc_id, (1 - toxic)::VARCHAR AS r FROM labels), k AS (SELECT doc_id + 100 AS doc_id, source FROM documents)
     SELECT doc_id, coalesce(a.r, '') AS result_A, coalesce(b.r, '') AS result_B, coalesce(source, '') AS source FROM a FULL JOIN b USING (doc_id) FULL JOIN k USING (doc_id)""",
 )
 def j05(s, d):
+    """Keys are shifted, so that each table has some of its own."""
     L = read(s, d, "labels")
-    a = L.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").cast("string").alias("result"))
-    b = L.where("doc_id % 3 <> 1").select("doc_id", (1 - F.col("toxic")).cast("string").alias("result"))
-    return J.merge_full(a, b, read(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "source"), "doc_id")
+    a = L.select("doc_id", F.col("quality").cast("string").alias("result"))
+    b = L.select(F.col("doc_id") + 7, (1 - F.col("toxic")).cast("string").alias("result")).toDF("doc_id", "result")
+    return J.merge_full(a, b, read(s, d, "documents").select((F.col("doc_id") + 100).alias("doc_id"), "source"), "doc_id")
 
 
 @query("j06_semi_join", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
@@ -104,15 +110,15 @@ def u01(s, d):
     return u.groupBy("src").agg(F.count("*").alias("n"), F.count("quality").alias("n_quality"), F.count("toxic").alias("n_toxic"))
 
 
-@query("u02_common_keys", f"WITH {EVA} SELECT problem_id FROM ev WHERE step = 1 AND arm = 'a0' INTERSECT SELECT problem_id FROM ev WHERE step = 1 AND arm = 'a1'")
+@query("u02_common_keys", f"WITH {EVA}, k AS (SELECT arm, problem_id * 100 + step AS problem_id FROM ev) SELECT problem_id FROM k WHERE arm = 'a0' INTERSECT SELECT problem_id FROM k WHERE arm = 'a1'")
 def u02(s, d):
-    return J.common_keys(ev(s, d, True).where("step = 1"), "problem_id", "arm", 2)
+    return J.common_keys(by_step(s, d), "problem_id", "arm", 2)
 
 
-@query("u03_key_diff", f"WITH {EVA}, a AS (SELECT DISTINCT problem_id FROM ev WHERE step = 1), b AS (SELECT DISTINCT problem_id FROM ev WHERE step = 2) SELECT problem_id, 'left' AS side FROM a WHERE problem_id NOT IN (FROM b) UNION ALL SELECT problem_id, 'right' FROM b WHERE problem_id NOT IN (FROM a)")
+@query("u03_key_diff", f"WITH {EVA}, k AS (SELECT DISTINCT arm, problem_id * 100 + step AS problem_id FROM ev), a AS (SELECT problem_id FROM k WHERE arm = 'a0'), b AS (SELECT problem_id FROM k WHERE arm = 'a1') SELECT problem_id, 'left' AS side FROM a WHERE problem_id NOT IN (FROM b) UNION ALL SELECT problem_id, 'right' FROM b WHERE problem_id NOT IN (FROM a)")
 def u03(s, d):
-    R = ev(s, d, True)
-    return J.key_diff(R.where("step = 1"), R.where("step = 2"), ("problem_id",))
+    R = by_step(s, d)
+    return J.key_diff(R.where("arm = 'a0'"), R.where("arm = 'a1'"), ("problem_id",))
 
 
 @query(

@@ -225,7 +225,7 @@ def d03(s, d):
 
 # --- labels ---
 
-LAB = """WITH a AS (SELECT doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN 'needs_review' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS r FROM labels WHERE doc_id % 9 <> 0), b AS (SELECT doc_id AS seq, CASE WHEN doc_id % 22 = 0 THEN 'needs_review' WHEN quality = 1 AND toxic = 0 THEN 'good' ELSE 'bad' END AS r FROM labels), k AS (SELECT doc_id AS seq, n_chars::VARCHAR AS gold FROM documents WHERE doc_id % 2 = 0),
+LAB = """WITH a AS (SELECT doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN 'needs_review' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS r FROM labels WHERE doc_id % 9 <> 0), b AS (SELECT doc_id AS seq, CASE WHEN doc_id % 22 = 0 THEN 'needs_review' WHEN quality = 1 AND toxic = 0 THEN 'good' ELSE 'bad' END AS r FROM labels), k AS (SELECT doc_id + 50 AS seq, n_chars::VARCHAR AS gold FROM documents),
 m AS (SELECT seq, coalesce(a.r, '') AS result_A, coalesce(b.r, '') AS result_B, coalesce(gold, '') AS gold FROM a FULL JOIN b USING (seq) FULL JOIN k USING (seq)), l AS (SELECT *, result_A = result_B AS agreed, result_A <> result_B OR result_A = 'needs_review' OR result_B = 'needs_review' AS needs_human, CASE WHEN result_A = result_B THEN result_A END AS result FROM m)"""
 
 
@@ -233,7 +233,7 @@ def labelled(s, d):
     L = read(s, d, "labels").withColumn("seq", F.col("doc_id"))
     a = L.where("doc_id % 9 <> 0").select("seq", F.when(F.col("seq") % 11 == 0, "needs_review").when(F.col("quality") == 1, "good").otherwise("bad").alias("result"))
     b = L.select("seq", F.when(F.col("seq") % 22 == 0, "needs_review").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good").otherwise("bad").alias("result"))
-    k = read(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("seq"), F.col("n_chars").cast("string").alias("gold"))
+    k = read(s, d, "documents").select((F.col("doc_id") + 50).alias("seq"), F.col("n_chars").cast("string").alias("gold"))
     return D.merge_labels(a, b, k)
 
 
