@@ -87,10 +87,10 @@ def classify_quality(
     about ``max_labels`` labelled rows (drawn by the hash of their key; labels that are null or contradict each other take no part). Sites: every document's evidence
     is summed by host and by (host, path); the spread between hosts and between the paths of hosts gives the strength of
     the global prior and of the hosts' priors (method of moments), so sites with few documents shrink toward their host
-    and hosts with few documents toward the global mean. A document's own evidence is left out of its site's. Posterior odds
+    and hosts with few documents toward the global mean. A document's own evidence is left out of its site's and its host's. Posterior odds
     are evidence odds times site odds over global odds; ``kept`` is posterior >= ``threshold``.
 
-    Null or empty text has features too. Null hosts or paths are sites of their own. Without labels of both classes there is no
+    Null or empty text has features too, texts of any length are read whole. Null hosts or paths are sites of their own. Without labels of both classes there is no
     evidence: all documents get the same probability (1 without labels) and are kept. Repeated rows are scored alike; an
     empty table gives an empty result. All input columns (or ``columns``) stay, except ones named like the added ones.
     """
@@ -120,23 +120,28 @@ def classify_quality(
 
     # Sums by (host, path), then by host; only the global moments reach the driver.
     e = F.col("quality_evidence")
-    sites = written(scored.groupBy("host", "path").agg(F.sum(e).alias("s"), F.count("*").alias("n")), "sites")
-    hosts = sites.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).withColumnRenamed("host", "own_host")
+    sites = written(scored.groupBy("host", "path").agg(F.sum(e).alias("s"), F.sum(e * e).alias("q"), F.count("*").alias("n")), "sites")
+    hosts = sites.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.sum("n").alias("hn")).withColumnRenamed("host", "own_host")
     total, count = (hosts.agg(F.sum("hs"), F.sum("hn")).first() or (None, None))[:2]
     mean = min(max((total or 0.0) / max(1, count or 0), 1e-6), 1 - 1e-6)
-    spread = hosts.agg(F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - mean) ** 2), F.count("*")).first()
+    inside = lambda s, q, n: F.sum(F.col(q) - F.col(s) ** 2 / F.col(n))
+    spread = hosts.agg(F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - mean) ** 2), inside("hs", "hq", "hn"), F.count("*")).first()
     both = sites.join(hosts, F.col("host").eqNullSafe(F.col("own_host"))).drop("own_host")
-    inner = both.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("hs") / F.col("hn")) ** 2), F.count("*")).first()
+    inner = both.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("hs") / F.col("hn")) ** 2), inside("s", "q", "n"), F.count("*")).first()
 
-    def strength(between: float | None, groups: int) -> float:
-        """Prior counts of a beta with this mean whose variance is what the groups vary beyond chance."""
-        variance = max((between or 0.0) / max(1, count or 0) - mean * (1 - mean) * groups / max(1, count or 0), 1e-6)
-        return min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
+    def strength(between: float | None, within: float | None, groups: int) -> float:
+        """How many documents the prior weighs: the evidence's variance inside the groups over what the groups' means vary
+        beyond it."""
+        noise = max((within or 0.0) / max(1, (count or 0) - groups), 0.0)
+        variance = max((between or 0.0) / max(1, count or 0) - noise * groups / max(1, count or 0), 1e-6)
+        return min(max(noise / variance, 1.0), 1e4)
 
     a, b = strength(*spread), strength(*inner)
-    posterior = both.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "s", "n", ((a * mean + F.col("hs")) / (a + F.col("hn"))).alias("hm"))
+    posterior = both.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "s", "n", "hs", "hn")
     joined = scored.join(posterior, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
-    site = (b * F.col("hm") + F.col("s") - e) / (b + F.col("n") - 1)
+    # A document's own evidence counts in neither its site nor its host.
+    host_mean = (a * mean + F.col("hs") - e) / (a + F.col("hn") - 1)
+    site = (b * host_mean + F.col("s") - e) / (b + F.col("n") - 1)
     site = F.greatest(F.least(site, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = lambda c: c / (1 - c)
     clipped = F.greatest(F.least(e, F.lit(1 - 1e-12)), F.lit(1e-12))

@@ -49,24 +49,26 @@ def plain_quality(docs, labels, threshold=0.5):
     train = sorted(x)
     w = fit_logistic(np.array([x[i] for i in train]), np.array([float(y[i] > 0.5) for i in train]))
     evidence = [1 / (1 + math.exp(-min(30.0, max(-30.0, float(features(d[1]) @ w[:-1] + w[-1]))))) for d in docs]
-    sites, hosts = defaultdict(lambda: [0.0, 0]), defaultdict(lambda: [0.0, 0])
+    sites, hosts, values = defaultdict(lambda: [0.0, 0]), defaultdict(lambda: [0.0, 0]), defaultdict(list)
     for d, e in zip(docs, evidence):
         for group, key in ((sites, (d[3], d[2])), (hosts, d[3])):
             group[key][0] += e
             group[key][1] += 1
+            values[key].append(e)
     n, mean = len(docs), sum(evidence) / len(docs)
 
     def strength(between, groups):
-        variance = max(between / n - mean * (1 - mean) * groups / n, 1e-6)
-        return min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
+        noise = sum(len(values[k]) * float(np.var(values[k])) for k in groups) / max(1, n - len(groups))
+        variance = max(between / n - noise * len(groups) / n, 1e-6)
+        return min(max(noise / variance, 1.0), 1e4)
 
-    a = strength(sum(m * (s / m - mean) ** 2 for s, m in hosts.values()), len(hosts))
-    b = strength(sum(m * (s / m - hosts[h][0] / hosts[h][1]) ** 2 for (h, _), (s, m) in sites.items()), len(sites))
+    a = strength(sum(m * (s / m - mean) ** 2 for s, m in hosts.values()), hosts)
+    b = strength(sum(m * (s / m - hosts[h][0] / hosts[h][1]) ** 2 for (h, _), (s, m) in sites.items()), sites)
     out = []
     for d, e in zip(docs, evidence):
         hs, hn = hosts[d[3]]
         s, m = sites[d[3], d[2]]
-        site = (b * (a * mean + hs) / (a + hn) + s - e) / (b + m - 1)
+        site = (b * (a * mean + hs - e) / (a + hn - 1) + s - e) / (b + m - 1)
         site = min(max(site, 1e-6), 1 - 1e-6)
         e = min(max(e, 1e-12), 1 - 1e-12)
         o = e / (1 - e) * site / (1 - site) / (mean / (1 - mean))
@@ -313,3 +315,11 @@ def test_stages_take_empty_tables_nulls_and_further_columns(spark):
             if name != "best_fit_packing":
                 assert out.columns == list(corpus_pipeline.COLUMNS)
             assert out.count() <= 6 if name != "jaccard_join" else out.count() <= 3
+
+
+def test_a_host_with_one_document_is_the_prior_alone(spark):
+    rows = [(i, f"word{i % 7} and the other words of text {i}" * 3, "en", f"h{i % 4}") for i in range(80)] + [(900, "!!! ### junk 123", "xx", "alone"), (901, "the good words of a text", "yy", "alone too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    site = {r.doc_id: r.quality_site for r in classify_quality(df, labels).collect()}
+    assert site[900] == pytest.approx(site[901], abs=1e-9)
