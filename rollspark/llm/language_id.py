@@ -7,6 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from .common import crc_mod
 
 BUCKETS = 1 << 14
 SLICES = 16
+LOTS = 256
 
 
 @lru_cache(1)
@@ -44,7 +46,10 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, slice, counts (little-endian 64-bit): the n-gram counts of all texts of each language."""
+    """lang, slice, counts (little-endian 64-bit): the n-gram counts of all texts of each language.
+
+    Tasks' sums are added in ``LOTS`` lots before they meet, so no group holds a row of every task.
+    """
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -54,7 +59,8 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 own += np.bincount(grams(t), minlength=BUCKETS)
         for name, own in sums.items():
             cut = [x.tobytes() for x in np.split(own, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], ["lang", "slice", "counts"])
+            lot = TaskContext.get().partitionId() % LOTS
+            yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary()), pa.array([lot] * SLICES, pa.int32())], ["lang", "slice", "counts", "lot"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS // SLICES, np.int64)
@@ -63,7 +69,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "slice": frame["slice"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "lang string, slice int, counts binary"
-    return docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).mapInArrow(count, schema).groupBy("lang", "slice").applyInPandas(add, schema)
+    return docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).mapInArrow(count, f"{schema}, lot int").groupBy("lang", "slice", "lot").applyInPandas(add, schema).groupBy("lang", "slice").applyInPandas(add, schema)
 
 
 def mixture(counts: np.ndarray, loglik: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
@@ -112,8 +118,9 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     N-gram models are learned from all documents with text and language whose crc32 of the key as text modulo ``of`` is not
     ``held``; predictions use the whole text alone. Text that is null or has no letter: ``und``, score 0. If nothing was
-    learned, all are ``und``. Repeated rows are predicted alike; an empty table gives an empty result. The models that
-    reach the driver hold a fixed number of counts a language.
+    learned, all are ``und``. Ties between languages go to the first by name. Texts of any length are read whole; repeated rows
+    are predicted alike; other columns take no part; an empty table gives an empty result. The models that reach the driver and the tasks
+    hold 128 KB a language; ``lang`` is taken to name languages, so their number does not grow with the rows.
     """
     out = crc_mod(key, of) == held
     learned = count_grams(docs.where(~out), text, lang).collect()
