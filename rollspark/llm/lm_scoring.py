@@ -107,12 +107,13 @@ def score_documents(
     hidden: int = 16,
     start_one_in: int = 16,
     rows_per_block: int = 4000,
+    bytes_per_block: int = 32 << 20,
     rows_per_part: int = 8000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole document.
 
-    Learned from documents whose crc32 of the key as text modulo ``of`` is not ``held``. Texts are dealt to blocks by their
-    hashes and written once, equal texts as one that counts as often as it is learned from. Word counts cover all of them:
+    Learned from documents whose crc32 of the key as text modulo ``of`` is not ``held``. Texts are dealt to blocks (of about
+    ``rows_per_block`` rows or ``bytes_per_block`` bytes, whichever are more blocks) by their hashes and written once, equal texts as one that counts as often as it is learned from. Word counts cover all of them:
     each block sends its distinct words to their parts, which answer with global counts.
 
     The model: P(word) is P(class | state) * P(word | class, state), both softmaxes of the recurrent network, for the end and
@@ -129,8 +130,8 @@ def score_documents(
     spark = docs.sparkSession
     shape = gru.Shape(classes, width, shapes, hidden)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (crc_mod(key, of) == held).alias("held")).withColumn("h", F.xxhash64("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum((~F.col("held")).cast("long")).alias("train")).first()
-    parts, count_blocks = max(64, size["n"] // rows_per_part), max(8, size["n"] // rows_per_block)
+    size = rows.agg(F.count("*").alias("n"), F.sum((~F.col("held")).cast("long")).alias("train"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts, count_blocks = max(64, size["n"] // rows_per_part), max(8, size["n"] // rows_per_block, (size["bytes"] or 0) // bytes_per_block)
     ends = size["train"] or 0
     blocks = text_blocks(rows.select("h", "text", (~F.col("held")).cast("long").alias("m")), count_blocks)
 
