@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, written
+from .merkle import ranked
 from .perfect_hash import SlotTable
 
 NODE = "d1 long, d2 long, p1 long, p2 long, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
@@ -18,7 +19,8 @@ ID_BITS = 7
 
 
 def ordered_turns(convs: DataFrame) -> DataFrame:
-    """c, pos (from 0), t1, t2 (128 bits of role and text), words: the turns in order; texts are left behind at the scan."""
+    """c, pos (from 0), own (turns of c), t1, t2 (128 bits of role and text), words: the turns in order; texts are left behind
+    at the scan. A conversation with a third of all turns is ordered by ranges, as any other (``ranked``)."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     turns = convs.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("c"),
@@ -27,40 +29,46 @@ def ordered_turns(convs: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(2), role, text).alias("t2"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
-    order = Window.partitionBy("c").orderBy(F.col("turn").asc_nulls_first(), "t1", "t2")
-    return turns.select("c", (F.row_number().over(order) - 1).alias("pos"), "t1", "t2", "words")
+    return ranked(written(turns, "turn-hashes"), "c", ["turn", "t1", "t2"]).select("c", F.col("rank").alias("pos"), F.col("n").alias("own"), "t1", "t2", "words")
 
 
-def rebuilt_turns(turns: DataFrame, span: int = 20, heads: int = 4) -> DataFrame:
-    """c, part, pos, t1, t2, words: the first h turns of conversation c - c % span, then c's own after its first h.
+def rebuilt_turns(turns: DataFrame, span: int = 20, heads: int = 4, chunk: int = 4096) -> DataFrame:
+    """c, d, n, chunk, t1, t2, words: the first h turns of conversation c - c % span, then c's own after its first h.
 
-    h = crc32(decimal c) % heads. A row of part -1 without a turn stands for the conversation itself.
+    h = crc32(decimal c) % heads; d counts the n rebuilt turns from 1. A row with d = 0 stands for the conversation itself. Long
+    conversations go in chunks of their own turns, and what is joined to them once per chunk.
     """
     share = F.crc32(F.col("c").cast("string").cast("binary")) % heads
-    firsts = turns.where("pos = 0").select("c", (F.col("c") - F.col("c") % span).alias("b"), share.alias("h"))
-    bases = turns.where((F.col("c") % span == 0) & (F.col("pos") < heads - 1)).withColumnRenamed("c", "b")
-    lent = firsts.where("h > 0").join(bases, "b").where("pos < h").select("c", F.lit(0).alias("part"), "pos", "t1", "t2", "words")
-    own = turns.where(F.col("pos") >= share).select("c", F.lit(1).alias("part"), "pos", "t1", "t2", "words")
-    none = F.lit(0).cast("long")
-    start = firsts.select("c", F.lit(-1).alias("part"), F.lit(0).alias("pos"), none.alias("t1"), none.alias("t2"), none.alias("words"))
-    return start.unionByName(lent).unionByName(own)
+    firsts = turns.where("pos = 0").select("c", (F.col("c") - F.col("c") % span).alias("b"), share.alias("h"), "own")
+    lenders = turns.where((F.col("c") % span == 0) & (F.col("pos") < heads - 1)).select(F.col("c").alias("b"), "pos", "t1", "t2", "words")
+    sizes = lenders.groupBy("b").agg(F.count("*").alias("has"))
+    convs = firsts.join(sizes, "b", "left").withColumn("lent", F.least("h", F.coalesce("has", F.lit(0))))
+    convs = convs.select("c", "b", "h", "own", "lent", (F.col("lent") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n"))
+    zero, first = F.lit(0).cast("long"), F.lit(0).cast("long").alias("chunk")
+    start = convs.select("c", zero.alias("d"), "n", first, zero.alias("t1"), zero.alias("t2"), zero.alias("words"))
+    lent = convs.where("lent > 0").join(lenders, "b").where("pos < lent").select("c", (F.col("pos") + 1).alias("d"), "n", first, "t1", "t2", "words")
+    spread = convs.select("c", "h", "lent", "n", F.explode(F.expr(f"sequence(0L, own div {chunk})")).alias("chunk"))
+    rest = turns.withColumn("chunk", F.expr(f"pos div {chunk}")).join(spread, ["c", "chunk"]).where("pos >= h")
+    rest = rest.select("c", (F.col("pos") - F.col("h") + F.col("lent") + 1).alias("d"), "n", "chunk", "t1", "t2", "words")
+    return start.unionByName(lent).unionByName(rest)
 
 
 def prefix_digests(rows: DataFrame) -> DataFrame:
     """c, d, n, d1, d2, p1, p2, t1, t2, words: each prefix with its digest, its parent's digest and the turns n of c.
 
-    A digest is the exclusive or of the turns' hashes, keyed by position: a running aggregate, so a long conversation
-    streams through its task.
+    A digest is the exclusive or of the turns' hashes, keyed by position: a running aggregate within a chunk, to which the
+    earlier chunks of a long conversation are added.
     """
-    order = Window.partitionBy("c").orderBy("part", "pos")
-    numbered = rows.withColumn("d", (F.row_number().over(order) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("c")) - 1)
-    none = F.lit(0).cast("long")
-    for i in (1, 2):
-        numbered = numbered.withColumn(f"x{i}", F.when(F.col("d") > 0, F.xxhash64(F.lit(i), "d", "t1", "t2")).otherwise(none))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    for i in (1, 2):
-        numbered = numbered.withColumn(f"d{i}", F.bit_xor(f"x{i}").over(so_far))
-    return numbered.select("c", "d", "n", "d1", "d2", *(F.col(f"d{i}").bitwiseXOR(F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2)), "t1", "t2", "words")
+    zero = F.lit(0).cast("long")
+    keyed = rows.withColumns({f"x{i}": F.when(F.col("d") > 0, F.xxhash64(F.lit(i), "d", "t1", "t2")).otherwise(zero) for i in (1, 2)})
+    long_ = keyed.where("chunk > 0").select("c").distinct()
+    sums = keyed.join(long_, "c", "left_semi").groupBy("c", "chunk").agg(*(F.bit_xor(f"x{i}").alias(f"b{i}") for i in (1, 2)))
+    earlier = Window.partitionBy("c").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("c", "chunk", *(F.bit_xor(f"b{i}").over(earlier).alias(f"b{i}") for i in (1, 2)))
+    inside = Window.partitionBy("c", "chunk").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    found = keyed.withColumns({f"d{i}": F.bit_xor(f"x{i}").over(inside) for i in (1, 2)}).join(sums, ["c", "chunk"], "left")
+    found = found.withColumns({f"d{i}": F.col(f"d{i}").bitwiseXOR(F.coalesce(F.col(f"b{i}"), zero)) for i in (1, 2)})
+    return found.select("c", "d", "n", "d1", "d2", *(F.col(f"d{i}").bitwiseXOR(F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2)), "t1", "t2", "words")
 
 
 def distinct_nodes(paths: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def accumulate(shard: pa.Table) -> pa.Table:
     )
 
 
-def prefix_trie(convs: DataFrame, span: int = 20, heads: int = 4, subtree: int = 65_536, least_shards: int = 64, factor: int = 16, broadcast_rows: int = 100_000) -> DataFrame:
+def prefix_trie(convs: DataFrame, span: int = 20, heads: int = 4, subtree: int = 65_536, least_shards: int = 64, factor: int = 16, broadcast_rows: int = 100_000, chunk: int = 4096) -> DataFrame:
     """The nodes of the trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256.
 
@@ -172,7 +180,8 @@ def prefix_trie(convs: DataFrame, span: int = 20, heads: int = 4, subtree: int =
     """
     spark = convs.sparkSession
     turns = written(ordered_turns(convs), "turns")
-    paths = written(prefix_digests(rebuilt_turns(turns, span, heads)), "paths")
+    rebuilt = written(rebuilt_turns(turns, span, heads, chunk), "rebuilt")
+    paths = written(prefix_digests(rebuilt), "paths")
     nodes = written(distinct_nodes(paths), "nodes")
     n_nodes, total = nodes.agg(F.count("*"), F.max("weight")).first()
     limit = min(subtree, max(256, (total or 0) // least_shards))

@@ -89,7 +89,7 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("given", [{}, {"subtree": 16, "factor": 3, "least_shards": 1000}, {"subtree": 40, "least_shards": 1000, "broadcast_rows": 0}])
+@pytest.mark.parametrize("given", [{}, {"subtree": 16, "factor": 3, "least_shards": 1000}, {"subtree": 40, "least_shards": 1000, "broadcast_rows": 0, "chunk": 7}])
 def test_prefix_trie(spark, given):
     rows = conversations()
     df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], CONVS)
