@@ -112,7 +112,7 @@ def large_docs(s, d):
 
 
 #: Small ranges, so that each of the documents is read by several tasks.
-RANGE = 16 << 10
+RANGE = 64 << 10
 
 
 @query("s03_flatten_large", f"WITH {EVA} SELECT arm, 'd' || (problem_id % 3) AS dataset, problem_id::VARCHAR AS problem_id, 'purchase' AS gold, rollout_idx, reward, pred, finish_reason AS completion FROM ev")
