@@ -41,4 +41,4 @@ def test_repeated_and_null_keys_are_decided_by_text(spark):
 def test_entry_has_the_corpus_queries():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} == {"_".join(q.split("_")[:1]) + "_" for q in e.queries() if q.startswith("op")} and "pipeline" in e.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {"_".join(q.split("_")[:1]) + "_" for q in e.queries() if q.startswith("op")} and "pipeline" in e.queries()
