@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from rollspark.llm import queries
 from rollspark.llm.language_id import BUCKETS, grams, identify_languages
 from rollspark.llm.quality_classifier import classify_quality, fit_logistic, text_features
-from rollspark.llm.quality_rules import COMMON, LIST, quality_rules
+from rollspark.llm.quality_rules import common_words, quality_rules
 from rollspark.llm.secrets import BASE, MORE
 
 DIR = "/root/testdata/sf0.001"
@@ -103,14 +103,14 @@ def base_counts(t):
     return w, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(again)
 
 
-def histograms(t, words):
+def histograms(t, words, listed):
     t, chars = t or "", []
     for kind in (r"[\p{Ll}\p{Lo}\p{M}\p{N}]+", r"[ \t\n\x0B\f\r]+", r"\p{Lu}+", r"""[.,;:'"?()\-]+""", r"[#*$%&|<>!]+"):
         less = regex.sub(kind, "", t)
         chars.append(len(t) - len(less))
         t = less
-    listed = Counter(w for w in words if w in LIST)
-    return [*chars, len(t)], [*(listed[w] for w in LIST), len(words) - sum(listed.values())]
+    found = Counter(w for w in words if w in listed)
+    return [*chars, len(t)], [*(found[w] for w in listed), len(words) - sum(found.values())]
 
 
 def distance(counts, shares):
@@ -123,50 +123,97 @@ def distance(counts, shares):
     return math.sqrt(max(0.0, total))
 
 
-def plain_rules(docs):
-    """(char distance, word distance, kept) of each (doc_id, text, lang, ...)."""
+def plain_rules(docs, common):
+    """(char distance, word distance, kept) of each (doc_id, text, lang, ...), given each language's words."""
+    every = common[None]
+    known = lambda lang: lang if lang in common else None
+    own = lambda k: [w for w in common[k] if w not in every]
     rows = []
     for d in docs:
         words, chars, symbols, again = base_counts(d[1])
         failed = len(words) < 50 or 100 * again > 50 * len(words)
-        rows.append((d[2], len(words), failed, not failed and 50 * symbols < chars, *histograms(d[1], words)))
-    known = lambda lang: lang if lang in COMMON else ""
+        k = known(d[2])
+        rows.append((k, len(words), failed, not failed and 50 * symbols < chars, *histograms(d[1], words, every + own(k))))
+    clean = list({(r[0], d[1]): r for r, d in zip(rows, docs) if r[3]}.values())
 
     def shares_of(chosen, k):
         sums = {}
         for r in chosen:
-            for name in (known(r[0]), "*"):
-                sums[name] = [a + b for a, b in zip(sums.get(name, [0] * len(r[k])), r[k])]
-        return {n: [x / (sum(v) or 1) for x in v] for n, v in sums.items() if n == "*" or sum(v)}
+            # The pool of all knows no language's own words.
+            pooled = r[k] if k == 4 else [*r[k][: len(every)], sum(r[k][len(every) :])]
+            for name, v in ((r[0] or "", r[k]), (None, pooled)):
+                sums[name] = [a + b for a, b in zip(sums.get(name, [0] * len(v)), v)]
+        return {n: [x / (sum(v) or 1) for x in v] for n, v in sums.items() if n != ""}
 
     def held(r, shares, k):
-        return distance(r[k], shares[r[0] if r[0] in COMMON and r[0] in shares else "*"])
+        if r[0] in shares:
+            return distance(r[k], shares[r[0]])
+        return distance(r[k] if k == 4 else [*r[k][: len(every)], sum(r[k][len(every) :])], shares[None])
 
-    distinct = {(known(r[0]), d[1]): r for r, d in zip(rows, docs) if r[3]}
-    clean = list(distinct.values())
     first = shares_of(clean, 4)
     away = defaultdict(list)
     for r in clean:
-        away[known(r[0])].append(held(r, first, 4))
+        away[r[0]].append(held(r, first, 4))
     median = {k: sorted(v)[math.ceil(len(v) / 2) - 1] for k, v in away.items()}
-    near = [r for r in clean if held(r, first, 4) <= median[known(r[0])]]
+    near = [r for r in clean if held(r, first, 4) <= median[r[0]]]
     chars, words = shares_of(near, 4), shares_of(near, 5)
     out = []
     for r in rows:
         c, w = held(r, chars, 4), held(r, words, 5)
-        odd = (c > 0.13 and sum(r[4]) >= 200) or (w > 0.50 and r[1] >= 100)
+        odd = (c > 0.13 and sum(r[4]) >= 200) or (w > 0.40 and r[1] >= 100)
         out.append((c, w, not r[2] and not odd))
     return out
 
 
+def test_common_words_are_those_of_most_texts(spark, tables):
+    """By exact counts over distinct texts, no word left out is held by clearly more texts than one taken."""
+    docs, _ = tables
+    copies = [(10**6 + i, "strangeword " * 60, "en", "s", 1) for i in range(300)]
+    found = common_words(spark.createDataFrame([d[:3] for d in docs + copies], "doc_id long, text string, lang string"), min_texts=10)
+    assert set(found) == {"en", "de", "fr", "es", None} and all(len(set(v)) == 12 for v in found.values())
+    held = defaultdict(Counter)
+    for lang, t in {(d[2], d[1]) for d in docs + copies}:
+        held[lang].update({w for w in WORD.findall(t) if regex.fullmatch(r"\p{L}[\p{L}\p{M}'\-]*", w)})
+        held[None].update({w for w in WORD.findall(t) if regex.fullmatch(r"\p{L}[\p{L}\p{M}'\-]*", w)})
+    for lang in ("en", "de", "fr", "es"):
+        left = max(n for w, n in held[lang].items() if w not in found[lang])
+        assert min(held[lang][w] for w in found[lang]) >= 0.7 * left and "strangeword" not in found[lang]
+
+
 def test_rules_against_plain_python(spark, tables):
     docs, _ = tables
-    want = {d[0]: r for d, r in zip(docs, plain_rules(docs))}
-    got = quality_rules(spark.read.parquet(f"{DIR}/documents.parquet")).collect()
-    for r in got:
-        c, w, kept = want[r.doc_id]
-        assert r.char_distance == pytest.approx(c, abs=1e-9) and r.word_distance == pytest.approx(w, abs=1e-9) and r.kept == kept
-    assert len(got) == len(docs)
+    # Languages: rare, missing, without a clean text, and one whose words need quotes.
+    rng = np.random.default_rng(21)
+    quoted = ["d'abord", "l'eau", "n'est", "qu'un", "x\\y", "mot", *(f"t{a}{b}" for a in "aeiou" for b in "bcdfg")]
+    texts = [(4000 + i, " ".join(rng.choice(quoted, 150)), "yy", "s", 1) for i in range(30)]
+    other = [(2000 + i, f"d'abord l'eau \\ n'est qu'un {'mot ' * (i % 3)} texte{i} " * 12, "xx", "s", 1) for i in range(30)]
+    more = [(3000, docs[0][1], "rare", "s", 1), (3001, docs[1][1], None, "s", 1), (3002, None, None, "s", None), (3003, "", "xx", "s", 0)]
+    for some in (docs, docs + other + texts + more):
+        df = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+        common = common_words(df)
+        assert some is docs or {"xx", "yy"} <= set(common) and "rare" not in common and any("'" in w for w in common["yy"])
+        want = {d[0]: r for d, r in zip(some, plain_rules(some, common))}
+        got = quality_rules(df).collect()
+        for r in got:
+            c, w, kept = want[r.doc_id]
+            assert r.char_distance == pytest.approx(c, abs=1e-9) and r.word_distance == pytest.approx(w, abs=1e-9) and r.kept == kept
+        assert len(got) == len(some)
+
+
+def test_a_fifth_language_has_words_of_its_own(spark, tables):
+    """A language that no list names: its texts stay, and texts of another language under its name go by their words."""
+    rng = np.random.default_rng(8)
+    docs, _ = tables
+    own = [f"{a}{b}" for a in ("ku", "na", "si", "po", "re") for b in ("mo", "la", "ti", "vu")]
+    rare = [f"{a}{b}{c}" for a in own[:12] for b in own[5:15] for c in ("n", "s", "")]
+    text = lambda: " ".join(rng.choice(own if rng.random() < 0.6 else rare) for _ in range(300)) + "."
+    rows = [(5000 + i, text(), "fifth") for i in range(60)]
+    wrong = [(6000 + i, " ".join(rng.choice(rare, 300)), "fifth") for i in range(3)]
+    df = spark.createDataFrame([d[:3] for d in docs] + rows + wrong, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    assert set(common_words(df)["fifth"]) <= set(own)
+    assert all(got[r[0]].kept for r in rows if not got[r[0]].base_failed) and any(not got[r[0]].base_failed for r in rows)
+    assert all(got[w[0]].word_distance > max(got[r[0]].word_distance for r in rows) and not got[w[0]].kept for w in wrong)
 
 
 # --- language identification ---
@@ -288,7 +335,8 @@ def plain_masked(t):
 def test_pipeline_against_plain_python(spark, tables):
     docs, labels = tables
     left = [d for d, (_, kept) in zip(docs, plain_quality(docs, labels)) if kept]
-    left = [d for d, (_, _, kept) in zip(left, plain_rules(left)) if kept]
+    common = common_words(spark.createDataFrame(left, "doc_id long, text string, lang string, source string, n_chars long"))
+    left = [d for d, (_, _, kept) in zip(left, plain_rules(left, common)) if kept]
     left = plain_firsts(left)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d[0]: [*tokenizer.encode(plain_masked(d[1]), add_special_tokens=False).ids, 0] for d in left}
