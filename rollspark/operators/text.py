@@ -40,30 +40,32 @@ def ngrams(R: DataFrame, text: str, n: int, keys=("problem_id", "rollout_idx"))
     return tokenized(R, text, keys).select(*keys, F.explode(grams_of(n)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("c"))
 
 
-def self_bleu(R: DataFrame, text: str, max_n: int = 4, max_rollouts: int = 16) -> DataFrame:
+def self_bleu(R: DataFrame, text: str, max_n: int = 4, max_rollouts: int | None = None) -> DataFrame:
     """Mean BLEU of each rollout against the problem's others: problem_id, n_rollouts, self_bleu.
 
-    A gram's best count among the others is the problem's largest, or the runner-up if the largest is the rollout's own and
-    alone; so the work is linear in grams. A rollout with fewer than ``max_n`` tokens scores 0.
+    A gram's best count among the others is the problem's largest, or the runner-up if the largest is the rollout's own; so the
+    work is linear in grams. Grams move once, as 64-bit hashes, and nothing gathers a problem's rollouts: windows find the best
+    counts and the nearest lengths, so a problem may have any number of rollouts (``max_rollouts`` keeps those with smaller
+    indices). A rollout with fewer than ``max_n`` tokens scores 0.
     """
-    T = tokenized(R.where(F.col("rollout_idx") < max_rollouts), text)
-    # Grams of all sizes come from one projection; a gram of n tokens is told by n besides its text.
-    sized = F.transform(F.array(*[F.struct(F.lit(n).alias("n"), grams_of(n).alias("g")) for n in range(1, max_n + 1)]), lambda x: F.transform(x["g"], lambda g: F.struct(x["n"].alias("n"), g.alias("gram"))))
-    long = T.select("problem_id", "rollout_idx", F.explode(F.flatten(sized)).alias("x")).select("problem_id", "rollout_idx", "x.n", "x.gram")
-    c = long.groupBy("problem_id", "rollout_idx", "n", "gram").agg(F.count("*").alias("c"))
-    # A problem's rollouts are few (max_rollouts), so those that hold a gram are one short array.
-    held = c.groupBy("problem_id", "n", "gram").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "rollout_idx"))).alias("t"))
-    clipped = held.select("problem_id", "n", F.explode(F.transform("t", lambda x: F.struct(
-        x["rollout_idx"].alias("rollout_idx"), (-x["k"]).alias("c"),
-        F.when(x["rollout_idx"] != F.col("t")[0]["rollout_idx"], -F.col("t")[0]["k"]).when(F.size("t") > 1, -F.get("t", F.lit(1))["k"]).otherwise(F.lit(0).cast("bigint")).alias("best"),
-    ))).alias("x")).select("problem_id", "n", "x.*")
-    p = clipped.groupBy("problem_id", "rollout_idx", "n").agg(F.sum(F.least("c", "best")).alias("hit"), F.sum("c").alias("total"))
+    T = tokenized(R if max_rollouts is None else R.where(F.col("rollout_idx") < max_rollouts), text)
+    coded = T.select("problem_id", "rollout_idx", F.transform("tokens", lambda w: F.xxhash64(w)).alias("k"))
+    # Grams of all sizes come from one projection; a gram's hash tells its size as well, since it takes so many numbers.
+    sized = [F.expr(f"if(size(k) < {n}, array(), transform(sequence(0, size(k) - {n}), i -> struct({n} AS n, xxhash64({', '.join(f'k[i + {j}]' for j in range(n))}) AS gram)))") for n in range(1, max_n + 1)]
+    long = coded.select("problem_id", "rollout_idx", F.explode(F.concat(*sized)).alias("x")).select("problem_id", "rollout_idx", "x.n", "x.gram")
+    # One exchange serves the counts and the window.
+    c = long.repartition("problem_id", "n", "gram").groupBy("problem_id", "n", "gram", "rollout_idx").agg(F.count("*").alias("c"))
+    ranked = Window.partitionBy("problem_id", "n", "gram").orderBy(F.desc("c"), "rollout_idx")
+    clipped = c.select("problem_id", "rollout_idx", "n", "c", F.row_number().over(ranked).alias("at"), F.first("c").over(ranked).alias("most"), F.lead("c", 1, 0).over(ranked).alias("next"))
+    best = F.when(F.col("at") == 1, F.col("next")).otherwise(F.col("most"))
+    p = clipped.groupBy("problem_id", "rollout_idx", "n").agg(F.sum(F.least("c", best)).alias("hit"), F.sum("c").alias("total"))
     logs = p.groupBy("problem_id", "rollout_idx").agg(F.count("*").alias("orders"), F.avg(F.log((F.col("hit") + 1e-9) / F.col("total"))).alias("lp"))
-    lengths = T.groupBy("problem_id").agg(F.collect_list(F.struct("rollout_idx", F.size("tokens").alias("len"))).alias("all")).where(F.size("all") > 1)
-    each = lengths.select("problem_id", "all", F.explode("all").alias("own")).select("problem_id", "all", "own.*")
-    nearest = F.array_min(F.transform(F.filter("all", lambda o: o["rollout_idx"] != F.col("rollout_idx")), lambda o: F.struct(F.abs(o["len"] - F.col("len")).alias("away"), o["len"].alias("olen"))))
-    near = each.withColumn("c", nearest).drop("all")
-    bp = F.when(F.col("len") > F.col("c.olen"), 1.0).otherwise(F.exp(1 - F.col("c.olen") / F.greatest("len", F.lit(1))))
+    # The nearest length stands beside the own in the order of lengths.
+    in_order = Window.partitionBy("problem_id").orderBy("len", "rollout_idx")
+    lengths = T.select("problem_id", "rollout_idx", F.size("tokens").alias("len"))
+    near = lengths.select("*", F.lag("len").over(in_order).alias("under"), F.lead("len").over(in_order).alias("over")).where("under is not null or over is not null")
+    olen = F.when(F.col("over").isNull() | (F.col("len") - F.col("under") <= F.col("over") - F.col("len")), F.col("under")).otherwise(F.col("over"))
+    bp = F.when(F.col("len") > olen, 1.0).otherwise(F.exp(1 - olen / F.greatest("len", F.lit(1))))
     s = near.join(logs, ["problem_id", "rollout_idx"], "left").withColumn("bleu", F.when(F.coalesce("orders", F.lit(0)) == max_n, bp * F.exp("lp")).otherwise(0.0))
     return s.groupBy("problem_id").agg(F.count("*").alias("n_rollouts"), F.avg("bleu").alias("self_bleu"))
 

@@ -273,6 +273,19 @@ def test_self_bleu(spark):
     texts = ["the cat sat on the mat today", "the cat sat on a mat today ok", "a dog ran off with the cat", "hi"]
     R = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "problem_id long, rollout_idx int, text string")
     assert N.self_bleu(R, "text").first().self_bleu == pytest.approx(brute_bleu(texts))
+    alone = R.where("rollout_idx = 0")
+    assert N.self_bleu(alone, "text").count() == 0  # nothing to compare with
+
+
+def test_self_bleu_of_many_rollouts(spark):
+    words = "the a cat dog sat ran on off mat log".split()
+    pick = random.Random(3)
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randint(1, 14))) for _ in range(60)]
+    texts += texts[:9]  # the same text again and again
+    R = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "problem_id long, rollout_idx int, text string").repartition(5)
+    got = N.self_bleu(R, "text").first()
+    assert (got.n_rollouts, got.self_bleu) == (69, pytest.approx(brute_bleu(texts)))
+    assert N.self_bleu(R, "text", max_rollouts=16).first().self_bleu == pytest.approx(brute_bleu(texts[:16]))
 
 
 def test_bootstrap_is_deterministic(spark):
