@@ -17,7 +17,7 @@ def shard_by_splitters(
     oversample: int = 8,
     rows_per_range: int = 50_000,
     max_ranges: int = 65_536,
-    salts: int = 256,
+    least_lots: int = 256,
 ) -> DataFrame:
     """Range-partition documents by the hash of their text so that every shard holds nearly the same bytes.
 
@@ -25,7 +25,8 @@ def shard_by_splitters(
        keys are drawn, whatever the input. 2. Quantiles of the sample are the splitters of ``ranges`` fine ranges (more
        when there are more rows than ``rows_per_range`` for each, to ``max_ranges``). 3. Exact range sizes are summed; an
        range over its share of the bytes or over ``rows_per_range`` rows (one text, or one row, may be a third of all) is
-       subdivided by the hash of the key and the row's number among its equals. 4. Ranges and pieces,
+       subdivided by the hash of the key and the row's number among its equals (counted in ``least_lots`` lots, or more so that a
+       lot of even the whole table has about ``rows_per_range`` rows). 4. Ranges and pieces,
        in order, go to shards by exact prefix sums, so equal texts stay together unless their range is overfull or a
        shard ends inside it.
 
@@ -65,7 +66,7 @@ def shard_by_splitters(
     count = F.element_at(F.lit(pieces), F.col("range") + 1).cast("long")
     counted = ranged.withColumn("pieces", count)
     whole = counted.where("pieces = 1").withColumn("piece", F.lit(0).cast("long")).drop("pieces", "row")
-    split = numbered(counted.where("pieces > 1"), ["doc_id", "h"], "row", salts)
+    split = numbered(counted.where("pieces > 1"), ["doc_id", "h"], "row", max(least_lots, n // rows_per_range))
     split = split.withColumn("piece", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h", "number"), "pieces")).drop("pieces", "number")
     dealt = whole.unionByName(split)
 

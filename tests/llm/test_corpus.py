@@ -447,6 +447,19 @@ def test_sharding(spark, hot):
     assert shard_by_splitters(empty(spark)).count() == 0
 
 
+def test_sharding_deals_equals_in_lots(spark):
+    rows = [(7, "the same row " * 8)] * 1500 + [(i, f"text {i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for given in ({"rows_per_range": 50, "least_lots": 2}, {"rows_per_range": 5000, "least_lots": 1}):
+        got = shard_by_splitters(df, **given).collect()
+        assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+        sizes = Counter()
+        for r in got:
+            sizes[r.shard] += r.size
+        assert set(sizes) == set(range(8)) and max(sizes.values()) <= 1.03 * min(sizes.values())
+        assert len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
 # --- 8: secrets ---
 
 
