@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,60 @@ def test_collapsed_groups_are_filtered(spark):
     assert all(r.advantage == 0 and not r.keep for r in A_.collect())
 
 
+def plain_scores(rows, n, m):
+    """Scores of each subset of (cluster, reward) by kind, as SQL's aggregates give them."""
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for s in itertools.combinations(range(n), m):
+        part = [rows[i] for i in s]
+        sizes = {c: sum(x == c for x, _ in part) for c, _ in part}
+        rare = [(c, r) for c, r in part if sizes[c] == min(sizes.values())]
+        rewards = [r for _, r in part if r is not None]
+        got = [r for _, r in rare if r is not None]
+        poly = None if not rewards else mean(rewards) * len({c for c in sizes if c not in (None, -1)}) / m
+        yield sum(1 << i for i in s), {"rarest": sum(got) / len(rare) if got else None, "poly": poly, "worst": min(rewards, default=None)}
+
+
+def test_subset_scores_and_marginals_with_nulls(spark):
+    rng = random.Random(3)
+    groups = [[(rng.choice([None, -1, 0, 1, 2]), rng.choice([None, 0.0, 1.0, 0.25])) for _ in range(6)] for _ in range(12)]
+    full = [(p, i, r, c, "x") for p, g in enumerate(groups) for i, (c, r) in enumerate(g)]
+    R = spark.createDataFrame(full + [(99, i, 1.0, 0, "x") for i in (0, 1, 2, 3, 5)], R_SCHEMA)
+    for kind in ("rarest", "poly", "worst"):
+        S = G.subset_score(R, kind, 6, 3)
+        want = {(p, b): f[kind] for p, g in enumerate(groups) for b, f in plain_scores(g, 6, 3)}
+        assert {(r.problem_id, r.subset): r.f for r in S.collect()} == pytest.approx(want, nan_ok=True)
+        got = {(r.problem_id, r.rollout_idx): (r.advantage, r.keep) for r in G.marginal_advantage(S, 6, 3).collect()}
+        assert len(got) == 72
+        for p in range(12):
+            fs = {b: want[p, b] for q, b in want if q == p and want[p, b] is not None}
+            for i in range(6):
+                own = [f for b, f in fs.items() if b >> i & 1]
+                keep = min(fs.values()) < max(fs.values())
+                assert got[p, i] == ((pytest.approx(np.mean(own) - np.mean(list(fs.values()))) if own else None) if keep else 0.0, keep)
+
+
+def test_subset_scores_shuffle_rollouts_only(spark):
+    # Not a row per rollout and subset: one exchange by problem, and no table of subsets in a task's memory.
+    A_ = G.marginal_advantage(G.subset_score(rollouts(spark, [[1, 0] * 4]), "rarest"))
+    plan = A_._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and plan.count("Generate explode") == 1
+
+
+def test_score_of_arrays(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def best(reward: pd.Series, pred: pd.Series) -> pd.Series:
+        calls.add(1)
+        return pd.Series([max(r) + len(set(p)) for r, p in zip(reward, pred, strict=True)])
+
+    R = rollouts(spark, [[i % 3 for i in range(8)]] * 50, preds=[["a", "b", "a", "c", "a", "b", "d", "a"]] * 50)
+    S = G.subset_score(R, G.ScoreOfArrays(best, ("reward", "pred")))
+    want = {(r.problem_id, r.subset): r.f for r in G.subset_score(R, F.max("reward") + F.count_distinct("pred")).collect()}
+    assert {(r.problem_id, r.subset): r.f for r in S.collect()} == want and len(want) == 3500
+    assert calls.value <= 16  # a call scores a batch of subsets, not one
+
+
 def test_poly_leaves_degenerate_out(spark):
     R = rollouts(spark, [[1] * 4], [[-1, 0, 1, 2]])
     f = lambda drop: G.subset_score(R, "poly", 4, 4, drop_degenerate=drop).first().f
