@@ -178,8 +178,9 @@ def semantic_bucket(c: Column) -> Column:
     )
 
 
-def latex_key(c: Column) -> Column:
-    """Key D: TeX text without spacing, units and \\left \\right, with fractions and roots in braces."""
+def latex_key(c: Column, halves: bool = True) -> Column:
+    """Key D: TeX text without spacing, units and \\left \\right, with fractions and roots in braces. With ``halves`` the one decimal
+    0.5 becomes a fraction, as the survey's special case says; without, every decimal stays one."""
     pairs = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
     s = replaced(c, pairs)
     s = bind(s, lambda s: bind(F.split(s, r"\\text\{ "), lambda units: F.when(F.size(units) == 2, units[0]).otherwise(s)))
@@ -188,7 +189,8 @@ def latex_key(c: Column) -> Column:
     s = bind(s, lambda s: bind(F.split(s, "=", -1), lambda sides: F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), sides[1]).otherwise(s)))
     s = F.replace(F.regexp_replace(s, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
     s = F.regexp_replace(F.regexp_replace(s, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    s = F.regexp_replace(s, r"^0\.5$", r"\\frac{1}{2}")
+    if halves:
+        s = F.regexp_replace(s, r"^0\.5$", r"\\frac{1}{2}")
     return F.regexp_replace(s, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
 
 

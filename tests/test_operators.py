@@ -370,6 +370,19 @@ def test_rollouts_do_not_depend_on_partitions(spark):
     assert len(seen) == 1
 
 
+def test_latex_keys_of_short_texts(spark, tmp_path):
+    import compare
+
+    from rollspark.plans import catalog
+
+    spark.range(6 * 3000).select(F.col("id").alias("doc_id"), F.expr("cast(id div 6 as int)").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.differ(catalog.queries()["x09_latex_key"](spark, str(tmp_path)), con, catalog.oracle_sql()["x09_latex_key"]) is None
+    half = spark.createDataFrame([(".5",)], "x string")
+    assert half.select(A.latex_key(F.col("x"))).first()[0] == "\\frac{1}{2}" and half.select(A.latex_key(F.col("x"), halves=False)).first()[0] == "0.5"
+
+
 def test_equivalence_closure(spark):
     R = spark.createDataFrame([(1, v) for v in (1, 3, 5, 9)] + [(2, 1)], "problem_id long, v int")
     got = {(r.problem_id, r.v): r.label for r in C.cluster_by_equivalence(R, "v", "abs(a - b) <= 2").collect()}
