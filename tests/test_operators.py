@@ -452,3 +452,17 @@ def test_exact_quantiles(spark):
     assert list(one(exact_quantiles(df, "x", qs)).values()) == pytest.approx(np.quantile(every, list(qs.values())).tolist(), abs=1e-12)
     assert one(exact_quantiles(df.where("false"), "x", qs)) == dict.fromkeys(qs)
     assert {r.g: r.c for r in with_quantiles(df.groupBy("g").agg(F.count("*").alias("n")), df, "x", {"c": 0.5}, ("g",)).collect()}["none"] is None
+
+
+def test_quantiles_of_one_group_stay_dealt_out(spark):
+    """No join by group, which would put all numbers into one task."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(10_001).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+        for by, want in (((), [(None, 9500.0)]), (("g",), [(0, 9500.0), (1, 9499.1)])):
+            got = exact_quantiles(df, "x", {"q": 0.95}, by)
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r["g"] if by else None, round(r.q, 6)) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
