@@ -76,3 +76,29 @@ def test_large_groups(spark, kind):
 
 def test_no_rows(spark):
     assert marginal_by_counting(spark.createDataFrame([], "problem_id long, rollout_idx int, cluster_id long, reward double"), "rarest", 4).count() == 0
+
+
+def test_table_function(spark):
+    """Problems of all sizes against enumeration, with many in a partition and one by one from SQL."""
+    from rollspark.operators.subset_table import scored_subsets
+
+    rng = np.random.default_rng(7)
+    groups = [[(None if c > 3 else int(c), float(r)) for c, r in zip(rng.integers(-1, 5, n), rng.normal(0, 1, n).round(2))] for n in [*range(1, 11)] * 5]
+    ids = [p * 7 - 40 for p in range(49)] + [None]
+    rows = [(ids[p], i, c, r) for p, g in enumerate(groups) for i, (c, r) in enumerate(g)]
+    R = spark.createDataFrame(rows, "problem_id long, rollout_idx int, cluster_id long, reward double").repartition(5)
+    for kind in ("rarest", "poly", "worst"):
+        want = {}
+        for p, g in enumerate(groups):
+            for s in combinations(range(len(g)), 4):
+                part = [g[i] for i in s]
+                sizes = {c: sum(x == c for x, _ in part) for c, _ in part}
+                rare = [r for c, r in part if sizes[c] == min(sizes.values())]
+                f = {"rarest": sum(rare) / len(rare), "poly": sum(r for _, r in part) / 4 * len(set(sizes) - {-1, None}) / 4, "worst": min(r for _, r in part)}[kind]
+                want[ids[p], sum(1 << i for i in s)] = f
+        found = scored_subsets(R, 4, kind, buckets=3)
+        one = spark.sql("SELECT * FROM scored_subsets(TABLE({R}) PARTITION BY problem_id, m => 4, score => {kind})", R=R, kind=kind)
+        for df in (found, one):
+            got = df.collect()
+            assert len(got) == len(want) and {(r.problem_id, r.subset): r.f for r in got} == pytest.approx(want)
+    assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString() and "pmod" in found._jdf.queryExecution().executedPlan().toString()
