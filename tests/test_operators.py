@@ -389,6 +389,29 @@ def test_equivalence_closure(spark):
     assert got == {(1, 1): 1, (1, 3): 1, (1, 5): 1, (1, 9): 9, (2, 1): 1}
 
 
+def test_equivalence_of_small_groups_needs_no_rounds(spark):
+    rng = random.Random(8)
+    groups = {p: rng.sample(range(300), n) for p, n in enumerate([1, 2, 3, 7, 20, 40, 64] * 4 + [65, 90])}
+    R = spark.createDataFrame([(p, v) for p, vs in groups.items() for v in vs * 2] + [(0, None)], "problem_id long, v int")
+    spark.udf.register("near_enough", lambda a, b: b - a in (1, 2, 50), "boolean")
+    want = {}
+    for p, vs in groups.items():
+        for v in sorted(vs):  # linked from either side, whichever way the predicate says so
+            seen, todo = {v}, [v]
+            while todo:
+                x = todo.pop()
+                todo += (new := {y for y in vs if abs(y - x) in (1, 2, 50)} - seen)
+                seen |= new
+            want[p, v] = min(seen)
+    for equal, small in (("b - a in (1, 2, 50)", True), ("near_enough(a, b)", False)):
+        rounds = []
+        got = C.cluster_by_equivalence(R.where("problem_id < 28") if small else R, "v", equal, rounds=rounds).where("v is not null").collect()
+        assert {(r.problem_id, r.v): r.label for r in got} == {k: x for k, x in want.items() if not small or k[0] < 28}
+        assert (len(rounds) > 0) == (not small)
+    got = C.cluster_by_equivalence(R, "v", "b - a in (1, 2, 50)").where("v is not null").collect()
+    assert {(r.problem_id, r.v): r.label for r in got} == want
+
+
 def test_closure_of_a_long_chain(spark):
     # In the order of the keys, and in none: 1009 and 3001 have no common factor with 10 000.
     for step in (1, 3001):
