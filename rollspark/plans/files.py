@@ -10,7 +10,7 @@ from rollspark.operators.metrics import pass_at_k
 from rollspark.operators.sampling import split_overlap
 from rollspark.sources import evaldoc as E
 from rollspark.sources import files as S
-from rollspark.sources.scratch import shared_path
+from rollspark.sources.scratch import cut, shared_path
 from rollspark.streaming import steps as Z
 from rollspark.tables import EV, EVA, MANIFEST, ev, manifest, read
 
@@ -92,6 +92,7 @@ def large_docs(s, d):
     R = ev(s, d, True).withColumns({"doc": F.concat("arm", F.lit("-"), F.expr("problem_id div 40")), "dataset": F.concat(F.lit("d"), F.col("problem_id") % 3)})
     keys = ["doc", "arm", "dataset"]
     g = R.groupBy(*keys, "problem_id").agg(F.array_sort(F.collect_list(F.struct("rollout_idx", "reward", "pred", "finish_reason"))).alias("r"), F.count_if(F.col("reward") > 0.5).alias("c"))
+    g = cut(g, "prompts")  # read for heads, lists, records and ends
     got = lambda c: F.transform("r", lambda x: x[c])
     heavy = F.transform("r", lambda x: F.array(F.create_map(x["rollout_idx"].cast("string"), x["reward"] - 1.5)))
     prompt = F.concat(F.lit('a "problem_id": in a text, {[ "'), F.lit("\\"), F.lit('" per_prompt'))

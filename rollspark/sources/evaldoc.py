@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import _parse_datatype_string
 
+from rollspark.sources.scratch import shared_path
+
 TOP = "label string, ckpt_path string, n_rollouts int"
 SECTION = f"path string, at long, {TOP}, dataset string, n_prompts long, pass_at_k map<string, double>, mean_reward_at_1 double"
 RECORD = f"{TOP}, dataset string, problem_id string, ground_truth string, n_correct long, rewards array<double>, preds array<string>, rollouts array<string>"
@@ -275,8 +277,34 @@ class Range(InputPartition):
     sections: list | None = None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, a range after the other."""
+
+    parts: list
+
+
+#: A source is read by so many tasks at most, or by as many more as keep a task's ranges under ``TASK_BYTES``.
+TASKS, TASK_BYTES = 512, 64 << 20
+
+
+def dealt(ranges: list[Range]) -> list[Ranges]:
+    """Consecutive ranges for each task, so that their number follows the bytes only beyond ``TASKS`` tasks."""
+    size = [r.hi - r.lo for r in ranges]
+    target = min(-(-sum(size) // TASKS), TASK_BYTES)
+    out, held = [], target
+    for r, n in zip(ranges, size, strict=True):
+        if held >= target:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(r)
+        held += n
+    return out
+
+
 class EvalDocuments(DataSource):
-    """``eval_document``: rows of one kind (option ``part``: sections, headers or records) of the ``files`` given as JSON."""
+    """``eval_document``: rows of one kind (option ``part``: sections, headers or records) of the files that the JSON file ``manifest``
+    lists. Options travel with every task, so the list is no option."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,16 +324,20 @@ class EvalReader(DataSourceReader):
     def partitions(self):
         step = int(self.options["range_bytes"])
         out = []
-        for f in json.loads(self.options["files"]):
+        with opened(self.options["manifest"])[0] as stream:
+            files = json.loads(stream.read())
+        for f in files:
             if self.options["part"] == "headers":
                 out.append(Range(f["path"], 0, 1))
             else:
                 out += [Range(f["path"], lo, min(lo + step, f["size"]), f.get("top"), f.get("sections")) for lo in range(0, f["size"], step)]
-        return out or [Range("", 0, 0)]
+        return dealt(out) or [Ranges([])]
 
-    def read(self, part: Range):
-        if not part.path:
-            return
+    def read(self, task: Ranges):
+        for part in task.parts:
+            yield from self.read_range(part)
+
+    def read_range(self, part: Range):
         if self.options["part"] != "records":
             for top, s in sections_in(part.path, part.lo, part.hi, self.options["part"] == "headers"):
                 head = s.head
@@ -336,7 +368,13 @@ def _files(spark: SparkSession, path: str) -> list[dict]:
 
 def _load(spark: SparkSession, part: str, files: list[dict], range_bytes: int, schema: str | None = None) -> DataFrame:
     spark.dataSource.register(EvalDocuments)
-    reader = spark.read.format("eval_document").options(part=part, files=json.dumps(files), range_bytes=str(range_bytes))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(shared_path(spark, "manifest"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(at)
+    stream.write(json.dumps(files).encode())
+    stream.close()
+    reader = spark.read.format("eval_document").options(part=part, manifest=fs.makeQualified(at).toString(), range_bytes=str(range_bytes))
     return (reader.schema(_parse_datatype_string(schema)) if schema else reader).load()
 
 

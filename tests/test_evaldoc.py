@@ -102,3 +102,21 @@ def test_what_is_no_document_fails(tmp_path):
     path.write_text('{"datasets": {"d": {"per_prompt": [{"problem_id": "1", "x": {"problem_id": 2}}, 7]}}}')
     with pytest.raises(ValueError):
         list(E.records_in(str(path), 0, 10_000, {"problem_id"}))
+
+
+def test_small_ranges_share_tasks(spark):
+    few = [E.Range("a", lo, lo + 10) for lo in range(0, 1000, 10)]
+    assert [t.parts for t in E.dealt(few)] == [[r] for r in few] and E.dealt([]) == []
+    many = [E.Range(f"f{i % 7}", 0, 1 + i % 50) for i in range(50_000)]
+    tasks = E.dealt(many)
+    assert [r for t in tasks for r in t.parts] == many and len(tasks) <= E.TASKS
+    large = [E.Range("b", lo << 20, (lo + 128) << 20) for lo in range(0, 128 * 1000, 128)]
+    assert len(E.dealt(large)) == 1000
+
+
+def test_tasks_do_not_carry_the_list_of_files(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.json").write_text('{"label": "x", "datasets": {"d": {"n_prompts": 1, "per_prompt": [{"problem_id": "p%d", "n_correct": 1}]}}}' % i)
+    df = E.read_eval_document(spark, f"{tmp_path}/*.json", ("problem_id",), range_bytes=16)
+    assert sorted(r.problem_id for r in df.collect()) == sorted(f"p{i}" for i in range(30))
+    assert "29.json" not in df._jdf.queryExecution().analyzed().toString() and df.rdd.getNumPartitions() <= E.TASKS
