@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollspark.operators.order import with_quantiles
@@ -22,6 +22,15 @@ MARKERS = {
 }
 
 
+#: Characters of text whose grams are a task's share: four times as many grams at most, some 0.8 of that number in prose.
+CHARS_PER_TASK = 1_000_000
+
+
+def tasks_for(spark: SparkSession, amount: int | None, each: int) -> int:
+    """Tasks with a share of about ``each``, at least one per core: the shares stay as they are when the input grows."""
+    return max(spark.sparkContext.defaultParallelism, (amount or 0) // each + 1)
+
+
 def tokens(col: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
@@ -46,15 +55,18 @@ def self_bleu(R: DataFrame, text: str, max_n: int = 4, max_rollouts: int | None
     A gram's best count among the others is the problem's largest, or the runner-up if the largest is the rollout's own; so the
     work is linear in grams. Grams move once, as 64-bit hashes, and nothing gathers a problem's rollouts: windows find the best
     counts and the nearest lengths, so a problem may have any number of rollouts (``max_rollouts`` keeps those with smaller
-    indices). A rollout with fewer than ``max_n`` tokens scores 0.
+    indices). A rollout with fewer than ``max_n`` tokens scores 0. The texts' length, a job that runs at once, sets the number of
+    tasks: texts are dealt out before their grams are made, and grams by their hashes, so no task has more of a larger table.
     """
-    T = tokenized(R if max_rollouts is None else R.where(F.col("rollout_idx") < max_rollouts), text)
+    R = R if max_rollouts is None else R.where(F.col("rollout_idx") < max_rollouts)
+    tasks = tasks_for(R.sparkSession, R.agg(F.sum(F.length(text))).first()[0], CHARS_PER_TASK)
+    T = tokenized(R.select("problem_id", "rollout_idx", text).repartition(tasks, "problem_id", "rollout_idx"), text)
     coded = T.select("problem_id", "rollout_idx", F.transform("tokens", lambda w: F.xxhash64(w)).alias("k"))
     # Grams of all sizes come from one projection; a gram's hash tells its size as well, since it takes so many numbers.
     sized = [F.expr(f"if(size(k) < {n}, array(), transform(sequence(0, size(k) - {n}), i -> struct({n} AS n, xxhash64({', '.join(f'k[i + {j}]' for j in range(n))}) AS gram)))") for n in range(1, max_n + 1)]
     long = coded.select("problem_id", "rollout_idx", F.explode(F.concat(*sized)).alias("x")).select("problem_id", "rollout_idx", "x.n", "x.gram")
     # One exchange serves the counts and the window.
-    c = long.repartition("problem_id", "n", "gram").groupBy("problem_id", "n", "gram", "rollout_idx").agg(F.count("*").alias("c"))
+    c = long.repartition(tasks, "problem_id", "n", "gram").groupBy("problem_id", "n", "gram", "rollout_idx").agg(F.count("*").alias("c"))
     ranked = Window.partitionBy("problem_id", "n", "gram").orderBy(F.desc("c"), "rollout_idx")
     clipped = c.select("problem_id", "rollout_idx", "n", "c", F.row_number().over(ranked).alias("at"), F.first("c").over(ranked).alias("most"), F.lead("c", 1, 0).over(ranked).alias("next"))
     best = F.when(F.col("at") == 1, F.col("next")).otherwise(F.col("most"))

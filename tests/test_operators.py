@@ -343,6 +343,26 @@ def test_self_bleu_of_many_rollouts(spark):
     assert N.self_bleu(R, "text", max_rollouts=16).first().self_bleu == pytest.approx(brute_bleu(texts[:16]))
 
 
+def tasks_in(df):
+    """Numbers of tasks that repartitions ask for."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)]
+
+
+def test_self_bleu_has_more_tasks_for_more_text(spark, monkeypatch):
+    texts = [f"the cat sat on the mat {i % 7}" for i in range(40)]
+    R = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate([*texts, None])], "problem_id long, rollout_idx int, text string")
+    before = {r.problem_id: (r.n_rollouts, r.self_bleu) for r in N.self_bleu(R, "text").collect()}
+    assert set(tasks_in(N.self_bleu(R, "text"))) == {spark.sparkContext.defaultParallelism}
+    monkeypatch.setattr(N, "CHARS_PER_TASK", 50)
+    many = N.self_bleu(R, "text")
+    # Texts (for their grams and their lengths) and grams are dealt out by the characters: 40 texts of 24.
+    assert tasks_in(many) and set(tasks_in(many)) == {sum(map(len, texts)) // 50 + 1}
+    after = {r.problem_id: (r.n_rollouts, r.self_bleu) for r in many.collect()}
+    assert set(after) == set(before) and all(after[k] == (before[k][0], pytest.approx(before[k][1])) for k in after)
+    assert N.self_bleu(R.where("text is null"), "text").count() == 0
+
+
 def test_bootstrap_is_deterministic(spark):
     pp = spark.createDataFrame([(i, i % 3 / 2) for i in range(30)], "problem_id long, acc double")
     a, b = (one(D.bootstrap_ci(x, F.avg("acc"), 100, 42)) for x in (pp, pp.repartition(5)))
