@@ -118,7 +118,7 @@ LOG = "l AS (SELECT l_orderkey AS problem_id, l_suppkey % 4 AS rollout_idx, -10
 
 
 def token_adv(L):
-    return L.select("problem_id", "rollout_idx").distinct().withColumns({"advantage": (F.col("problem_id") % 5 - 2) / 2.0, "keep": F.col("problem_id") % 4 != 0})
+    return N.by_rollout(L).select("problem_id", "rollout_idx").distinct().withColumns({"advantage": (F.col("problem_id") % 5 - 2) / 2.0, "keep": F.col("problem_id") % 4 != 0})
 
 
 @query("n08_ratio_stats", f"WITH {LOG}, r AS (SELECT exp(new_lp - old_lp) AS r FROM l WHERE mask = 1) SELECT count(*) AS n_tokens, round(avg(r), 6) AS ratio_mean, round(max(r), 6) AS ratio_max, round(quantile_cont(r, 0.95), 6) AS ratio_p95, round(avg((r < 0.8)::INT), 6) AS clipped_low, round(avg((r > 1.2)::INT), 6) AS clipped_high FROM r")

@@ -363,6 +363,25 @@ def test_self_bleu_has_more_tasks_for_more_text(spark, monkeypatch):
     assert N.self_bleu(R.where("text is null"), "text").count() == 0
 
 
+def token_log(spark, rollouts=60):
+    rows = [(i % 7, i, pos, -0.1 * (i % 5), -0.1 * (pos % 3), int(pos != 2)) for i in range(rollouts) for pos in range(i % 6)]
+    return spark.createDataFrame(rows, "problem_id long, rollout_idx int, pos int, new_lp double, old_lp double, mask int"), rows
+
+
+def test_scatter_has_more_tasks_for_more_tokens(spark, monkeypatch):
+    L, rows = token_log(spark)
+    A = spark.createDataFrame([(i % 7, i, i / 4) for i in range(60)], "problem_id long, rollout_idx int, advantage double")
+    monkeypatch.setattr(N, "TOKENS_PER_TASK", 10)
+    got = N.scatter_to_tokens(A, L)
+    assert tasks_in(got) == [len(rows) // 10 + 1]
+    assert sorted((r.problem_id, r.rollout_idx, r.pos, r.advantage) for r in got.collect()) == sorted((p, i, pos, i / 4 * mask) for p, i, pos, _, _, mask in rows)
+    # Advantages that come from the log dealt out are summed after the shuffle only, and meet it without moving again.
+    own = N.by_rollout(L).select("problem_id", "rollout_idx").distinct().withColumn("advantage", F.lit(1.0))
+    plan = N.scatter_to_tokens(own, L)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert N.scatter_to_tokens(A, L.where("false")).count() == 0
+
+
 def test_bootstrap_is_deterministic(spark):
     pp = spark.createDataFrame([(i, i % 3 / 2) for i in range(30)], "problem_id long, acc double")
     a, b = (one(D.bootstrap_ci(x, F.avg("acc"), 100, 42)) for x in (pp, pp.repartition(5)))
