@@ -175,7 +175,7 @@ def surrogate(L: DataFrame, A: DataFrame, norm: str = "per_seq", lo: float = 0.2
     keys = ["problem_id", "rollout_idx"]
     r = F.exp(F.col("new_lp") - F.col("old_lp"))
     clipped = F.least(F.greatest(r, F.lit(1 - lo)), F.lit(1 + hi))
-    x = L.join(A.select(*keys, "advantage", "keep"), keys)
+    x = by_rollout(L).join(A.select(*keys, "advantage", "keep"), keys)
     token = -F.least(r * F.col("advantage"), clipped * F.col("advantage")) * F.col("mask")
     s = x.groupBy(*keys).agg(F.sum(token).alias("s"), F.greatest(F.sum("mask"), F.lit(1)).alias("n"), F.max("keep").alias("keep"))
     kept = F.col("keep").cast("int")

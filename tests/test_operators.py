@@ -382,6 +382,23 @@ def test_scatter_has_more_tasks_for_more_tokens(spark, monkeypatch):
     assert N.scatter_to_tokens(A, L.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("norm", ["per_seq", "batch_max"])
+def test_surrogate_has_more_tasks_for_more_tokens(spark, monkeypatch, norm):
+    L, rows = token_log(spark)
+    A = spark.createDataFrame([(i % 7, i, (i % 5 - 2) / 2, i % 4 > 0) for i in range(60)], "problem_id long, rollout_idx int, advantage double, keep boolean")
+    monkeypatch.setattr(N, "TOKENS_PER_TASK", 10)
+    got = N.surrogate(L, A, norm)
+    assert tasks_in(got) == [len(rows) // 10 + 1]
+    s, n = {}, {}
+    for _, i, _, new, old, mask in rows:
+        r, a = math.exp(new - old), (i % 5 - 2) / 2
+        s[i], n[i] = s.get(i, 0) - min(r * a, min(max(r, 0.8), 1.2) * a) * mask, n.get(i, 0) + mask
+    kept = [i for i in s if i % 4]
+    longest = max(n.values())
+    loss = sum(s[i] / (max(n[i], 1) if norm == "per_seq" else longest) for i in kept) / len(kept)
+    assert (got.first().n_kept, got.first().loss) == (len(kept), pytest.approx(loss))
+
+
 def test_bootstrap_is_deterministic(spark):
     pp = spark.createDataFrame([(i, i % 3 / 2) for i in range(30)], "problem_id long, acc double")
     a, b = (one(D.bootstrap_ci(x, F.avg("acc"), 100, 42)) for x in (pp, pp.repartition(5)))
