@@ -25,6 +25,7 @@ from rollspark.operators import sampling as S
 from rollspark.operators import series as W
 from rollspark.operators import text as N
 from rollspark.operators.order import exact_quantiles, with_quantiles
+from rollspark.plans import catalog
 from rollspark.sources import files
 
 R_SCHEMA = "problem_id long, rollout_idx int, reward double, cluster_id long, pred string"
@@ -399,6 +400,25 @@ def test_surrogate_has_more_tasks_for_more_tokens(spark, monkeypatch, norm):
     assert (got.first().n_kept, got.first().loss) == (len(kept), pytest.approx(loss))
 
 
+@pytest.mark.parametrize("norm", ["per_seq", "batch_max"])
+def test_surrogate_query_is_dealt_by_its_rows(spark, monkeypatch, norm):
+    run, sf_dir = catalog.queries()[f"n09_surrogate_{norm}"], "/root/testdata/sf0.001"
+    before = run(spark, sf_dir).first()
+    monkeypatch.setattr(N, "TOKENS_PER_TASK", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run(spark, sf_dir)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        after = got.first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The log and its sequences' advantages are dealt out alike, whatever spark.sql.shuffle.partitions is; only the tasks' sums move again.
+    tasks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100 + 1
+    assert tasks_in(got) == [tasks, tasks]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and re.findall(r"Exchange (\w+).*ENSURE_REQUIREMENTS", plan) == ["SinglePartition"]
+    assert (after.n_kept, after.loss) == (before.n_kept, pytest.approx(before.loss, abs=2e-6))
+
+
 def test_bootstrap_is_deterministic(spark):
     pp = spark.createDataFrame([(i, i % 3 / 2) for i in range(30)], "problem_id long, acc double")
     a, b = (one(D.bootstrap_ci(x, F.avg("acc"), 100, 42)) for x in (pp, pp.repartition(5)))
