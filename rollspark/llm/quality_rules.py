@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, let, released, written
+from .common import let, released, written
 
 #: Words whose shares are compared: letters and the marks, apostrophes and hyphens inside them.
 LETTERS = r"^\\p{L}[\\p{L}\\p{M}\'\\-]*$"
-#: Character classes in the order in which they are taken out of a text; what is left is "other". Digits stand with the
-#: letters without case, since a key or a number in a short clean text is no sign of junk.
-CLASSES = (r"[\\p{Ll}\\p{Lo}\\p{M}\\p{N}]+", r"\\s+", r"\\p{Lu}+", r"[.,;:''\"?()\\-]+", r"[#*$%&|<>!]+")
+#: The words of a text, split in compiled code, without a lambda.
+WORDS = r"array_remove(split(_text, '\\s+'), '')"
+#: Classes of characters, which share none; what is in none of them is "other". Digits stand with the letters without case,
+#: since a key or a number in a short clean text is no sign of junk.
+CLASSES = (r"\\p{Ll}\\p{Lo}\\p{M}\\p{N}", r"\\s", r"\\p{Lu}", r".,;:''\"?()\\-", r"#*$%&|<>!")
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -24,10 +26,13 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", most:
     of these the ``max_languages`` with the most; the list of all comes from theirs, or from all rows where there are none. The
     result is all that the driver sees.
     """
-    words = F.expr(let(WORDS.format(text="_text"), "w", f"array_union(filter(array_distinct(w), x -> x rlike '{LETTERS}'), array(''))"))
-    named = docs.select(F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     # The empty word stands for the texts themselves.
-    held = named.select("_lang", F.xxhash64("_text").alias("_h"), F.explode(words).alias("_word")).groupBy("_lang", "_word").agg(F.approx_count_distinct("_h", error).alias("_n"))
+    words = F.expr(f"array_union(filter(array_distinct({WORDS}), x -> x rlike '{LETTERS}'), array(''))")
+    named = docs.select(F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # A text is hashed before its words are rows, else it would be hashed for each of them. No list is empty or null, and the
+    # outer explode needs no filter that says so, for which the words would be made again.
+    listed = named.select("_lang", F.xxhash64("_text").alias("_h"), words.alias("_words")).select("_lang", "_h", F.explode_outer("_words").alias("_word"))
+    held = listed.groupBy("_lang", "_word").agg(F.approx_count_distinct("_h", error).alias("_n"))
     held = written(held.where("_n > 1 or _word = ''"), "common-words")
     sizes = held.where((F.col("_word") == "") & F.col("_lang").isNotNull() & (F.col("_n") >= min_texts)).orderBy(F.desc("_n"), "_lang").limit(max_languages).collect()
     names = [r["_lang"] for r in sizes]
@@ -64,23 +69,28 @@ def rule_counts(docs: DataFrame, bins: dict[str | None, list[str]], text: str =
     empty.
 
     Everything is counted inside the row: repeated three-word windows are found by sorting the windows' hashes, so a
-    long text costs n log n and nothing is shuffled.
+    long text costs n log n and nothing is shuffled. Steps are columns of their own, so that all but the lambdas is compiled.
     """
     # The input row is one column, so its names clash with none made here.
     words = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    words = words.withColumns({"_words": F.expr(WORDS.format(text="_text")), "_bins": _by_language(bins, F.col("_row.lang"))})
+    words = words.withColumns({"_words": F.expr(WORDS), "_bins": _by_language(bins, F.col("_row.lang"))})
     grams = let("transform(_words, w -> xxhash64(w))", "h", "if(size(h) < 3, array(), transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])))")
+    # One pass over the text takes out most of it by the simplest of tests; what is left is short.
+    words = words.withColumns({"_grams": F.expr(grams), "_rest": F.regexp_replace("_text", "[a-z ]+", "")})
+    words = words.withColumn("_word_chars", F.length(F.array_join("_words", "")))
+    # Windows with an equal one beside them, in order of their hashes; then the words that they cover, in order of their places.
     covered = let(
-        "sort_array(transform(g, (x, i) -> struct(x, i)))",
+        "sort_array(transform(_grams, (x, i) -> struct(x, i)))",
         "s",
-        "size(array_distinct(flatten(transform(filter(transform(s, (x, k) -> if((k > 0 and s[k - 1].x = x.x) or (k + 1 < size(s) and s[k + 1].x = x.x), x.i, null)), i -> i is not null), i -> array(i, i + 1, i + 2)))))",
+        "aggregate(sort_array(transform(filter(s, (y, k) -> (k > 0 and s[k - 1].x = y.x) or (k + 1 < size(s) and s[k + 1].x = y.x)), y -> y.i)), "
+        "struct(-3 as at, 0 as n), (a, i) -> struct(i as at, a.n + least(3, i - a.at) as n), a -> a.n)",
     )
-    repeated = let(grams, "g", f"if(size(array_distinct(g)) = size(g), 0, {covered})")
+    repeated = f"if(size(array_distinct(_grams)) = size(_grams), 0, {covered})"
     lines = let(r"filter(split(_text, '\n'), l -> l rlike '\\S')", "l", "size(l) - size(array_distinct(l))")
-    n = len(CLASSES)
-    body = "array(" + ", ".join([f"length(t{i}) - length(t{i + 1})" for i in range(n)] + [f"length(t{n})"]) + ")"
-    for i in range(len(CLASSES), 0, -1):
-        body = let(f"regexp_replace(t{i - 1}, '{CLASSES[i - 1]}', '')", f"t{i}", body)
+    # White space is what is in no word, so it goes together with the first class.
+    chars = "array(_word_chars - length(t1), length(_text) - _word_chars, length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4))"
+    for i, taken in reversed(list(enumerate((CLASSES[0] + CLASSES[1], *CLASSES[2:]), 1))):
+        chars = let(f"regexp_replace({f't{i - 1}' if i > 1 else '_rest'}, '[{taken}]+', '')", f"t{i}", chars)
     # Words of the bins are picked out first; then each bin's are what goes when they are taken away.
     hits = let(
         "filter(_words, w -> w in ({}))".format(", ".join(f"'{_quoted(w)}'" for w in sorted({w for ws in bins.values() for w in ws}))),
@@ -91,11 +101,11 @@ def rule_counts(docs: DataFrame, bins: dict[str | None, list[str]], text: str =
     return words.select(
         *[F.col("_row")[c].alias(c) for c in docs.columns],
         F.expr("size(_words)").cast("long").alias("n_words"),
-        F.expr("aggregate(_words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.col("_word_chars").cast("long").alias("word_chars"),
+        F.regexp_count("_rest", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.expr(lines).cast("long").alias("n_dup_lines"),
         F.expr(repeated).cast("long").alias("n_repeat_words"),
-        F.expr(let("_text", "t0", body)).alias("chars"),
+        F.expr(chars).alias("chars"),
         F.expr(hits).alias("hits"),
     )
 

@@ -13,10 +13,11 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
+from rollspark.llm import quality_rules as quality_rules_of
 from rollspark.llm import queries
 from rollspark.llm.language_id import BUCKETS, grams, identify_languages
 from rollspark.llm.quality_classifier import classify_quality, fit_logistic, text_features
-from rollspark.llm.quality_rules import common_words, quality_rules
+from rollspark.llm.quality_rules import common_words, quality_rules, rule_counts
 from rollspark.llm.secrets import BASE, MORE
 
 DIR = "/root/testdata/sf0.001"
@@ -180,6 +181,29 @@ def test_common_words_are_those_of_most_texts(spark, tables):
         assert min(held[lang][w] for w in found[lang]) >= 0.7 * left and "strangeword" not in found[lang]
 
 
+def test_common_words_hash_each_text_once(spark, monkeypatch):
+    plans = []
+    write = quality_rules_of.written
+    monkeypatch.setattr(quality_rules_of, "written", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    common_words(spark.read.parquet(f"{DIR}/documents.parquet"))
+    # Texts are hashed and split below the rows of words, and by no filter as well.
+    rows, hashed = plans[0].index("Generate explode"), plans[0].index("xxhash64(")
+    assert rows < hashed and plans[0].count("split(") == 1 == plans[0].count("xxhash64(")
+
+
+def test_rule_counts_of_odd_texts(spark):
+    texts = ["", " \n\t", "a b", "a b c", "a b c a b c", "a a a a a", "x y z w x y z q x y z", "\u01c5 \u02b0 \u00c9\u00e9 \u6f22 \u00bd \u2167 x\u0085 \u00a0 \U0001f600 \u00e1 q\u0301 \x0b\x0c\r\n #!$ <a> \"q\" - \u20ac", "A.B;C(d)-E? F:g, h! i|j"]
+    got = {r.t: r for r in rule_counts(spark.createDataFrame([(t, "en") for t in texts], "t string, lang string"), {None: [""] * 24}, "t").collect()}
+    for t in texts:
+        words = WORD.findall(t)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+        chars = [len(regex.findall(c, t)) for c in (r"[\p{Ll}\p{Lo}\p{M}\p{N}]", r"[ \t-\r]", r"\p{Lu}", r"""[.,;:'"?()\-]""", "[#*$%&|<>!]")]
+        r = got[t]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(covered))
+        assert r.chars == [*chars, len(t) - sum(chars)]
+
+
 def test_rules_against_plain_python(spark, tables):
     docs, _ = tables
     # Languages: rare, missing, without a clean text, and one whose words need quotes.
