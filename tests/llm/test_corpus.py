@@ -183,6 +183,22 @@ def test_top_k_with_a_third_of_all_rows_alike(spark):
     assert set(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
 
 
+def test_top_k_of_many_shards_on_few_shelves(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 4).round(2).tolist()) for i in range(600)] + [(i, rng.normal(0, 300, 3).round(2).tolist()) for i in range(600, 700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_top_k(df, every=7, shard_rows=4, block_rows=5, pivots=9, shelves=5)
+    assert set(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 5, 7)
+
+
+def test_top_k_broadcasts_nothing(spark):
+    """Queries times shards is more than a driver holds, and so are the trees; Spark takes them for small."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    got = exact_top_k(df, every=10, shard_rows=32, block_rows=5, pivots=6)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ball_tree_leaves_subtrees_out():
     """In separate clusters, a query looks at few nodes, and at fewer still with a floor from elsewhere."""
     rng = np.random.default_rng(4)
